@@ -8,7 +8,6 @@ the window that scores highest counts. Everything is numpy; a window's input gat
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,7 +20,7 @@ WINDOW, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Bounds of training: documents with and without the label, words of the vocabulary. Character n-grams share hashed rows.
 TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1500, 3000, 20000, 1 << 14
-EPOCHS, BATCH, RATE, SEED = 14, 128, 0.01, 5
+EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 5
 CACHE_WORDS = 1 << 17
 PAD = 0
 
@@ -32,9 +31,23 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def gram_rows(word: str) -> list[int]:
-    padded = f"<{word[:64]}>"
-    return [zlib.crc32(padded[i : i + n].encode()) % GRAM_ROWS for n in (3, 4, 5, 6) for i in range(max(len(padded) - n + 1, 0))] or [zlib.crc32(padded.encode()) % GRAM_ROWS]
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed rows of the words' n-grams of 3 to 6 bytes, word after word, and how many each word has. ``<`` and ``>`` stand at a word's ends."""
+    raw = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    letters = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # bytes to the word's end
+    rows, owners, value = [], [], np.zeros(len(letters), np.uint64)
+    for n in range(1, 7):
+        value = value[: len(letters) - n + 1] * np.uint64(257) + letters[n - 1 :] + np.uint64(1)
+        if n >= 3:
+            inside = left[: len(value)] >= n
+            rows.append(((value[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64))
+            owners.append(owner[: len(value)][inside])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(rows)[order], np.bincount(owners, minlength=len(raw))
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -60,8 +73,13 @@ class Network:
             self.p |= {f"w{side}": normal(d**-0.5, d, 3 * h), f"u{side}": normal(h**-0.5, h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
         self.p |= {"a": normal((2 * h) ** -0.5, 2 * h, ATTENTION), "a0": np.zeros(ATTENTION, np.float32), "v": normal(ATTENTION**-0.5, ATTENTION), "o": normal((2 * h) ** -0.5, 2 * h), "o0": np.full(1, -1.0, np.float32)}
 
-    def token(self, word: str) -> np.ndarray:
-        return np.concatenate([self.p["word"][self.words.get(word, 0)], self.p["char"][gram_rows(word)].mean(axis=0)])
+    def vectors(self, words: list[str]) -> np.ndarray:
+        return self.joined(np.array([self.words.get(w, 0) for w in words]), *gram_rows(words))
+
+    def joined(self, rows: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Word vectors beside the means of n-gram vectors. Every word has an n-gram."""
+        chars = np.add.reduceat(self.p["char"][flat], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        return np.concatenate([self.p["word"][rows], chars.astype(np.float32)], axis=1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Input parts of the gates, both directions side by side."""
@@ -133,14 +151,16 @@ def _vocabulary(docs: list[list[str]]) -> list[str]:
 
 def _first_choice(docs: list[list[str]], labels: np.ndarray) -> list[np.ndarray]:
     """For each text, each window's best word by smoothed log odds of word and n-gram counts: where training starts."""
+    words = sorted({w for d in docs for w in d})
+    at = {w: i for i, w in enumerate(words)}
+    flat, lengths = gram_rows(words)
+    grams = np.split(flat, np.cumsum(lengths)[:-1])
     counts = np.zeros((2, GRAM_ROWS))
     n = np.bincount(labels, minlength=2)
-    known: dict[str, list[int]] = {}
     for d, y in zip(docs, labels):
-        rows = {r for w in set(d) for r in known.setdefault(w, gram_rows(w))}
-        counts[y, list(rows)] += 1
+        counts[y, np.unique(np.concatenate([grams[at[w]] for w in set(d)]))] += 1
     odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 2) / (n[0] + 4))
-    best = {w: float(np.sort(odds[r])[-3:].mean()) for w, r in known.items()}
+    best = {w: float(np.sort(odds[g])[-3:].mean()) for w, g in zip(words, grams)}
     return [np.array([max(best[w] for w in d[a:z]) for a, z in windows(len(d))]) for d in docs]
 
 
@@ -157,13 +177,14 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     rng = np.random.default_rng(seed)
     everything = sorted({w for d in docs for w in d})
     at = {w: i for i, w in enumerate(everything)}
-    grams = [np.array(gram_rows(w)) for w in everything]
+    all_rows, all_lengths = gram_rows(everything)
+    grams = np.split(all_rows, np.cumsum(all_lengths)[:-1])
     in_vocabulary = np.array([net.words.get(w, 0) for w in everything])
     ids = [np.array([at[w] for w in d]) for d in docs]
     scores = _first_choice(docs, y)
     m, v, step = {}, {}, 0
     for epoch in range(epochs):
-        if epoch >= 3 and epoch % 2:  # choose again by the network itself
+        if epoch >= 3 and epoch % 3 == 0:  # choose again by the network itself
             scores = _score_windows(net, docs)
         picks = []
         for i, s in enumerate(scores):
@@ -186,11 +207,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             # words are hidden now and then, so that characters must carry them too
             hide = rng.random(len(used)) < 0.3
             rows = np.where(hide, 0, in_vocabulary[used])
-            lengths = np.array([len(grams[w]) for w in used])
-            flat = np.concatenate([grams[w] for w in used])
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            chars = np.add.reduceat(net.p["char"][flat], starts, axis=0) / lengths[:, None]
-            vectors = np.concatenate([net.p["word"][rows], chars.astype(np.float32)], axis=1)
+            lengths, flat = all_lengths[used], np.concatenate([grams[w] for w in used])
+            vectors = net.joined(rows, flat, lengths)
             x = vectors[back]
             kept_states: list = []
             logits = net.run(net.gates(x), mask, kept_states)
@@ -228,7 +246,7 @@ class Scorer:
         if -1 in out:
             new = list(dict.fromkeys(w for w, i in zip(words, out) if i < 0))
             first = len(self.places)
-            self.table[first : first + len(new)] = self.net.gates(np.array([self.net.token(w) for w in new]))
+            self.table[first : first + len(new)] = self.net.gates(self.net.vectors(new))
             self.places.update(zip(new, range(first, first + len(new))))
             out = [self.places[w] for w in words]
         return np.array(out)
