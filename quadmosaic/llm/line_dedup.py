@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import BLANKS, fold_ascii_col, table
+from quadmosaic.llm.common import BLANKS, fold_ascii_col, settled, table
 
 MIN_DOCS = 10
 #: One key's rows are spread over so many ranges.
@@ -35,18 +35,21 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     key = fold_ascii_col(F.btrim("line", F.lit(BLANKS)))
-    keyed = lines.withColumn("key", key).where("key <> ''").select(
-        F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "text_hash", "pos"
+    keyed = settled(
+        lines.withColumn("key", key)
+        .where("key <> ''")
+        .select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "text_hash", "pos")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["h1", "h2", "salt"]
     ranged = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by, "doc_id", "text_hash", "pos")
     stream = W.partitionBy(*by).orderBy("doc_id", "text_hash", "pos")
     marked = ranged.withColumn("new_doc", (F.row_number().over(stream) == 1) | ~F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id")))
-    # one row for each key and salt, then for each key
-    counts = marked.where("new_doc").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-    frequent = counts.where(F.col("n_docs") >= min_docs)
-    dropped = keyed.join(frequent, ["h1", "h2"])
+    # one row for each key and salt; a key has SALTS of these at most, so their sums meet without a hot group
+    local = marked.where("new_doc").groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("least"))
+    whole = W.partitionBy("h1", "h2")
+    frequent = local.select(*by, F.sum("n").over(whole).alias("n_docs"), F.min("least").over(whole).alias("first")).where(F.col("n_docs") >= min_docs)
+    dropped = keyed.join(frequent, by)
     if keep_first:
         dropped = dropped.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
     places = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
