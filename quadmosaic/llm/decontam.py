@@ -22,13 +22,7 @@ BROADCAST_TERMS = 1_000_000
 
 
 def _words(text: Column) -> Column:
-    """Words as they stand; A-Z is not lower-cased yet."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS, -1), "")
-
-
-def _term(word: Column) -> Column:
-    """What postings are looked up by: words that are equal after folding A-Z are equal here too."""
-    return F.lower(word)
+    return F.array_remove(F.split(fold_ascii_col(F.coalesce(text, F.lit(""))), WORD_SEPARATORS, -1), "")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -37,16 +31,16 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Rows ``item_id, item_words, start, length``: every window of every item. Items without words have none."""
-    rows = items.select(F.col(id_col).alias("item_id"), _words(fold_ascii_col(F.col(text_col))).alias("item_words")).where("size(item_words) > 0").distinct()
+    rows = items.select(F.col(id_col).alias("item_id"), _words(F.col(text_col)).alias("item_words")).where("size(item_words) > 0").distinct()
     last = F.greatest(F.size("item_words") - window, F.lit(0))
     return rows.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(F.size("item_words"), F.lit(window)).alias("length"))
 
 
 def anchors(docs: DataFrame, wins: DataFrame, rarest: int = RAREST, text_col: str = "text") -> DataFrame:
     """Rows ``item_id, item_words, place, term, wins``: the places whose terms are looked up, each with the windows that it is among the rarest of."""
-    placed = wins.withColumn("place", F.explode(F.expr("sequence(start, start + length - 1)"))).withColumn("term", _term(F.col("item_words")[F.col("place")]))
+    placed = wins.withColumn("place", F.explode(F.expr("sequence(start, start + length - 1)"))).withColumn("term", F.col("item_words")[F.col("place")])
     vocabulary = settled(placed.select("term").distinct())
-    tokens = docs.select(F.explode(_words(F.col(text_col))).alias("word")).select(_term(F.col("word")).alias("term"))
+    tokens = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
     times = tokens.join(_small(vocabulary, vocabulary.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("times"))
     ranked = placed.join(times, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy("item_id", "item_words", "start").orderBy(F.coalesce("times", F.lit(0)), "term", "place")))
     return ranked.where(F.col("rank") <= rarest).groupBy("item_id", "item_words", "place", "term").agg(F.collect_list(F.struct("start", "length")).alias("wins"))
@@ -55,13 +49,13 @@ def anchors(docs: DataFrame, wins: DataFrame, rarest: int = RAREST, text_col: st
 def postings(docs: DataFrame, terms: DataFrame, around: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index: rows ``term, doc_id, text_hash, pos, first, near`` for every place of the ``terms`` in ``docs``.
 
-    ``near`` has the folded words from position ``first`` to ``pos + around``.
+    ``near`` has the words from position ``first`` to ``pos + around``.
     """
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), _words(F.col(text_col)).alias("words"))
-    each = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", _term(F.col("word")))
+    each = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term"))
     first = F.greatest(F.col("pos") - around, F.lit(0))
     near = F.slice("words", first + 1, F.col("pos") + around + 1 - first)
-    return each.join(_small(terms, terms.count()), "term", "left_semi").select("term", "doc_id", "text_hash", "pos", first.alias("first"), F.transform(near, fold_ascii_col).alias("near"))
+    return each.join(_small(terms, terms.count()), "term", "left_semi").select("term", "doc_id", "text_hash", "pos", first.alias("first"), near.alias("near"))
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,6 +80,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
             return inside & (here == there)
         return inside & (F.size(F.filter(F.zip_with(here, there, lambda a, b: a == b), lambda x: ~x)) <= slop)
 
+    if slop == 0:  # any window of two words or more has a word beside the term
+        here, there = F.col("pos") - F.col("first"), F.col("place")
+        beside = lambda step: F.get("near", here + step) == F.get("item_words", there + step)
+        hits = hits.where((F.size("item_words") == 1) | F.coalesce(beside(-1), F.lit(False)) | F.coalesce(beside(1), F.lit(False)))
     found = hits.select("doc_id", "text_hash", "item_id", "shift", "place", F.filter("wins", fits).alias("wins")).where("size(wins) > 0")
     lists = found.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.flatten(F.collect_list("wins")).alias("wins"))
     # a window stays if the lists of all its rarest terms have it at this shift
