@@ -8,7 +8,6 @@ the window that scores highest counts. Everything is numpy; a window's input gat
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
 WINDOW, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Bounds of training: documents with and without the label, words of the vocabulary. Character n-grams share hashed rows.
-TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1500, 3000, 20000, 1 << 14
+TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1000, 2000, 20000, 1 << 14
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 5
 CACHE_WORDS = 1 << 17
 PAD = 0
@@ -144,51 +143,73 @@ class Network:
         return g, d_x
 
 
-def _vocabulary(docs: list[list[str]]) -> list[str]:
-    times = Counter(w for d in docs for w in set(d))
-    return [w for w, n in sorted(times.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if n >= 3]
-
-
-def _first_choice(docs: list[list[str]], labels: np.ndarray) -> list[np.ndarray]:
-    """For each text, each window's best word by smoothed log odds of word and n-gram counts: where training starts."""
-    words = sorted({w for d in docs for w in d})
-    at = {w: i for i, w in enumerate(words)}
-    flat, lengths = gram_rows(words)
-    grams = np.split(flat, np.cumsum(lengths)[:-1])
-    counts = np.zeros((2, GRAM_ROWS))
-    n = np.bincount(labels, minlength=2)
-    for d, y in zip(docs, labels):
-        counts[y, np.unique(np.concatenate([grams[at[w]] for w in set(d)]))] += 1
-    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 2) / (n[0] + 4))
-    best = {w: float(np.sort(odds[g])[-3:].mean()) for w, g in zip(words, grams)}
-    return [np.array([max(best[w] for w in d[a:z]) for a, z in windows(len(d))]) for d in docs]
+class _Sample:
+    """Training texts as word numbers, with each word's n-gram rows."""
+
+    def __init__(self, texts: list[str | None], labels: list[int]):
+        at: dict[str, int] = {}
+        self.ids, y = [], []
+        for text, label in zip(texts, labels):
+            if words := tokens(text):
+                self.ids.append(np.array([at.setdefault(w, len(at)) for w in words], np.int32))
+                y.append(label)
+        self.y, self.words = np.array(y, int), list(at)
+        self.flat, self.lengths = gram_rows(self.words) if at else (np.zeros(0, int), np.zeros(0, int))
+        self.flat = self.flat.astype(np.int16 if GRAM_ROWS <= 1 << 15 else np.int32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-gram rows of some words, word after word, and how many each has."""
+        n = self.lengths[words]
+        return self.flat[np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def vocabulary(self) -> list[str]:
+        times = np.zeros(len(self.words), int)
+        for x in self.ids:
+            times[np.unique(x)] += 1
+        return sorted((self.words[i] for i in np.argsort(-times, kind="stable")[:MAX_WORDS] if times[i] >= 3))
+
+    def first_scores(self) -> list[np.ndarray]:
+        """For each text, each window's best word by smoothed log odds of n-grams: where training starts."""
+        counts, n = np.zeros((2, GRAM_ROWS)), np.bincount(self.y, minlength=2)
+        for x, label in zip(self.ids, self.y):
+            counts[label, np.unique(self.grams(np.unique(x))[0])] += 1
+        odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 2) / (n[0] + 4))
+        best = np.array([np.sort(odds[self.flat[a : a + k]])[-3:].mean() for a, k in zip(self.starts, self.lengths)])
+        return [np.array([best[x[a:z]].max() for a, z in windows(len(x))]) for x in self.ids]
+
+    def scores(self, net: Network, rows: np.ndarray) -> list[np.ndarray]:
+        """For each text, each window's logit. ``rows`` are the words' rows in the network's vocabulary."""
+        scorer = Scorer(net, 1)
+        parts = np.array_split(np.arange(len(self.words)), len(self.words) // 20000 + 1)
+        scorer.table = np.concatenate([net.gates(net.joined(rows[p], *self.grams(p))) for p in parts])
+        out = []
+        for a in range(0, len(self.ids), 100):
+            spans = [[x[s:z] for s, z in windows(len(x))] for x in self.ids[a : a + 100]]
+            logits = scorer.logits([x for s in spans for x in s])
+            out += np.split(logits, np.cumsum([len(s) for s in spans])[:-1])
+        return out
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network from labelled texts; texts without a token don't count."""
-    docs = [tokens(t) for t in texts]
-    kept = [i for i, d in enumerate(docs) if d]
-    docs, y = [docs[i] for i in kept], np.array([labels[i] for i in kept], int).reshape(-1)
-    net = Network(_vocabulary(docs), seed)
+    sample = _Sample(texts, labels)
+    y, ids = sample.y, sample.ids
+    net = Network(sample.vocabulary(), seed)
     if not len(y) or y.min() == y.max():
         net.p["o"][:] = 0
         net.p["o0"][:] = -4.0 if not y.sum() else 4.0
         return net
     rng = np.random.default_rng(seed)
-    everything = sorted({w for d in docs for w in d})
-    at = {w: i for i, w in enumerate(everything)}
-    all_rows, all_lengths = gram_rows(everything)
-    grams = np.split(all_rows, np.cumsum(all_lengths)[:-1])
-    in_vocabulary = np.array([net.words.get(w, 0) for w in everything])
-    ids = [np.array([at[w] for w in d]) for d in docs]
-    scores = _first_choice(docs, y)
+    in_vocabulary = np.array([net.words.get(w, 0) for w in sample.words])
+    scores = sample.first_scores()
     m, v, step = {}, {}, 0
     for epoch in range(epochs):
         if epoch >= 3 and epoch % 3 == 0:  # choose again by the network itself
-            scores = _score_windows(net, docs)
+            scores = sample.scores(net, in_vocabulary)
         picks = []
         for i, s in enumerate(scores):
-            spans = windows(len(docs[i]))
+            spans = windows(len(ids[i]))
             picks.append((i, *spans[int(s.argmax())]))
             if not y[i]:
                 picks.append((i, *spans[int(rng.integers(len(spans)))]))
@@ -207,7 +228,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             # words are hidden now and then, so that characters must carry them too
             hide = rng.random(len(used)) < 0.3
             rows = np.where(hide, 0, in_vocabulary[used])
-            lengths, flat = all_lengths[used], np.concatenate([grams[w] for w in used])
+            flat, lengths = sample.grams(used)
             vectors = net.joined(rows, flat, lengths)
             x = vectors[back]
             kept_states: list = []
@@ -293,22 +314,6 @@ class Scorer:
         return [out]
 
 
-def _score_windows(net: Network, docs: list[list[str]]) -> list[np.ndarray]:
-    """Logits of each document's windows, as many documents at a time as the cache holds."""
-    scorer, out, at = Scorer(net), [], 0
-    while at < len(docs):
-        scorer.places.clear()
-        part, room = [], scorer.cache_words
-        while at < len(docs) and (len(docs[at]) <= room or not part):
-            room -= len(docs[at])
-            part.append(docs[at])
-            at += 1
-        spans = [[x[a:z] for a, z in windows(len(x))] for x in map(scorer.ids, part)]
-        logits = scorer.logits([x for s in spans for x in s])
-        out += np.split(logits, np.cumsum([len(s) for s in spans])[:-1])
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network:
     """A network from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``); the sample is bounded by the parameters, rows with nulls don't count."""
     chosen = sample_ids(labels.where("toxic = 1"), "toxic", toxic).unionAll(sample_ids(labels.where("toxic = 0"), "toxic", clean))
