@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import WORD_SEPARATORS, per_text, settled, table
+from quadmosaic.llm.common import per_text, settled, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("general", "removed")
@@ -115,21 +117,43 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     contexts = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
     supported = contexts.where(F.col("n_contexts") >= support)
     together = near.join(supported, ["entity", "term"]).select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    together = settled(together)
     own = found.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = settled(together.select("term").distinct())
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), WORD_SEPARATORS, -1))).alias("term"))
-    wanted_side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    times = words.join(wanted_side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = together.join(own, "entity").join(times, "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both")))
     information = F.log2(n / F.col("n_entity"))
-    share = F.when(information > 0, F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))) / information).otherwise(F.lit(0.0))
-    chosen = pairs.withColumn("share", share).where(F.col("share") >= generalise)
+
+    def share(n_term: Column) -> Column:
+        """The part of the entity's information that the word discloses."""
+        return F.when(information > 0, F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * n_term)) / information).otherwise(F.lit(0.0))
+
+    # a word's documents near any entity are some of all its documents: what they already rule out needs no count over the corpus
+    beside = near.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    together = settled(together.join(own, "entity").join(beside, "term").where(share(F.col("n_near")) >= generalise))
+    wanted = settled(together.select("term").distinct())
+    times = _document_counts(rows, wanted)
+    pairs = together.join(times, "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both")))
+    chosen = pairs.withColumn("share", share(F.col("n_term"))).where(F.col("share") >= generalise)
     by_entity = chosen.groupBy("entity").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("removed"))).alias("terms"))
     by_doc = found.select("doc", "entity").distinct().join(by_entity, "entity").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     return by_doc
 
 
+def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows ``term, n_term``: in how many rows' texts each wanted term stands. Tasks count a set of checked size on their own; a larger one is joined."""
+    few = [r.term for r in wanted.limit(BROADCAST_ROWS + 1).collect()]
+    if len(few) <= BROADCAST_ROWS:
+        chosen = frozenset(few)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter[str] = Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(chosen.intersection(terms_of(text or "")))
+            yield pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+        return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    words = per_text(rows, lambda: lambda texts: [[sorted(set(terms_of(t or ""))) for t in texts]], "terms array<string>").select(F.explode("terms").alias("term"))
+    return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def spans_of(text: str | None, terms: dict[str, bool]) -> list[tuple[int, int, int]]:
     """(start, index in ``KINDS + TERM_KINDS``, end) of identifiers and of disclosing words that don't touch one, sorted."""
     found = entities(text)
