@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quadmosaic.lineage import settled  # noqa: F401  the operators take it from here
+
 #: Bytes that separate words in the operators that split at blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word of letters and digits; any character above ASCII belongs to it. Upper case is still in.
@@ -26,14 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def per_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], out: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``doc_id``, the columns of ``keep`` and those of ``out`` (a DDL string), one for each row of ``docs``.
 
