@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A token's input is its word's vector beside the mean vector of its character n-grams. All overlapping windows of a text
+A token's input is its word's vector beside the scaled sum of its character n-grams' vectors. All overlapping windows of a text
 are scored and the highest decides. Labels are of whole texts, so training is by multiple instances: of each text
 the window that scores highest counts. Everything is numpy; a window's input gates depend on the word alone and are kept for each word.
 """
@@ -18,8 +18,8 @@ from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
 WINDOW, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Bounds of training: documents with and without the label, words of the vocabulary. Character n-grams share hashed rows.
-TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1000, 2000, 20000, 1 << 14
-EPOCHS, BATCH, RATE, SEED = 12, 128, 0.01, 5
+TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1000, 2000, 20000, 1 << 16
+EPOCHS, BATCH, RATE, VECTOR_RATE, SEED = 10, 128, 0.01, 0.01, 5
 CACHE_WORDS = 1 << 17
 PAD = 0
 
@@ -42,7 +42,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         value = value[: len(letters) - n + 1] * np.uint64(257) + letters[n - 1 :] + np.uint64(1)
         if n >= 3:
             inside = left[: len(value)] >= n
-            rows.append(((value[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64))
+            rows.append(((value[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 16)).astype(np.int64))
             owners.append(owner[: len(value)][inside])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -66,7 +66,7 @@ class Network:
         self.words = {w: i + 1 for i, w in enumerate(words)}  # 0 stands for all others
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-        self.p = {"word": normal(0.1, len(words) + 1, WORD_DIM), "char": normal(0.3, GRAM_ROWS, CHAR_DIM)}
+        self.p = {"word": normal(0.02, len(words) + 1, WORD_DIM), "char": normal(0.02, GRAM_ROWS, CHAR_DIM)}
         self.p["word"][0] = 0
         for side in "fb":
             self.p |= {f"w{side}": normal(d**-0.5, d, 3 * h), f"u{side}": normal(h**-0.5, h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
@@ -76,8 +76,8 @@ class Network:
         return self.joined(np.array([self.words.get(w, 0) for w in words]), *gram_rows(words))
 
     def joined(self, rows: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Word vectors beside the means of n-gram vectors. Every word has an n-gram."""
-        chars = np.add.reduceat(self.p["char"][flat], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        """Word vectors beside the sums of n-gram vectors, scaled by the root of their number. Every word has an n-gram."""
+        chars = np.add.reduceat(self.p["char"][flat], np.cumsum(lengths) - lengths, axis=0) / np.sqrt(lengths)[:, None]
         return np.concatenate([self.p["word"][rows], chars.astype(np.float32)], axis=1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ class _Sample:
                 y.append(label)
         self.y, self.words = np.array(y, int), list(at)
         self.flat, self.lengths = gram_rows(self.words) if at else (np.zeros(0, int), np.zeros(0, int))
-        self.flat = self.flat.astype(np.int16 if GRAM_ROWS <= 1 << 15 else np.int32)
+        self.flat = self.flat.astype(np.uint16 if GRAM_ROWS <= 1 << 16 else np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +169,18 @@ class _Sample:
             times[np.unique(x)] += 1
         return sorted((self.words[i] for i in np.argsort(-times, kind="stable")[:MAX_WORDS] if times[i] >= 3))
 
-    def first_scores(self) -> list[np.ndarray]:
-        """For each text, each window's best word by smoothed log odds of n-grams: where training starts."""
-        counts, n = np.zeros((2, GRAM_ROWS)), np.bincount(self.y, minlength=2)
+    def odds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of the label given each n-gram row and each word, from numbers of texts, drawn to 0 as if each had been seen five times more at the usual rate."""
+        grams, words, n = np.zeros((2, GRAM_ROWS)), np.zeros((2, len(self.words))), np.bincount(self.y, minlength=2)
         for x, label in zip(self.ids, self.y):
-            counts[label, np.unique(self.grams(np.unique(x))[0])] += 1
-        odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 2) / (n[0] + 4))
+            own = np.unique(x)
+            words[label, own] += 1
+            grams[label, np.unique(self.grams(own)[0])] += 1
+        rate = 5 / n.sum()
+        return tuple(np.log(c[1] / n[1] + rate) - np.log(c[0] / n[0] + rate) for c in (grams, words))
+
+    def first_scores(self, odds: np.ndarray) -> list[np.ndarray]:
+        """For each text, each window's best word by its n-grams' three highest odds: where training starts."""
         best = np.array([np.sort(odds[self.flat[a : a + k]])[-3:].mean() for a, k in zip(self.starts, self.lengths)])
         return [np.array([best[x[a:z]].max() for a, z in windows(len(x))]) for x in self.ids]
 
@@ -202,10 +208,13 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
         return net
     rng = np.random.default_rng(seed)
     in_vocabulary = np.array([net.words.get(w, 0) for w in sample.words])
-    scores = sample.first_scores()
+    gram_odds, word_odds = sample.odds()
+    net.p["char"][:, 0], net.p["word"][in_vocabulary, 0] = gram_odds, word_odds  # where the vectors start from
+    net.p["word"][0] = 0
+    scores = sample.first_scores(gram_odds)
     m, v, step = {}, {}, 0
     for epoch in range(epochs):
-        if epoch >= 3 and epoch % 3 == 0:  # choose again by the network itself
+        if epoch >= 6 and epoch % 3 == 0:  # choose again by the network itself
             scores = sample.scores(net, in_vocabulary)
         picks = []
         for i, s in enumerate(scores):
@@ -242,14 +251,17 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             np.add.at(grads["word"], rows, d_vec[:, :WORD_DIM])
             grads["word"][0] = 0
             grads["char"] = np.zeros_like(net.p["char"])
-            np.add.at(grads["char"], flat, np.repeat(d_vec[:, WORD_DIM:] / lengths[:, None], lengths, axis=0))
+            np.add.at(grads["char"], flat, np.repeat(d_vec[:, WORD_DIM:] / np.sqrt(lengths)[:, None], lengths, axis=0))
             step += 1
             norm = np.sqrt(sum(float((q * q).sum()) for q in grads.values()))
             for name, grad in grads.items():
                 grad = grad / max(1.0, norm) + (1e-5 * net.p[name] if name in ("word", "char") else 0)
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
                 v[name] = 0.999 * v.get(name, 0) + 0.001 * grad * grad
-                net.p[name] = (net.p[name] - RATE * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                rate, size = RATE, v[name]
+                if name in ("word", "char"):  # one scale for all rows: what few windows show must not move as fast as what many do
+                    rate, size = VECTOR_RATE, size.max()
+                net.p[name] = (net.p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
