@@ -18,7 +18,7 @@ from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 60, 512, 0.01, 7
+HIDDEN, STEPS, BATCH, RATE, SEED = 16, 900, 512, 0.01, 7
 
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!?", b".", b",;:", b"\n", b"\"'()[]{}=/\\_~^`@+-")
 _URL = re.compile(rb"https?://|www\.")
@@ -73,20 +73,20 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
     return float(np.clip(u[ok][best] / p[ok][best], 0.05, 0.95))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = STEPS, seed: int = SEED) -> Model:
     """The network of least non-negative risk; without ``prior``, it is estimated by a first network on half of the rows."""
     rng = np.random.default_rng(seed)
     if prior is None:
-        first = train(positive[::2], unlabelled[::2], 0.5, max(epochs // 3, 1), seed)
+        first = train(positive[::2], unlabelled[::2], 0.5, max(steps // 3, 1), seed)
         prior = class_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for _ in range(epochs):
+    n = max(1, len(u) // BATCH)
+    for _ in range(-(-steps // n)):
         orders = rng.permutation(len(p)), rng.permutation(len(u))
-        n = max(1, len(u) // BATCH)
         for bp, bu in zip(np.array_split(orders[0], n), np.array_split(orders[1], n)):
             if not len(bp) or not len(bu):
                 continue
