@@ -62,11 +62,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     """Rows ``doc_id, text_hash, item_id, shift, spans``: for each alignment of an item with a document the windows that occur, as
     an array of ``(first, length)`` in document words.
 
-    ``slop`` 0 finds exact phrases; with ``slop`` > 0 a window also matches if up to ``slop`` of its words are replaced by others (its rarest terms still
-    stand at their places). Null and empty texts have no words. Rows of the same id and text count once; null ids are kept; other columns are not read.
+    ``slop`` 0 finds exact phrases; with ``slop`` > 0 a window also matches if up to ``slop`` of its words, but not all of them, are replaced by others. Null and empty texts have no words. Rows of the same id and text count once; null ids are kept; other columns are not read.
     """
     wins = settled(windows(items, window))
-    marks = settled(anchors(docs, wins, text_col=text_col))
+    rarest = max(RAREST, slop + 1)  # of slop + 1 terms one stands at its place in any match
+    marks = settled(anchors(docs, wins, rarest, text_col))
     terms = settled(marks.select("term").distinct())
     index = settled(postings(docs, terms, window - 1, id_col, text_col))
     hits = index.join(_small(marks, marks.count()), "term").withColumn("shift", F.col("pos") - F.col("place"))
@@ -87,7 +87,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     found = hits.select("doc_id", "text_hash", "item_id", "shift", "place", F.filter("wins", fits).alias("wins")).where("size(wins) > 0")
     lists = found.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.flatten(F.collect_list("wins")).alias("wins"))
     # a window stays if the lists of all its rarest terms have it at this shift
-    need = lambda w: F.least(F.lit(RAREST), w["length"])
+    need = lambda w: F.greatest(F.least(F.lit(rarest), w["length"]) - slop, F.lit(1))
     whole = F.filter(F.array_distinct("wins"), lambda w: F.size(F.filter("wins", lambda x: x == w)) >= need(w))
     spans = F.transform(whole, lambda w: F.struct((w["start"] + F.col("shift")).alias("first"), w["length"].alias("length")))
     return lists.select("doc_id", "text_hash", "item_id", "shift", spans.alias("spans")).where("size(spans) > 0")
