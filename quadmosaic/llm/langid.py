@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from math import log10
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,19 +37,22 @@ def grams(word: str, n: int) -> list[str]:
 def count_grams(rows: DataFrame, max_gram: int = MAX_GRAM) -> DataFrame:
     """Rows ``lang, n, gram, times``; n is 0 for words. Each task sums what it has seen before it sends."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: Counter[tuple[str, str]] = Counter()
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words.update((lang, w) for w in LETTERS.findall(text.lower()))
             seen: Counter[tuple[str, int, str]] = Counter()
-            for lang, part in pdf.groupby("lang"):
-                words = Counter(w for t in part["text"] for w in LETTERS.findall(t.lower()))
-                for w, times in words.items():
-                    seen[lang, 0, w] += times
-                    for n in range(1, max_gram + 1):
-                        for g in grams(w, n):
-                            seen[lang, n, g] += times
-            yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["lang", "n", "gram", "times"])
-
-    return rows.select("lang", "text").mapInPandas(run, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+            for (lang, w), times in words.items():
+                seen[lang, 0, w] += times
+                for n in range(1, max_gram + 1):
+                    for g in grams(w, n):
+                        seen[lang, n, g] += times
+            columns = list(zip(*((*k, v) for k, v in seen.items()))) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "n", "gram", "times"])
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
 
 
 class Model:

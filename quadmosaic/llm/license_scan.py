@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,14 +61,14 @@ def word_ranks(docs: DataFrame, templates: tuple[Template, ...], text_col: str =
     """The templates' words (a set bounded by the templates), rarest in the whole corpus first; ties by the word."""
     vocabulary = {w for t in templates for w in t.words}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
                 seen.update(w for w in words_of(text) if w in vocabulary)
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     times = {r.word: r.n for r in rows}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (times.get(w, 0), w)))}
 
