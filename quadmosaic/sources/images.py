@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quadmosaic.functions.geometry import tile_grid
 
@@ -164,31 +167,33 @@ def ingest_geotiff(files: DataFrame, size: int = 512) -> tuple[DataFrame, DataFr
     The first is ``source_name, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                try:
-                    tags, image = tiff_tags(content), tiff_decode(content)
-                    px, py = tags[33550][:2]
-                    left, top = tags[33922][3:5]
-                except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
-                    yield pd.DataFrame({"source_name": [name], "tile_id": [-1], "error": [str(e) or type(e).__name__]})
-                    continue
-                keys = dict(zip(tags.get(34735, ())[4::4], tags.get(34735, ())[7::4]))
-                h, w = image.shape[:2]
-                sections, tw, th = tile_grid(w, h, size)
-                cells = [(x, y) for y in range(0, sections * th, th) for x in range(0, sections * tw, tw) if x < w and y < h]
-                for k, (x, y) in enumerate(cells):
-                    part = image[y : y + th, x : x + tw]
-                    a, b = left + x * px, top - y * py
-                    yield pd.DataFrame([dict(source_name=name, tile_id=k, width=part.shape[1], height=part.shape[0], px=px, py=py, min_x=a, min_y=b - part.shape[0] * py, max_x=a + part.shape[1] * px, max_y=b, srid=keys.get(3072, keys.get(2048, -1)), raster=png_encode(part))])
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in INGESTED.split(", ")] + ["error"]
-        for pdf in run(batches):
-            yield pdf.reindex(columns=names)
-
-    rows = files.select("path", "content").mapInPandas(whole, INGESTED.replace(" int", " double").replace("tile_id int", "tile_id double") + ", error string")
-    ints = {c: F.col(c).cast("int") for c in ("tile_id", "width", "height", "srid")}
-    return rows.where("error is null").drop("error").withColumns(ints), rows.where("error is not null").select("source_name", "error")
+    schema = StructType.fromDDL(f"{INGESTED}, error string")
+    fields = to_arrow_schema(schema)
+
+    def cut(path: str, content: bytes) -> Iterator[dict]:
+        name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        try:
+            tags, image = tiff_tags(content), tiff_decode(content)
+            px, py = tags[33550][:2]
+            left, top = tags[33922][3:5]
+        except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
+            yield {"source_name": name, "error": str(e) or type(e).__name__}
+            return
+        keys = dict(zip(tags.get(34735, ())[4::4], tags.get(34735, ())[7::4]))
+        h, w = image.shape[:2]
+        sections, tw, th = tile_grid(w, h, size)
+        cells = [(x, y) for y in range(0, sections * th, th) for x in range(0, sections * tw, tw) if x < w and y < h]
+        for k, (x, y) in enumerate(cells):
+            part = image[y : y + th, x : x + tw]
+            rows, cols = part.shape[:2]
+            a, b = left + x * px, top - y * py
+            box = {"min_x": a, "min_y": b - rows * py, "max_x": a + cols * px, "max_y": b}
+            yield {"source_name": name, "tile_id": k, "width": cols, "height": rows, "px": px, "py": py, **box, "srid": keys.get(3072, keys.get(2048, -1)), "raster": png_encode(part)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(cut(row["path"], row["content"])), schema=fields)
+
+    rows = files.select("path", "content").mapInArrow(run, schema)
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "error")
