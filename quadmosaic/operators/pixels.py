@@ -23,13 +23,13 @@ def resample(pixels: DataFrame, width: Column, height: Column, new_w: Column, ne
     return rows.withColumn("out_x", F.explode(_targets(F.col("x"), width, new_w)))
 
 
-def thumbnail(pixels: DataFrame, width: int, height: int, new_w: int, new_h: int, by: tuple[str, ...] = ("tile",)) -> DataFrame:
-    """Area-weighted means, truncated. Overlaps are counted in whole parts of ``1 / new_w`` and ``1 / new_h`` pixels, so sums are exact."""
+def thumbnail(pixels: DataFrame, width: int | Column, height: int | Column, new_w: int | Column, new_h: int | Column, by: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """Area-weighted means, truncated. Overlaps are counted in whole parts of ``1 / new_w`` and ``1 / new_h`` pixels, so sums are exact. Sizes may be columns."""
 
-    def spread(rows: DataFrame, source: str, old: int, new: int, out: str, weight: str) -> DataFrame:
+    def spread(rows: DataFrame, source: str, old: int | Column, new: int | Column, out: str, weight: str) -> DataFrame:
+        old, new = (c.cast("long") if isinstance(c, Column) else F.lit(c).cast("long") for c in (old, new))
         i = F.col(source).cast("long")
-        first, last = F.expr(f"({source} * {new}L) div {old}"), F.expr(f"(({source} + 1) * {new}L - 1) div {old}")
-        rows = rows.withColumn(out, F.explode(F.sequence(first, last)))
+        rows = rows.withColumn(out, F.explode(F.sequence(F.floor(i * new / old), F.floor(((i + 1) * new - 1) / old))))
         o = F.col(out)
         return rows.withColumn(weight, F.least((i + 1) * new, (o + 1) * old) - F.greatest(i * new, o * old))
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.functions.geometry import tile_grid
+from quadmosaic.functions.colors import pack, unpack
+from quadmosaic.functions.geometry import half_up, tile_grid
 from quadmosaic.lineage import settled
+from quadmosaic.operators.pixels import thumbnail
 
 #: The ways the tiles of a square may be there, as bits 1 upper left, 2 upper right, 4 lower left, 8 lower right.
 PATTERNS = (15, 5, 3, 1)
@@ -70,6 +72,25 @@ def pyramid(meta: DataFrame, levels: int) -> DataFrame:
     return out.join(widths, ["source_name", "level"]).withColumn("tile_id", F.col("row") * F.col("n_cols") + F.col("col")).drop("n_cols")
 
 
+def next_images(pixels: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The next level's pixels ``source_name, row, col, ty, x, r, g, b`` from those of a level (``tile`` is the ``id`` in ``indexed``).
+
+    Each pixel goes to its place in the square's mosaic, which is then halved; only metadata is joined to the pixels.
+    """
+    square = [F.expr("row div 2").alias("srow"), F.expr("col div 2").alias("scol")]
+    sizes = indexed.groupBy("source_name", *square).agg(
+        F.max(F.when(F.col("col") % 2 == 0, F.col("width"))).alias("w0"), F.coalesce(F.max(F.when(F.col("col") % 2 == 1, F.col("width"))), F.lit(0)).alias("w1"),
+        F.max(F.when(F.col("row") % 2 == 0, F.col("height"))).alias("h0"), F.coalesce(F.max(F.when(F.col("row") % 2 == 1, F.col("height"))), F.lit(0)).alias("h1"),
+    )
+    placed = indexed.select("id", "source_name", "row", "col", *square).join(sizes, ["source_name", "srow", "scol"])
+    rows = pixels.join(placed.withColumnRenamed("id", "tile"), "tile").select(
+        "source_name", F.col("srow").alias("row"), F.col("scol").alias("col"), (F.col("w0") + F.col("w1")).alias("mw"), (F.col("h0") + F.col("h1")).alias("mh"),
+        (F.col("ty") + F.when(F.col("row") % 2 == 1, F.col("h0")).otherwise(0)).alias("ty"), (F.col("x") + F.when(F.col("col") % 2 == 1, F.col("w0")).otherwise(0)).alias("x"), "r", "g", "b",
+    )
+    halved = thumbnail(rows, F.col("mw"), F.col("mh"), F.floor(F.col("mw") / 2), F.floor(F.col("mh") / 2), ("source_name", "row", "col", "mw", "mh"))
+    return halved.withColumnsRenamed({"out_y": "ty", "out_x": "x"}).drop("mw", "mh")
+
+
 def topmost_layout(box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> list[tuple[int, int, int, int, int, int, float, float, float, float]]:
     """The cells of a top-most level over an extent: ``row, col, width, height`` on the canvas, thumbnail size, and footprint.
 
@@ -89,21 +110,45 @@ def topmost_layout(box: tuple[float, float, float, float], px: float, py: float,
     return out
 
 
+def _meeting(tiles: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each tile beside every cell that it strictly overlaps. Cells are equal but for the last row and column, so a tile finds its own by arithmetic and no tile meets every cell."""
+    s = cells.agg(F.max("width").alias("w"), F.max("height").alias("h"), F.max("row").alias("r"), F.max("col").alias("c"), F.min("cell_min_x").alias("x"), F.max("cell_max_y").alias("y")).first()
+    along = lambda v, step, last: F.least(F.greatest(F.floor(v / step), F.lit(0)), F.lit(last)).cast("int")
+    if s.w is None:
+        s = (1, 1, 0, 0, 0.0, 0.0)
+    w, h, last_row, last_col, left, top = s
+    across = F.sequence(along(F.col("min_x") - left, w * F.col("px"), last_col), along(F.col("max_x") - left, w * F.col("px"), last_col))
+    down = F.sequence(along(top - F.col("max_y"), h * F.col("py"), last_row), along(top - F.col("min_y"), h * F.col("py"), last_row))
+    found = tiles.select("id", "px", "py", "min_x", "min_y", "max_x", "max_y").withColumn("col", F.explode(across)).withColumn("row", F.explode(down))
+    inside: Column = (F.col("min_x") < F.col("cell_max_x")) & (F.col("max_x") > F.col("cell_min_x")) & (F.col("min_y") < F.col("cell_max_y")) & (F.col("max_y") > F.col("cell_min_y"))
+    return found.join(cells, ["row", "col"]).where(inside)
+
+
 def topmost(spark, tiles: DataFrame, box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> DataFrame:
     """The cells of :func:`topmost_layout` with ``n_tiles``, the tiles of the level that strictly overlap each; cells without any are left out."""
     names = "row int, col int, width int, height int, thumb_w int, thumb_h int, cell_min_x double, cell_min_y double, cell_max_x double, cell_max_y double"
     cells = spark.createDataFrame(topmost_layout(box, px, py, size), names)
     level = tiles.where((F.col("px") == px) & (F.col("py") == py))
-    # each tile finds its cells by arithmetic: cells are equal but for the last row and column
-    sizes = cells.agg(F.max("width").alias("w"), F.max("height").alias("h"), F.max("row").alias("r"), F.max("col").alias("c")).first()
-    if sizes.w is None:
-        return cells.withColumn("n_tiles", F.lit(0).cast("long"))
-    along = lambda v, step, last: F.least(F.greatest(F.floor(v / step), F.lit(0)), F.lit(last)).cast("int")
-    found = (
-        level.withColumn("col", F.explode(F.sequence(along(F.col("min_x") - box[0], sizes.w * px, sizes.c), along(F.col("max_x") - box[0], sizes.w * px, sizes.c))))
-        .withColumn("row", F.explode(F.sequence(along(box[3] - F.col("max_y"), sizes.h * py, sizes.r), along(box[3] - F.col("min_y"), sizes.h * py, sizes.r))))
-        .select("row", "col", "min_x", "min_y", "max_x", "max_y")
-        .join(F.broadcast(cells), ["row", "col"])
-    )
-    inside: Column = (F.col("min_x") < F.col("cell_max_x")) & (F.col("max_x") > F.col("cell_min_x")) & (F.col("min_y") < F.col("cell_max_y")) & (F.col("max_y") > F.col("cell_min_y"))
-    return found.where(inside).groupBy(*cells.columns).agg(F.count("*").alias("n_tiles"))
+    return _meeting(level, cells).groupBy(*cells.columns).agg(F.count("*").alias("n_tiles"))
+
+
+def topmost_images(pixels: DataFrame, tiles: DataFrame, cells: DataFrame, transparent: int = -1, background: int = 0) -> DataFrame:
+    """The pixels ``row, col, ty, x, r, g, b`` of top-most thumbnails: tiles of one level painted at their own size into each of ``cells``, then halved.
+
+    ``cells`` are those of :func:`topmost`; the highest tile ``id`` wins, and transparent pixels don't paint.
+    """
+    at = _meeting(tiles, cells).select(
+        F.col("id").alias("tile"), "row", "col", F.col("width").alias("cw"), F.col("height").alias("ch"), "thumb_w", "thumb_h",
+        half_up((F.col("min_x") - F.col("cell_min_x")) / F.col("px")).alias("dx"), half_up((F.col("cell_max_y") - F.col("max_y")) / F.col("py")).alias("dy"),
+    )
+    keys = ("row", "col", "cw", "ch", "thumb_w", "thumb_h")
+    rgb = pack(F.col("r"), F.col("g"), F.col("b"))
+    drawn = pixels.join(at, "tile").select(*keys, "tile", (F.col("ty") + F.col("dy")).alias("ty"), (F.col("x") + F.col("dx")).alias("x"), rgb.alias("rgb"))
+    drawn = drawn.where((F.col("ty") >= 0) & (F.col("x") >= 0) & (F.col("ty") < F.col("ch")) & (F.col("x") < F.col("cw")) & (F.col("rgb") != transparent))
+    painted = drawn.groupBy(*keys, "ty", "x").agg(F.max_by("rgb", "tile").alias("rgb"))
+    canvas = cells.select("row", "col", F.col("width").alias("cw"), F.col("height").alias("ch"), "thumb_w", "thumb_h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1)).alias("ty"))
+    canvas = canvas.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cw").cast("long") - 1)))
+    r, g, b = unpack(F.coalesce(F.col("rgb"), F.lit(background)))
+    whole = canvas.join(painted, [*keys, "ty", "x"], "left").select(*keys, "ty", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+    halved = thumbnail(whole, F.col("cw"), F.col("ch"), F.col("thumb_w"), F.col("thumb_h"), keys)
+    return halved.select("row", "col", F.col("out_y").alias("ty"), F.col("out_x").alias("x"), "r", "g", "b")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadmosaic.functions.geometry import Window, tile_grid
 from quadmosaic.operators.pixels import composite, thumbnail
-from quadmosaic.operators.pyramid import pyramid, topmost_layout
+from quadmosaic.operators.pyramid import grid_index, next_images, pyramid, topmost, topmost_images, topmost_layout
 from quadmosaic.operators.quantize import median_cut
 from quadmosaic.operators.terrain import georeference, match_colors
 from quadmosaic.sources import grids, images
@@ -162,3 +162,51 @@ def test_streamed_ingest(spark, tmp_path, geotiffs):
     folder, _ = geotiffs
     ingest(geotiff_files(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "marks"), 128).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+
+
+@pytest.fixture
+def mosaic(spark):
+    """A 14 x 10 image in tiles of 5 x 4: the last column and row are smaller."""
+    image = np.random.default_rng(5).integers(0, 256, (10, 14, 3))
+    meta, rows = [], []
+    for k, (y, x) in enumerate((y, x) for y in range(0, 10, 4) for x in range(0, 14, 5)):
+        part = image[y : y + 4, x : x + 5]
+        h, w = part.shape[:2]
+        meta.append((k + 1, "m", k, w, h, 1.0, 1.0, float(x), float(10 - y - h), float(x + w), float(10 - y), 0))
+        rows += [(k + 1, i, j, *map(int, part[i, j])) for i in range(h) for j in range(w)]
+    return image, spark.createDataFrame(meta, META), spark.createDataFrame(rows, "tile long, ty int, x int, r int, g int, b int")
+
+
+def _halved(image, h, w):
+    weights = lambda old, new: np.array([[max(0, min((i + 1) * new, (o + 1) * old) - max(i * new, o * old)) for i in range(old)] for o in range(new)])
+    wy, wx = weights(image.shape[0], h), weights(image.shape[1], w)
+    return np.einsum("oi,pj,ijc->opc", wy, wx, image) // (wy.sum(1)[:, None] * wx.sum(1)[None])[:, :, None]
+
+
+def _images(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault((r.row, r.col), {})[r.ty, r.x] = [r.r, r.g, r.b]
+    return out
+
+
+def test_next_level_images(spark, mosaic):
+    image, meta, pixels = mosaic
+    got = _images(next_images(pixels, grid_index(meta)))
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    for (r, c), cells in got.items():
+        part = image[8 * r : 8 * r + 8, 10 * c : 10 * c + 10]
+        want = _halved(part, part.shape[0] // 2, part.shape[1] // 2)
+        assert cells == {(y, x): want[y, x].tolist() for y in range(want.shape[0]) for x in range(want.shape[1])}
+
+
+def test_topmost_images(spark, mosaic):
+    image, meta, pixels = mosaic
+    cells = topmost(spark, meta, (0.0, 0.0, 14.0, 10.0), 1.0, 1.0, 4)
+    got = _images(topmost_images(pixels, meta, cells))
+    n, tw, th = tile_grid(14, 10, 8)
+    assert set(got) == {(r, c) for r in range(n) for c in range(n)}
+    for (r, c), out in got.items():
+        part = image[th * r : th * r + th, tw * c : tw * c + tw]
+        want = _halved(part, (part.shape[0] + 1) // 2, (part.shape[1] + 1) // 2)
+        assert out == {(y, x): want[y, x].tolist() for y in range(want.shape[0]) for x in range(want.shape[1])}
