@@ -14,7 +14,7 @@ from quadmosaic.operators import terrain
 from quadmosaic.operators.quantize import quantize
 from quadmosaic.operators.window import Access, best_access, window_tiles
 from quadmosaic.sources import fixtures as fx
-from quadmosaic.sources.catalog import srid_info
+from quadmosaic.sources.catalog import srid_info as reference_of
 from quadmosaic.sources.images import decoded_pixels, encode_tiles
 
 QUERIES: dict = {}
@@ -193,12 +193,12 @@ def purge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select r_regionkey srid, 'epsg' auth_name, 4000 + r_regionkey auth_srid, r_name ref_sys_name, '+proj=' || lower(r_name) proj4text from region join nation on n_regionkey = r_regionkey where n_nationkey = 7""")
-def srid_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def srid_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("r_regionkey")
     srs = fx.table(spark, sf_dir, "region").select(k.alias("srid"), F.lit("epsg").alias("auth_name"), (4000 + k).alias("auth_srid"), F.col("r_name").alias("ref_sys_name"), F.concat(F.lit("+proj="), F.lower("r_name")).alias("proj4text"))
     nation = fx.table(spark, sf_dir, "nation")
     catalog = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("_METADATA")).alias("f_table_name"), F.col("n_regionkey").alias("srid"))
-    return srid_info(catalog, srs, "n7")
+    return reference_of(catalog, srs, "n7")
 
 
 # Windows
