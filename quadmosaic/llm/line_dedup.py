@@ -52,24 +52,30 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     dropped = keyed.join(frequent, by)
     if keep_first:
         dropped = dropped.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
-    places = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    words = F.array_sort(F.array_distinct(F.transform("gone", lambda p: F.floor(p / 64).cast("int"))))
+    # one shuffle by document serves both steps: lines to groups of 64, groups to the document's bitmap
+    gone = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("gone")
+    groups = dropped.repartition("doc_id", "text_hash").groupBy("doc_id", "text_hash", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(gone)
+    return groups.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("keep"))
 
-    def bits(word: Column) -> Column:
-        inside = F.filter("gone", lambda p: F.floor(p / 64) == word)
-        return F.aggregate(inside, F.lit(-1).cast("long"), lambda b, p: b.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int")))))
 
-    return places.select("doc_id", "text_hash", F.transform(words, lambda w: F.struct(w.alias("word"), bits(w).alias("bits"))).alias("keep"))
+def _flags(keep: Column) -> Column:
+    """A byte for each line up to the last group that loses one, "0" where it goes: lines look theirs up in constant time."""
+
+    def group(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(keep, i - 1)["word"] + 1, F.lit(0))
+        return F.concat(F.repeat(F.lit("1" * 64), x["word"] - before), F.reverse(F.lpad(F.bin(x["bits"]), 64, "0")))
+
+    return F.array_join(F.transform(keep, group), "").cast("binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``. A document of which no line stays has an empty text."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.map_from_entries("keep").alias("__keep"))
+    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), _flags(F.col("keep")).alias("__keep"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
     joined = docs.join(marks.hint("shuffle_hash"), same, "left")
     lines = _lines(F.col(text_col))
-    bit = lambda i: F.call_function("shiftright", F.coalesce(F.col("__keep")[F.floor(i / 64).cast("int")], F.lit(-1).cast("long")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, lambda x, i: bit(i)))
+    gone = F.lit("0").cast("binary")
+    kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, lambda x, i: F.substring(F.col("__keep"), i + 1, F.lit(1)) != gone))
     return joined.withColumn("__kept", kept).withColumns(
         {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long"), "kept_text": F.array_join("__kept", "\n")}
     ).drop("__kept", "__id", "__hash", "__keep")
