@@ -17,16 +17,18 @@ from quadmosaic.llm.common import WORD_SEPARATORS, fold_ascii_col, settled, tabl
 WINDOW = 10
 #: Terms of a window that are looked up.
 RAREST = 2
-#: Bytes of terms up to which they are sent to every task; more are joined by a shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Bytes, as JSON, up to which a side is sent to every task; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(fold_ascii_col(F.coalesce(text, F.lit(""))), WORD_SEPARATORS, -1), "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is settled, marked for broadcast if its measured size allows it."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +43,7 @@ def anchors(docs: DataFrame, wins: DataFrame, rarest: int = RAREST, text_col: st
     placed = wins.withColumn("place", F.explode(F.expr("sequence(start, start + length - 1)"))).withColumn("term", F.col("item_words")[F.col("place")])
     vocabulary = settled(placed.select("term").distinct())
     tokens = docs.select(F.explode(_words(F.col(text_col))).alias("term"))
-    times = tokens.join(_small(vocabulary, vocabulary.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("times"))
+    times = tokens.join(_small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("times"))
     ranked = placed.join(times, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy("item_id", "item_words", "start").orderBy(F.coalesce("times", F.lit(0)), "term", "place")))
     return ranked.where(F.col("rank") <= rarest).groupBy("item_id", "item_words", "place", "term").agg(F.collect_list(F.struct("start", "length")).alias("wins"))
 
@@ -55,7 +57,7 @@ def postings(docs: DataFrame, terms: DataFrame, around: int, id_col: str = "doc_
     each = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term"))
     first = F.greatest(F.col("pos") - around, F.lit(0))
     near = F.slice("words", first + 1, F.col("pos") + around + 1 - first)
-    return each.join(_small(terms, terms.count()), "term", "left_semi").select("term", "doc_id", "text_hash", "pos", first.alias("first"), near.alias("near"))
+    return each.join(_small(terms), "term", "left_semi").select("term", "doc_id", "text_hash", "pos", first.alias("first"), near.alias("near"))
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +71,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     marks = settled(anchors(docs, wins, rarest, text_col))
     terms = settled(marks.select("term").distinct())
     index = settled(postings(docs, terms, window - 1, id_col, text_col))
-    hits = index.join(_small(marks, marks.count()), "term").withColumn("shift", F.col("pos") - F.col("place"))
+    hits = index.join(_small(marks), "term").withColumn("shift", F.col("pos") - F.col("place"))
 
     def fits(w: Column) -> Column:
         """Whether the posting's words can be the window's: it lies inside the document and the words agree."""
@@ -109,7 +111,7 @@ def with_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     hit = settled(contamination(docs, items, window, slop, id_col, text_col))
     hit_side = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_hit", "item_ids")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    joined = docs.drop("n_hit", "item_ids").join(_small(hit_side, hit.count() * 20), same, "left").drop("__id", "__hash")
+    joined = docs.drop("n_hit", "item_ids").join(_small(hit_side), same, "left").drop("__id", "__hash")
     return joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
 
 
