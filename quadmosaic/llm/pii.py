@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -83,19 +84,33 @@ def terms_of(text: str) -> list[str]:
     return [w.lower() for w in _TERM.findall(text)]
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The (start, end) of the stretches that sorted spans cover; they don't overlap, so both ends ascend."""
+    out: list[tuple[int, int]] = []
+    for a, _, z in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with blanks for whatever the spans cover."""
+    out, done = [], 0
+    for a, z in merged(spans):
+        out += [text[done:a], " " * (z - a)]
+        done = z
+    return "".join([*out, text[done:]])
+
+
 def mentions(text: str | None, around: int = AROUND) -> list[tuple[str, list[str], str]]:
     """(entity, distinct words near it, hash of these words in order) for each identifier of a text."""
     spans = entities(text)
     out, reach = [], 40 * around
+    plain = blanked(text, spans) if spans else ""  # words of identifiers are no context
     for start, kind, end in spans:
-        # words of other identifiers are blanked
-        lo, hi = max(0, start - reach), min(len(text), end + reach)
-        near = text[lo:hi]
-        for a, _, z in spans:
-            if z > lo and a < hi:
-                a, z = max(a - lo, 0), min(z - lo, hi - lo)
-                near = near[:a] + " " * (z - a) + near[z:]
-        before, after = terms_of(near[: start - lo])[-around:], terms_of(near[end - lo :])[:around]
+        before, after = terms_of(plain[max(0, start - reach) : start])[-around:], terms_of(plain[end : end + reach])[:around]
         context = hashlib.md5(" ".join([*before, "", *after]).encode(), usedforsecurity=False).hexdigest()
         value = re.sub(r"[\x20().-]", "", text[start:end]) if kind > 1 else text[start:end].lower()
         out.append((f"{KINDS[kind]}:{value}", sorted({*before, *after}), context))
@@ -158,11 +173,14 @@ def spans_of(text: str | None, terms: dict[str, bool]) -> list[tuple[int, int, i
     """(start, index in ``KINDS + TERM_KINDS``, end) of identifiers and of disclosing words that don't touch one, sorted."""
     found = entities(text)
     if terms and text:
-        inside = [(a, z) for a, _, z in found]
+        inside = merged(found)
+        starts = [a for a, _ in inside]
         for m in _TERM.finditer(text):
             removed = terms.get(m[0].lower())
-            if removed is not None and not any(a < m.end() and m.start() < z for a, z in inside):
-                found.append((m.start(), len(KINDS) + removed, m.end()))
+            if removed is not None:
+                before = bisect_left(starts, m.end())  # only the last stretch that starts before the word's end can reach into it
+                if not before or inside[before - 1][1] <= m.start():
+                    found.append((m.start(), len(KINDS) + removed, m.end()))
     return sorted(found)
 
 

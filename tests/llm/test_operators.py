@@ -208,6 +208,27 @@ def test_one_hot_line(spark):
 # 7 and 10
 
 
+def test_lines_of_long_documents(spark):
+    draw = random.Random(6)
+    texts = [[f"only {i} {j}" if draw.random() < 0.7 else f" SHARED {draw.randrange(40)}\t" for j in range(draw.choice((3, 64, 65, 700)))] for i in range(30)]
+    texts.append(["x"] * 130 + ["shared 1"] * 130)
+    docs_of = Counter(k for lines in texts for k in {x.strip().lower() for x in lines})
+    rows = [(i, "\n".join(lines)) for i, lines in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, 5))
+    want = {i: [x for x in lines if docs_of[x.strip().lower()] < 5] for i, lines in enumerate(texts)}
+    assert {r.doc_id: (r.kept_text, r.n_dropped) for r in got.collect()} == {i: ("\n".join(x), len(texts[i]) - len(x)) for i, x in want.items()}
+
+
+def test_wide_sides_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} one two three four") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two three"), (2, "five six")], "item_id long, text string")
+    want = decontam.with_contamination(docs, bench).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert decontam.with_contamination(docs, bench).orderBy("doc_id").collect() == want
+    assert {(r.n_hit, *r.item_ids) for r in want} == {(2, "1")}
+
+
 def _accuracy(spark, small, name, column, parts, part):
     labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     got = QUERIES[name](spark, small).collect()
@@ -291,6 +312,14 @@ def test_entities_against_plain_patterns(rows):
         assert pii.entities(text) == _brute_entities(text), text
 
 
+def test_spans_of_texts_with_many_identifiers():
+    text = "boss a@b.co boss +1 202 555 0100 boss " * 5000 + "boss@boss.org 4111 1111 1111 1111 boss"
+    spans = pii.spans_of(text, {"boss": True})
+    assert Counter(k for _, k, _ in spans) == Counter({0: 5001, 3: 5000, 2: 1, 5: 15001})
+    near = pii.mentions(text)
+    assert len(near) == 10002 and near[0][:2] == ("email:a@b.co", ["boss"]) and near[-1][1] == ["boss"]
+
+
 def test_disclosing_words(spark):
     rng = random.Random(9)
     filler = [f"w{chr(97 + i)}ord" for i in range(20)]
