@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that stand in ten documents or more; ``n_chars`` follows the text. Documents left without a word go."""
-    kept = apply_bitmaps(docs, keep_bitmaps(docs))
+    """Of a line that stands in ten documents or more keeps the first place; ``n_chars`` follows the text. Documents left without a word go: each of their lines stays elsewhere."""
+    kept = apply_bitmaps(docs, keep_bitmaps(docs, keep_first=True))
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     rows = kept.withColumns({"text": text, "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))})

@@ -423,3 +423,16 @@ def test_pipeline_stages(spark):
     assert set(kept["near"]) == set(groups.values())
     packed = corpus_pipeline.packing(spark, docs, small).collect()
     assert {r.doc_id for r in packed} == set(kept["benchmark"])
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    small = "/root/testdata/sf0.01"
+    copy = "a line of its own stands here\nand a second one follows it\nshared by all"
+    rows = [(i, copy if i < 12 else f"{i} other words {i} of this document {i * i}\nshared by all", "en", f"s{i % 5}", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, small).persist()
+    got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert got[0] == (copy, 1) and not set(range(1, 12)) & set(got)
+    assert {d for d in got if d >= 12} == set(range(12, 30)) and all("shared" not in got[d][0] for d in range(12, 30))
+    assert 0 in {r.doc_id for r in corpus_pipeline.packing(spark, docs, small).collect()}
