@@ -3,8 +3,8 @@
 Identifiers (e-mail, IP, card and phone numbers) are the protected entities. For each, the words near it are counted over the whole
 corpus. A word discloses an entity by the pointwise mutual information of the two, as a share of the entity's
 own information content: 1 means that the word stands only where the entity does. Words at or above ``remove`` are
-removed and words at or above ``generalise`` are replaced by their kind, in every document with that entity. A pair counts only if it was seen
-in ``support`` different contexts, so copies of one passage are no evidence.
+removed and words at or above ``generalise`` are replaced by their kind, in every document where they stand, whether it states the entity or not. A pair
+counts only if it was seen in ``support`` different contexts, so copies of one passage are no evidence.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from quadmosaic.llm.common import per_text, settled, table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("general", "removed")
 #: Words on each side of an entity that are its context.
-AROUND, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.75, 0.9
-#: Rows of a side that is sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+AROUND, SUPPORT, GENERALISE, REMOVE = 5, 2, 0.75, 0.9
+#: Rows and bytes of the words that are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,10 +107,12 @@ def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def mentions(text: str | None, around: int = AROUND) -> list[tuple[str, list[str], str]]:
     """(entity, distinct words near it, hash of these words in order) for each identifier of a text."""
     spans = entities(text)
-    out, reach = [], 40 * around
+    out: list[tuple[str, list[str], str]] = []
     plain = blanked(text, spans) if spans else ""  # words of identifiers are no context
+    words = [(m.start(), m[0].lower()) for m in _TERM.finditer(plain)]
     for start, kind, end in spans:
-        before, after = terms_of(plain[max(0, start - reach) : start])[-around:], terms_of(plain[end : end + reach])[:around]
+        left, right = bisect_left(words, (start,)), bisect_left(words, (end,))
+        before, after = [w for _, w in words[max(0, left - around) : left]], [w for _, w in words[right : right + around]]
         context = hashlib.md5(" ".join([*before, "", *after]).encode(), usedforsecurity=False).hexdigest()
         value = re.sub(r"[\x20().-]", "", text[start:end]) if kind > 1 else text[start:end].lower()
         out.append((f"{KINDS[kind]}:{value}", sorted({*before, *after}), context))
@@ -118,7 +120,7 @@ def mentions(text: str | None, around: int = AROUND) -> list[tuple[str, list[str
 
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, text_hash, terms``: for the documents with an entity that words disclose, those words as ``(term, removed)``."""
+    """Rows ``term, removed``, one for each word that discloses an entity; ``removed`` if it does so for any at or above ``remove``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # per_text passes one id: it gets the row's key here
     keyed = rows.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
@@ -146,16 +148,24 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     times = _document_counts(rows, wanted)
     pairs = together.join(times, "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both")))
     chosen = pairs.withColumn("share", share(F.col("n_term"))).where(F.col("share") >= generalise)
-    by_entity = chosen.groupBy("entity").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("removed"))).alias("terms"))
-    by_doc = found.select("doc", "entity").distinct().join(by_entity, "entity").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    return by_doc
+    return chosen.groupBy("term").agg(F.max(F.col("share") >= remove).alias("removed"))
+
+
+def _few(terms: DataFrame) -> list | None:
+    """The rows of ``terms``, which is settled, if their measured size lets every task have them."""
+    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return terms.collect() if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
+
+
+def _distinct_terms(texts: list) -> list:
+    return [[sorted(set(terms_of(t or ""))) for t in texts]]
 
 
 def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows ``term, n_term``: in how many rows' texts each wanted term stands. Tasks count a set of checked size on their own; a larger one is joined."""
-    few = [r.term for r in wanted.limit(BROADCAST_ROWS + 1).collect()]
-    if len(few) <= BROADCAST_ROWS:
-        chosen = frozenset(few)
+    few = _few(wanted)
+    if few is not None:
+        chosen = frozenset(r.term for r in few)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[str] = Counter()
@@ -165,7 +175,7 @@ def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    words = per_text(rows, lambda: lambda texts: [[sorted(set(terms_of(t or ""))) for t in texts]], "terms array<string>").select(F.explode("terms").alias("term"))
+    words = per_text(rows, lambda: _distinct_terms, "terms array<string>").select(F.explode("terms").alias("term"))
     return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
 
@@ -205,15 +215,25 @@ def find_personal_data(docs: DataFrame, with_text: bool = False, id_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     terms = settled(disclosing(docs, support, generalise, remove, id_col, text_col))
-    side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    joined = rows.join(side, F.xxhash64("doc_id", F.xxhash64("text")) == F.col("doc"), "left")
+    few = _few(terms)
+    schema = "spans array<struct<start:long,kind:string,end:long>>" + ", sanitised string" * with_text
 
-    def run(pairs: list) -> list:
-        spans = [spans_of(p["text"], {t["term"]: t["removed"] for t in p["terms"] or []}) for p in pairs]
+    def result(texts: list, spans: list) -> list:
         out = [[dict(start=a, kind=(KINDS + TERM_KINDS)[k], end=z) for a, k, z in s] for s in spans]
-        return [out, [sanitised(p["text"], s) for p, s in zip(pairs, spans)]] if with_text else [out]
+        return [out, [sanitised(t, s) for t, s in zip(texts, spans)]] if with_text else [out]
+
+    if few is not None:
+        chosen = {r.term: r.removed for r in few}
+        return per_text(rows, lambda: lambda texts: result(texts, [spans_of(t, chosen) for t in texts]), schema)
+    # too many for every task: words meet the terms by a shuffle, what is found goes back to its document
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    words = per_text(rows.select(key.alias("doc_id"), "text"), lambda: _distinct_terms, "terms array<string>").select(F.col("doc_id").alias("doc"), F.explode("terms").alias("term"))
+    side = words.distinct().join(terms, "term").groupBy("doc").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
+    joined = rows.join(side, key == F.col("doc"), "left")
+
+    def run(pairs: list) -> list:
+        return result([p["text"] for p in pairs], [spans_of(p["text"], {t["term"]: t["removed"] for t in p["terms"] or []}) for p in pairs])
 
-    schema = "spans array<struct<start:long,kind:string,end:long>>" + ", sanitised string" * with_text
     return per_text(joined.select("doc_id", F.struct("text", "terms").alias("text")), lambda: run, schema)
 
 

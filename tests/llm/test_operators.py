@@ -335,6 +335,20 @@ def test_disclosing_words(spark):
     assert all("secretname" not in r.sanitised and "corp" not in r.sanitised for r in got)
 
 
+@pytest.mark.parametrize("rows_sent", [20_000, 0])
+def test_disclosing_words_go_from_every_document(spark, monkeypatch, rows_sent):
+    """Two statements of an identifier are evidence; the word goes from a document without the identifier, too. Long words are whole words of the context."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows_sent)
+    filler = [f"w{chr(97 + i)}ord" for i in range(20)]
+    data = [(i, " ".join(filler[(i * k) % 20] for k in range(1, 13))) for i in range(200)]
+    data += [(300 + i, f"{filler[i]} secretname {filler[i + 2]} {'long' * 60} boss@corp.example {filler[i + 1]}") for i in range(2)]
+    data += [(400, f"{filler[3]} secretname {filler[4]}"), (400, f"{filler[3]} secretname {filler[4]}"), (None, None), (None, "SECRETNAME")]
+    got = pii.find_personal_data(spark.createDataFrame(data, "doc_id long, text string"), with_text=True).collect()
+    assert len(got) == len(data)
+    assert all("secretname" not in (r.sanitised or "").lower() and "long" not in (r.sanitised or "") for r in got)
+    assert Counter(s.kind for r in got for s in r.spans)["email"] == 2 and all(len(r.spans) == 1 for r in got if r.doc_id == 400)
+
+
 # 9
 
 
