@@ -160,6 +160,23 @@ def test_packed_bins_hold(spark, small, rows):
     assert tokens == {d: len(t.encode().split()) for d, t, _ in rows}
 
 
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    """Long texts with one word changed, each of its own source, ids twice or null: no two of them share a bin; all rows are packed."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(600)]
+    near = [" ".join([*words[: 50 * i], f"changed{i}", *words[50 * i + 1 :]]) for i in range(6)]
+    rows = [(i // 2 if i < 4 else None if i == 4 else 9, t, "en", f"s{i}", 1) for i, t in enumerate(near)]
+    rows += [(100 + i, " ".join(rng.choice(words) for _ in range(30)), "en", f"t{i}", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    group = {f: len({r.component_id for r in simhash.near_duplicates(df).where(f).collect()}) for f in ("doc_id is null or doc_id < 100",)}
+    assert set(group.values()) == {1}
+    got = QUERIES["op3_packing"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    bins = Counter((r.shard, r.bin) for r in got if r.n_tokens == 600)
+    assert sum(bins.values()) == 6 and set(bins.values()) == {1}
+
+
 # 4
 
 
