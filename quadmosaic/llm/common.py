@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
@@ -67,17 +68,16 @@ def fold_of(doc_id, parts: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def sample_ids(rows: DataFrame, label: str, most: int, labels: int = 64) -> DataFrame:
-    """Distinct ``doc_id, <label>``: for each of the most frequent ``labels`` values at most ``most`` ids, by the smallest hash of the id.
+def sample_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """Distinct ``doc_id, <label>``: for each value of the label at most ``most`` ids, by the smallest hash of the id.
 
-    Ids are first thinned to about 1.3 times the bound, so the top-k merges a bounded number of rows at any size.
+    Ids are first thinned to about 1.3 times the bound, so the top-k merges a bounded number of rows for a value at any size.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    times = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).distinct()
+    rate = F.least(F.lit(1.0), F.lit(1.3 * most) / F.count("*"))
+    rates = settled(rows.groupBy(label).agg((F.floor(rate * (1 << 20)) + 1).alias("__below")))
+    side = F.broadcast(rates) if rates.count() <= 10_000 else rates
     order = F.xxhash64("doc_id", F.lit(17))
-    out = rows.limit(0)
-    for r in times:
-        rate = min(1.0, 1.3 * most / r["count"])
-        own = rows.where((F.col(label) == r[label]) & (F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)).distinct()
-        out = out.unionAll(own.orderBy(order, "doc_id").limit(most))
-    return out
+    thinned = rows.join(side, label).where(F.pmod(order, F.lit(1 << 20)) < F.col("__below"))
+    rank = F.row_number().over(W.partitionBy(label).orderBy(order, "doc_id"))
+    return thinned.withColumn("__rank", rank).where(F.col("__rank") <= most).select("doc_id", label)

@@ -194,6 +194,15 @@ def test_language_backoff():
     assert score(["singing the", "le chateau", "", None, "12 !", "日本"])[0] == ("en", "fr", "und", "und", "und", "en")
 
 
+def test_more_than_64_languages_are_sampled(spark):
+    from quadmosaic.llm.common import sample_ids
+
+    docs = spark.range(710).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.least(F.col("id"), F.col("id") % 70).cast("string")).alias("lang"))
+    got = Counter(r.lang for r in sample_ids(docs, "lang", 20).collect())
+    assert len(got) == 70 and set(got.values()) <= {10, 11}
+    assert sample_ids(docs.withColumn("lang", F.lit("x")), "lang", 20).count() == 20
+
+
 # 5
 
 
