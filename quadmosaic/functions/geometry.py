@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A tile drawn more than so many times its size is drawn as a gray box.
 MAX_ZOOM = 16
+#: Side, in pixels of the level, of the squares that stored tiles are sorted by. No tile may be larger.
+BLOCK_PX = 16384
 
 
 @dataclass(frozen=True)
@@ -75,3 +78,24 @@ def tile_grid(width: int, height: int, size: int) -> tuple[int, int, int]:
     while width // sections > size or height // sections > size:
         sections += 1
     return sections, width // sections + (width // sections * sections < width), height // sections + (height // sections * sections < height)
+
+
+def level_name(px: Column, py: Column) -> Column:
+    return F.concat_ws("x", px.cast("string"), py.cast("string"))
+
+
+def storage_keys() -> dict[str, Column]:
+    """Where a tile is stored: its level, and the square of its upper left corner (``band`` down, ``block`` across)."""
+    return {
+        "level": level_name(F.col("px"), F.col("py")),
+        "band": F.floor(-F.col("max_y") / (F.col("py") * BLOCK_PX)).cast("int"),
+        "block": F.floor(F.col("min_x") / (F.col("px") * BLOCK_PX)).cast("int"),
+    }
+
+
+def stored_near(px: float, py: float, box: tuple[float, float, float, float]) -> Column:
+    """The squares of a level that may have tiles which meet a box: those it lies on, and one more to the left and above."""
+    x1, y1, x2, y2 = box
+    down = F.col("band").between(math.floor(-y2 / (py * BLOCK_PX)) - 1, math.floor(-y1 / (py * BLOCK_PX)))
+    across = F.col("block").between(math.floor(x1 / (px * BLOCK_PX)) - 1, math.floor(x2 / (px * BLOCK_PX)))
+    return (F.col("level") == level_name(F.lit(float(px)), F.lit(float(py)))) & down & across

@@ -60,6 +60,14 @@ def nearest_level(level_rows: DataFrame, px: Column) -> DataFrame:
     return level_rows.withColumn("distance", F.abs(px - F.col("px"))).orderBy("distance", F.desc("px"))
 
 
+def nearest_levels(requests: DataFrame, level_rows: DataFrame, px: str = "req") -> DataFrame:
+    """``requests`` with ``px, py, tile_count, strict`` of the level nearest to each; the coarser one on ties. The levels, a few rows by definition, go along as one array."""
+    found = F.array_min(F.transform("__levels", lambda v: F.struct(F.abs(F.col(px) - v["px"]).alias("distance"), (-v["px"]).alias("coarse"), v.alias("v"))))["v"]
+    levels = level_rows.agg(F.collect_list(F.struct("px", "py", "tile_count")).alias("__levels")).withColumn("__one", F.lit(1))
+    rows = requests.withColumn("__one", F.lit(1)).join(F.broadcast(levels), "__one").withColumn("__found", found)
+    return rows.select(*requests.columns, "__found.px", "__found.py", "__found.tile_count", (F.col("__found.tile_count") > STRICT_OVER).alias("strict"))
+
+
 def overlaps(box: tuple[float, float, float, float], strict: bool) -> Column:
     """Whether a tile overlaps ``min_x, min_y, max_x, max_y``: plain comparisons, so that the scan prunes by statistics."""
     x1, y1, x2, y2 = box

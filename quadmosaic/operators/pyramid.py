@@ -1,113 +1,193 @@
-"""Pyramid levels: four tiles of one level make one of the next, within a source or across sources."""
+"""Pyramid levels: four tiles of one level make one of the next, within a source or across sources.
+
+Tiles are placed by their edges, counted in whole pixels of the source's base level. On each axis, tiles whose edges meet make a run; a gap or an
+overlap starts a new run. Squares of two by two places are taken inside runs, so only tiles that meet are joined and every tile is kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.functions.colors import pack, unpack
+from quadmosaic.functions.colors import BACKGROUND_DEFAULT, TRANSPARENT_NONE, pack, unpack
 from quadmosaic.functions.geometry import half_up, tile_grid
 from quadmosaic.lineage import settled
+from quadmosaic.operators.canvas import paint_blobs
+from quadmosaic.operators.levels import TOPMOST
 from quadmosaic.operators.pixels import thumbnail
 
-#: The ways the tiles of a square may be there, as bits 1 upper left, 2 upper right, 4 lower left, 8 lower right.
-PATTERNS = (15, 5, 3, 1)
+#: The places of a square that may have tiles, as bits 1 upper left, 2 upper right, 4 lower left, 8 lower right: those that make a rectangle.
+PATTERNS = (15, 5, 10, 3, 12, 1, 2, 4, 8)
+PLACED = ("source_name", "run_x", "run_y", "row", "col", "n_levels", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y", "ux", "ux2", "uy", "uy2")
+
+
+class PyramidError(ValueError):
+    """Tiles that don't make squares."""
+
+
+def _axis(edges: DataFrame, low: str, high: str, run: str, rank: str) -> DataFrame:
+    """The distinct places of tiles on one axis with their run, their rank in it and the levels that the run needs. These are rows and columns of tiles, not tiles."""
+    cells = edges.groupBy("source_name", low).agg(F.max(high).alias("high"))
+    order = W.partitionBy("source_name").orderBy(low)
+    starts = F.coalesce(F.lag("high").over(order) != F.col(low), F.lit(True))
+    runs = cells.withColumn(run, F.sum(starts.cast("int")).over(order) - 1)
+    inside = W.partitionBy("source_name", run)
+    return runs.select(
+        "source_name", low, run, (F.row_number().over(inside.orderBy(low)) - 1).cast("long").alias(rank), F.ceil(F.log2(F.count("*").over(inside).cast("double"))).cast("int").alias(f"levels_{rank}")
+    )
 
 
 def grid_index(meta: DataFrame) -> DataFrame:
-    """``meta`` with ``col`` and ``row`` of each tile in its source, from the distinct left and upper edges. Only these edges are ranked, not the tiles."""
+    """``meta`` with the place of each tile: ``run_x, run_y`` (the run it is in), ``col, row`` in the run, and ``n_levels``, how often its source can be halved."""
+    corner = meta.groupBy("source_name").agg(F.min("min_x").alias("left"), F.max("max_y").alias("top"), F.min("px").alias("upx"), F.min("py").alias("upy"))
+    unit = lambda v, size: half_up(v / F.col(size))
+    units = settled(
+        meta.join(corner, "source_name").withColumns(
+            {
+                "ux": unit(F.col("min_x") - F.col("left"), "upx"),
+                "ux2": unit(F.col("max_x") - F.col("left"), "upx"),
+                "uy": unit(F.col("top") - F.col("max_y"), "upy"),
+                "uy2": unit(F.col("top") - F.col("min_y"), "upy"),
+            }
+        ).drop("left", "top", "upx", "upy")
+    )
+    cols, rows = settled(_axis(units, "ux", "ux2", "run_x", "col")), settled(_axis(units, "uy", "uy2", "run_y", "row"))
+    most = cols.groupBy("source_name").agg(F.max("levels_col").alias("n")).unionAll(rows.groupBy("source_name").agg(F.max("levels_row").alias("n"))).groupBy("source_name").agg(F.max("n").alias("n_levels"))
+    # tiles meet the columns' and rows' places by source and edge, so no source is one key
+    return units.join(cols.join(most, "source_name").drop("levels_col"), ["source_name", "ux"]).join(rows.drop("levels_row"), ["source_name", "uy"])
+
 
-    def ranked(edge: str, descending: bool, out: str) -> DataFrame:
-        order = F.desc(edge) if descending else F.asc(edge)
-        return meta.select("source_name", edge).distinct().withColumn(out, (F.row_number().over(W.partitionBy("source_name").orderBy(order)) - 1).cast("long"))
+SQUARE = ("source_name", "run_x", "run_y", "row", "col")
 
-    return meta.join(ranked("min_x", False, "col"), ["source_name", "min_x"]).join(ranked("max_y", True, "row"), ["source_name", "max_y"])
+
+def squares_of(indexed: DataFrame) -> DataFrame:
+    """``indexed`` with the tile's ``place`` in its square, 0 to 3, and ``row`` and ``col`` of the square."""
+    place = (F.col("row") % 2 * 2 + F.col("col") % 2).cast("int")
+    return indexed.withColumn("place", place).withColumns({"row": F.expr("row div 2"), "col": F.expr("col div 2")})
 
 
 def assemble(indexed: DataFrame) -> DataFrame:
     """One row for each square of four places: its pattern, whether its tiles fit together, the mosaic's and the thumbnail's size, and its footprint."""
-    place = (F.col("row") % 2 * 2 + F.col("col") % 2).cast("int")
-    at = lambda k, c: F.max(F.when(place == k, F.col(c)))
-    squares = indexed.groupBy("source_name", F.expr("row div 2").alias("row"), F.expr("col div 2").alias("col")).agg(
-        F.sum(F.call_function("shiftleft", F.lit(1), place)).cast("int").alias("pattern"),
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    sides = {"w": "width", "h": "height", "l": "ux", "r": "ux2", "t": "uy", "b": "uy2"}
+    squares = squares_of(indexed).groupBy(*SQUARE).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).cast("int").alias("pattern"),
         F.count("*").alias("n_tiles"),
-        *[at(k, c).alias(f"{c[0]}{k}") for k in range(4) for c in ("width", "height")],
+        *[at(k, c).alias(f"{s}{k}") for k in range(4) for s, c in sides.items()],
+        F.max("n_levels").alias("n_levels"),
         F.max("px").alias("px"),
         F.max("py").alias("py"),
+        F.min("ux").alias("ux"), F.max("ux2").alias("ux2"), F.min("uy").alias("uy"), F.max("uy2").alias("uy2"),
         F.min("min_x").alias("min_x"),
         F.min("min_y").alias("min_y"),
         F.max("max_x").alias("max_x"),
         F.max("max_y").alias("max_y"),
-    )
+    )
     pair = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(True))
-    fits = F.col("pattern").isin(*PATTERNS) & (F.col("n_tiles") <= 4) & pair("w0", "w2") & pair("w1", "w3") & pair("h0", "h1") & pair("h2", "h3")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    sized = squares.withColumns({"fits": fits, "mosaic_w": zero("w0") + zero("w1"), "mosaic_h": zero("h0") + zero("h2")})
-    return sized.withColumns({"width": F.expr("int(mosaic_w div 2)"), "height": F.expr("int(mosaic_h div 2)")}).drop(*[f"{c}{k}" for k in range(4) for c in "wh"])
+    shape = F.col("pattern").isin(*PATTERNS) & (F.col("n_tiles") == F.bit_count("pattern"))
+    sizes = pair("w0", "w2") & pair("w1", "w3") & pair("h0", "h1") & pair("h2", "h3")
+    meet = pair("r0", "l1") & pair("r2", "l3") & pair("b0", "t2") & pair("b1", "t3") & pair("t0", "t1") & pair("l0", "l2")
+    first = lambda a, b: F.coalesce(F.col(a), F.col(b), F.lit(0))
+    sized = squares.withColumns({"fits": shape & sizes & meet, "left_w": first("w0", "w2"), "top_h": first("h0", "h1")})
+    sized = sized.withColumns({"mosaic_w": F.col("left_w") + first("w1", "w3"), "mosaic_h": F.col("top_h") + first("h2", "h3")})
+    half = lambda c: F.greatest(F.expr(f"int({c} div 2)"), F.lit(1))
+    return sized.withColumns({"width": half("mosaic_w"), "height": half("mosaic_h")}).drop(*[f"{s}{k}" for k in range(4) for s in sides])
+
+
+def checked(squares: DataFrame) -> DataFrame:
+    """``squares``, settled; a :class:`PyramidError` names a source whose tiles don't make squares. No source is left out silently."""
+    squares = settled(squares)
+    bad = squares.where("not fits").select("source_name", "pattern", "min_x", "max_y").first()
+    if bad:
+        raise PyramidError(f"source {bad.source_name}: tiles that don't make a square at {bad.min_x}, {bad.max_y} (pattern {bad.pattern})")
+    return squares
 
 
 def next_level(indexed: DataFrame) -> DataFrame:
-    """The next level's metadata, with ``row`` and ``col``, of the sources whose squares all fit; pixel sizes double."""
-    squares = assemble(indexed)
-    bad = squares.where("not fits").select("source_name").distinct()
-    good = squares.join(bad, "source_name", "left_anti")
-    return good.select("source_name", "row", "col", "width", "height", (F.col("px") * 2).alias("px"), (F.col("py") * 2).alias("py"), "min_x", "min_y", "max_x", "max_y")
+    """The next level's metadata, indexed; pixel sizes double."""
+    return checked(assemble(indexed)).withColumns({"px": F.col("px") * 2, "py": F.col("py") * 2}).select(*PLACED)
+
 
+def numbered(tiles: DataFrame, by: tuple[str, ...] = ("source_name",)) -> DataFrame:
+    """``tiles`` with ``col`` and ``row`` counted over the whole source and ``tile_id`` from these, row by row, for each of ``by``. Only the distinct places of each axis are ranked."""
 
-def pyramid(meta: DataFrame, levels: int) -> DataFrame:
-    """``level, source_name, tile_id, row, col, width, height, px, py`` and footprint for the base (level 0) and ``levels`` more.
+    def places(run: str, at: str) -> DataFrame:
+        ranked = tiles.select(*by, run, at).distinct().withColumn(f"own_{at}", (F.row_number().over(W.partitionBy(*by).orderBy(run, at)) - 1).cast("long"))
+        return ranked.withColumn(f"n_{at}", F.count("*").over(W.partitionBy(*by)))
 
-    Of each source, levels go on until one has a single tile. ``tile_id`` counts tiles row by row in their source.
+    placed = tiles.join(places("run_x", "col"), [*by, "run_x", "col"]).join(places("run_y", "row").drop("n_row"), [*by, "run_y", "row"])
+    placed = placed.withColumns({"row": F.col("own_row"), "col": F.col("own_col"), "tile_id": F.col("own_row") * F.col("n_col") + F.col("own_col")})
+    return placed.drop("own_row", "own_col", "n_col", "run_x", "run_y", "n_levels", "ux", "ux2", "uy", "uy2")
+
+
+def pyramid(meta: DataFrame, levels: int | None = None) -> DataFrame:
+    """``level, source_name, tile_id, row, col, width, height, px, py`` and footprint for the base (level 0) and the levels over it.
+
+    Of each source, levels go on until none of its tiles meets another (one tile, for a source without gaps), or up to ``levels``. ``row`` and ``col``
+    count the rows and columns that have tiles; ``tile_id`` counts their places row by row.
     """
-    names = ("source_name", "row", "col", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y")
-    current = settled(grid_index(meta).select(*names))
+    current = settled(grid_index(meta).select(*PLACED))
+    top = current.agg(F.max("n_levels")).first()[0] or 0
     out = current.withColumn("level", F.lit(0))
-    for k in range(1, levels + 1):
-        several = current.groupBy("source_name").agg(F.count("*").alias("n")).where("n > 1").select("source_name")
-        current = settled(next_level(current.join(several, "source_name", "left_semi")))
+    for k in range(1, (top if levels is None else min(top, levels)) + 1):
+        current = next_level(current.where(F.col("n_levels") >= k))
         out = out.unionByName(current.withColumn("level", F.lit(k)))
-    # rows and columns have no gaps, so a tile's number follows from its place
-    widths = out.groupBy("source_name", "level").agg((F.max("col") + 1).alias("n_cols"))
-    return out.join(widths, ["source_name", "level"]).withColumn("tile_id", F.col("row") * F.col("n_cols") + F.col("col")).drop("n_cols")
+    return numbered(out, ("level", "source_name"))
 
 
 def next_images(pixels: DataFrame, indexed: DataFrame) -> DataFrame:
-    """The next level's pixels ``source_name, row, col, ty, x, r, g, b`` from those of a level (``tile`` is the ``id`` in ``indexed``).
+    """The next level's pixels ``source_name, run_x, run_y, row, col, ty, x, r, g, b`` from those of a level (``tile`` is the ``id`` in ``indexed``).
 
     Each pixel goes to its place in the square's mosaic, which is then halved; only metadata is joined to the pixels.
     """
-    square = [F.expr("row div 2").alias("srow"), F.expr("col div 2").alias("scol")]
-    sizes = indexed.groupBy("source_name", *square).agg(
-        F.max(F.when(F.col("col") % 2 == 0, F.col("width"))).alias("w0"), F.coalesce(F.max(F.when(F.col("col") % 2 == 1, F.col("width"))), F.lit(0)).alias("w1"),
-        F.max(F.when(F.col("row") % 2 == 0, F.col("height"))).alias("h0"), F.coalesce(F.max(F.when(F.col("row") % 2 == 1, F.col("height"))), F.lit(0)).alias("h1"),
-    )
-    placed = indexed.select("id", "source_name", "row", "col", *square).join(sizes, ["source_name", "srow", "scol"])
+    sizes = checked(assemble(indexed)).select(*SQUARE, "left_w", "top_h", "mosaic_w", "mosaic_h", F.col("width").alias("nw"), F.col("height").alias("nh"))
+    placed = squares_of(indexed).select("id", "place", *SQUARE).join(sizes, [*SQUARE])
+    right, low = F.col("place") % 2 == 1, F.col("place") >= 2
     rows = pixels.join(placed.withColumnRenamed("id", "tile"), "tile").select(
-        "source_name", F.col("srow").alias("row"), F.col("scol").alias("col"), (F.col("w0") + F.col("w1")).alias("mw"), (F.col("h0") + F.col("h1")).alias("mh"),
-        (F.col("ty") + F.when(F.col("row") % 2 == 1, F.col("h0")).otherwise(0)).alias("ty"), (F.col("x") + F.when(F.col("col") % 2 == 1, F.col("w0")).otherwise(0)).alias("x"), "r", "g", "b",
+        *SQUARE, "mosaic_w", "mosaic_h", "nw", "nh", (F.col("ty") + F.when(low, F.col("top_h")).otherwise(0)).alias("ty"), (F.col("x") + F.when(right, F.col("left_w")).otherwise(0)).alias("x"), "r", "g", "b"
+    )
+    halved = thumbnail(rows, F.col("mosaic_w"), F.col("mosaic_h"), F.col("nw"), F.col("nh"), (*SQUARE, "mosaic_w", "mosaic_h", "nw", "nh"))
+    return halved.withColumnsRenamed({"out_y": "ty", "out_x": "x"}).drop("mosaic_w", "mosaic_h", "nw", "nh")
+
+
+def next_blobs(indexed: DataFrame, rasters: DataFrame, kind: str = "PNG") -> DataFrame:
+    """The next level, indexed, with ``raster`` and ``error``: of each square the blobs (``id, raster``) are decoded, joined, halved and encoded in one task."""
+    squares = checked(assemble(indexed))
+    placed = squares_of(indexed).select("id", "place", *SQUARE, F.col("width").alias("new_w"), F.col("height").alias("new_h")).join(squares.select(*SQUARE, "left_w", "top_h", "mosaic_w", "mosaic_h", "width", "height"), [*SQUARE])
+    right, low = F.col("place") % 2 == 1, F.col("place") >= 2
+    rows = placed.join(rasters.select("id", "raster"), "id").select(
+        *SQUARE, F.col("mosaic_w").cast("int").alias("canvas_w"), F.col("mosaic_h").cast("int").alias("canvas_h"), F.col("width").alias("out_w"), F.col("height").alias("out_h"), F.col("id").alias("order"),
+        F.when(right, F.col("left_w")).otherwise(0).cast("long").alias("at_x"), F.when(low, F.col("top_h")).otherwise(0).cast("long").alias("at_y"),
+        F.col("new_w").cast("long").alias("new_w"), F.col("new_h").cast("long").alias("new_h"), F.lit(False).alias("boxed"), "raster",
     )
-    halved = thumbnail(rows, F.col("mw"), F.col("mh"), F.floor(F.col("mw") / 2), F.floor(F.col("mh") / 2), ("source_name", "row", "col", "mw", "mh"))
-    return halved.withColumnsRenamed({"out_y": "ty", "out_x": "x"}).drop("mw", "mh")
-
+    blobs = paint_blobs(rows, SQUARE, kind).select(*SQUARE, "raster", "error")
+    return squares.withColumns({"px": F.col("px") * 2, "py": F.col("py") * 2}).select(*PLACED).join(blobs, [*SQUARE])
 
-def topmost_layout(box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> list[tuple[int, int, int, int, int, int, float, float, float, float]]:
-    """The cells of a top-most level over an extent: ``row, col, width, height`` on the canvas, thumbnail size, and footprint.
 
-    Cells are cut from the top at twice ``size``; thumbnails have the rounded-up half. Empty ones are left out. There are as many as tiles of the level: a small list.
-    """
+def topmost_grid(box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> dict:
+    """The cells of a top-most level over an extent, as numbers: the canvas, sections of an axis and a cell's size. Cells are cut from the top at twice ``size``."""
     min_x, min_y, max_x, max_y = box
     width, height = int((max_x - min_x) / px), int((max_y - min_y) / py)
     width, height = width + (width * px < max_x - min_x), height + (height * py < max_y - min_y)
     sections, tw, th = tile_grid(width, height, 2 * size)
-    out = []
-    for row in range(sections):
-        for col in range(sections):
-            w, h = min(tw, width - col * tw), min(th, height - row * th)
-            if w > 0 and h > 0:
-                left, top = min_x + col * tw * px, max_y - row * th * py
-                out.append((row, col, w, h, (w + 1) // 2, (h + 1) // 2, left, max(top - h * py, min_y), min(left + w * px, max_x), top))
-    return out
+    return {"left": min_x, "bottom": min_y, "right": max_x, "top": max_y, "px": px, "py": py, "width": width, "height": height, "sections": sections, "tw": tw, "th": th}
+
+
+def topmost_layout(spark: SparkSession, box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> DataFrame:
+    """The cells of a top-most level: ``row, col, width, height`` on the canvas, thumbnail size (the rounded-up half), and footprint. Empty ones are left out."""
+    g = topmost_grid(box, px, py, size)
+    cells = spark.range(g["sections"] ** 2).select(F.expr(f"int(id div {g['sections']})").alias("row"), (F.col("id") % g["sections"]).cast("int").alias("col"))
+    cells = cells.withColumns(
+        {"width": F.least(F.lit(g["tw"]), g["width"] - F.col("col").cast("long") * g["tw"]).cast("int"), "height": F.least(F.lit(g["th"]), g["height"] - F.col("row").cast("long") * g["th"]).cast("int")}
+    ).where("width > 0 and height > 0")
+    left, top = g["left"] + F.col("col").cast("long") * g["tw"] * F.lit(float(px)), g["top"] - F.col("row").cast("long") * g["th"] * F.lit(float(py))
+    half = lambda c: F.expr(f"int(({c} + 1) div 2)")
+    return cells.select(
+        "row", "col", "width", "height", half("width").alias("thumb_w"), half("height").alias("thumb_h"),
+        left.alias("cell_min_x"), F.greatest(top - F.col("height") * F.lit(float(py)), F.lit(float(g["bottom"]))).alias("cell_min_y"),
+        F.least(left + F.col("width") * F.lit(float(px)), F.lit(float(g["right"]))).alias("cell_max_x"), top.alias("cell_max_y"),
+    )
 
 
 def _meeting(tiles: DataFrame, cells: DataFrame) -> DataFrame:
@@ -119,28 +199,47 @@ def _meeting(tiles: DataFrame, cells: DataFrame) -> DataFrame:
     w, h, last_row, last_col, left, top = s
     across = F.sequence(along(F.col("min_x") - left, w * F.col("px"), last_col), along(F.col("max_x") - left, w * F.col("px"), last_col))
     down = F.sequence(along(top - F.col("max_y"), h * F.col("py"), last_row), along(top - F.col("min_y"), h * F.col("py"), last_row))
-    found = tiles.select("id", "px", "py", "min_x", "min_y", "max_x", "max_y").withColumn("col", F.explode(across)).withColumn("row", F.explode(down))
+    names = [c for c in ("id", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y") if c in tiles.columns]
+    found = tiles.select(*names).withColumnsRenamed({"width": "tile_w", "height": "tile_h"}).withColumn("col", F.explode(across)).withColumn("row", F.explode(down))
     inside: Column = (F.col("min_x") < F.col("cell_max_x")) & (F.col("max_x") > F.col("cell_min_x")) & (F.col("min_y") < F.col("cell_max_y")) & (F.col("max_y") > F.col("cell_min_y"))
     return found.join(cells, ["row", "col"]).where(inside)
 
 
-def topmost(spark, tiles: DataFrame, box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> DataFrame:
+def _at(box_left: str, box_top: str) -> tuple[Column, Column]:
+    return half_up((F.col("min_x") - F.col(box_left)) / F.col("px")), half_up((F.col(box_top) - F.col("max_y")) / F.col("py"))
+
+
+def topmost(tiles: DataFrame, box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> DataFrame:
     """The cells of :func:`topmost_layout` with ``n_tiles``, the tiles of the level that strictly overlap each; cells without any are left out."""
-    names = "row int, col int, width int, height int, thumb_w int, thumb_h int, cell_min_x double, cell_min_y double, cell_max_x double, cell_max_y double"
-    cells = spark.createDataFrame(topmost_layout(box, px, py, size), names)
+    cells = topmost_layout(tiles.sparkSession, box, px, py, size)
     level = tiles.where((F.col("px") == px) & (F.col("py") == py))
     return _meeting(level, cells).groupBy(*cells.columns).agg(F.count("*").alias("n_tiles"))
 
 
+def topmost_blobs(meta: DataFrame, rasters: DataFrame, box: tuple[float, float, float, float], px: float, py: float, size: int = 512, kind: str = "PNG", transparent: int = TRANSPARENT_NONE, background: int = BACKGROUND_DEFAULT) -> DataFrame:
+    """The next top-most level as tiles with ``raster``: all sources' tiles of a level painted at their own size into cells, which are then halved."""
+    cells = topmost_layout(meta.sparkSession, box, px, py, size)
+    level = meta.where((F.col("px") == px) & (F.col("py") == py))
+    dx, dy = _at("cell_min_x", "cell_max_y")
+    rows = _meeting(level, cells).join(rasters.select("id", "raster"), "id").select(
+        "row", "col", F.col("width").alias("canvas_w"), F.col("height").alias("canvas_h"), F.col("thumb_w").alias("out_w"), F.col("thumb_h").alias("out_h"), F.col("id").alias("order"),
+        dx.alias("at_x"), dy.alias("at_y"), F.col("tile_w").cast("long").alias("new_w"), F.col("tile_h").cast("long").alias("new_h"), F.lit(False).alias("boxed"), "raster",
+    )
+    blobs = paint_blobs(rows, ("row", "col"), kind, transparent, background).where("raster is not null").select("row", "col", "raster", "error")
+    sections = topmost_grid(box, px, py, size)["sections"]
+    return cells.join(blobs, ["row", "col"]).select(
+        F.lit(TOPMOST).alias("source_name"), (F.col("row").cast("long") * sections + F.col("col")).cast("int").alias("tile_id"), F.col("thumb_w").alias("width"), F.col("thumb_h").alias("height"), F.lit(2.0 * px).alias("px"), F.lit(2.0 * py).alias("py"),
+        F.col("cell_min_x").alias("min_x"), F.col("cell_min_y").alias("min_y"), F.col("cell_max_x").alias("max_x"), F.col("cell_max_y").alias("max_y"), "raster", "error",
+    )
+
+
 def topmost_images(pixels: DataFrame, tiles: DataFrame, cells: DataFrame, transparent: int = -1, background: int = 0) -> DataFrame:
     """The pixels ``row, col, ty, x, r, g, b`` of top-most thumbnails: tiles of one level painted at their own size into each of ``cells``, then halved.
 
     ``cells`` are those of :func:`topmost`; the highest tile ``id`` wins, and transparent pixels don't paint.
     """
-    at = _meeting(tiles, cells).select(
-        F.col("id").alias("tile"), "row", "col", F.col("width").alias("cw"), F.col("height").alias("ch"), "thumb_w", "thumb_h",
-        half_up((F.col("min_x") - F.col("cell_min_x")) / F.col("px")).alias("dx"), half_up((F.col("cell_max_y") - F.col("max_y")) / F.col("py")).alias("dy"),
-    )
+    dx, dy = _at("cell_min_x", "cell_max_y")
+    at = _meeting(tiles, cells).select(F.col("id").alias("tile"), "row", "col", F.col("width").alias("cw"), F.col("height").alias("ch"), "thumb_w", "thumb_h", dx.alias("dx"), dy.alias("dy"))
     keys = ("row", "col", "cw", "ch", "thumb_w", "thumb_h")
     rgb = pack(F.col("r"), F.col("g"), F.col("b"))
     drawn = pixels.join(at, "tile").select(*keys, "tile", (F.col("ty") + F.col("dy")).alias("ty"), (F.col("x") + F.col("dx")).alias("x"), rgb.alias("rgb"))

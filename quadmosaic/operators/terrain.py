@@ -10,27 +10,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadmosaic.functions.colors import pack
+from quadmosaic.lineage import settled
 
 #: Side of the blocks that hillshade works on.
 BLOCK = 256
 
 
-def match_colors(cells: DataFrame, colors: DataFrame, value: str = "z", buckets: int = 256) -> DataFrame:
+#: Buckets that ranges are laid out over, and ranges up to which these go to every task.
+BUCKETS, BROADCAST_RANGES = 256, 100_000
+
+
+def _bucket(value: Column, cuts: list[float], at: int = 0) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, by bisection."""
+    if not cuts:
+        return F.lit(at)
+    mid = len(cuts) // 2
+    return F.when(value < cuts[mid], _bucket(value, cuts[:mid], at)).otherwise(_bucket(value, cuts[mid + 1 :], at + mid + 1))
+
+
+def match_colors(cells: DataFrame, colors: DataFrame, value: str = "z", buckets: int = BUCKETS) -> DataFrame:
     """``cells`` with ``rgb``: the colour of the lowest range ``mn <= value <= mx`` that holds the value, or null.
 
-    Ranges are laid out over equal buckets, each with its few candidates in order; a cell looks its own bucket up, so the join is on equality and no cell meets every range.
+    Ranges are laid out over buckets that hold equal numbers of range ends, each with its few candidates in order; a cell looks its own bucket up, so the join is on equality and no cell meets every range.
     """
-    low, high = colors.agg(F.min("mn"), F.max("mx")).first()
-    if low is None:
+    ranges = settled(colors.select("mn", "mx", pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb")))
+    n = ranges.count()
+    if not n:
         return cells.withColumn("rgb", F.lit(None).cast("int"))
-    step = (high - low) / buckets or 1.0
-    bucket = lambda v: F.floor((v - low) / step)
-    ranges = colors.withColumn("bucket", F.explode(F.sequence(bucket(F.col("mn")), bucket(F.col("mx")))))
-    by_bucket = ranges.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("mn", "mx", pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb")))).alias("candidates"))
+    ends = ranges.select(F.explode(F.array("mn", "mx")).alias("end"))
+    cuts = sorted(set(ends.approxQuantile("end", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    dealt = ranges.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("mn"), cuts), _bucket(F.col("mx"), cuts))))
+    by_bucket = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("mn", "mx", "rgb"))).alias("candidates"))
     v = F.col(value).cast("double")
     hit = F.filter("candidates", lambda c: (c["mn"] <= v) & (v <= c["mx"]))
-    usable = F.when(~F.isnan(v), bucket(v))
-    return cells.withColumn("bucket", usable).join(by_bucket, "bucket", "left").withColumn("rgb", F.get(hit, 0)["rgb"]).drop("bucket", "candidates")
+    usable = F.when(v.isNotNull() & ~F.isnan(v), _bucket(v, cuts))
+    side = F.broadcast(by_bucket) if n <= BROADCAST_RANGES else by_bucket
+    return cells.withColumn("bucket", usable).join(side, "bucket", "left").withColumn("rgb", F.get(hit, 0)["rgb"]).drop("bucket", "candidates")
 
 
 def colorize(cells: DataFrame, colors: DataFrame, nodata: float, nodata_rgb: int = 0xFFFFFF) -> DataFrame:
@@ -106,3 +121,9 @@ def georeference(cols: int, rows: int, xll: float, yll: float, cell: float, shad
     if shaded:
         cell = cell * cols / (cols - 2)
     return xll, yll + cell * rows, cell
+
+
+def georeferences(grids: DataFrame) -> DataFrame:
+    """:func:`georeference` of each row of ``ncols, nrows, xll, yll, cell, shaded``: ``ncols, nrows, ulx, uly, cell``."""
+    cell = F.when(F.col("shaded"), F.col("cell") * F.col("ncols") / (F.col("ncols") - 2)).otherwise(F.col("cell"))
+    return grids.select("ncols", "nrows", F.col("xll").alias("ulx"), (F.col("yll") + cell * F.col("nrows")).alias("uly"), cell.alias("cell"))

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from quadmosaic.functions import colors as col
 from quadmosaic.functions import geometry as geo
+from quadmosaic.lineage import settled
 from quadmosaic.operators import levels as lv
 from quadmosaic.operators import pixels as px
 from quadmosaic.operators import pyramid as pyr
 from quadmosaic.operators import terrain
 from quadmosaic.operators.quantize import quantize
-from quadmosaic.operators.window import Access, best_access, window_tiles
+from quadmosaic.operators.window import Access, window_tiles
 from quadmosaic.sources import fixtures as fx
 from quadmosaic.sources.catalog import srid_info as reference_of
-from quadmosaic.sources.images import decoded_pixels, encode_tiles
+from quadmosaic.sources.images import blob_errors, blob_spaces, decoded_pixels, encode_tiles
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,26 +117,28 @@ def encoding_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The catalog
 
-# Three levels by halving squares of equal tiles, as plain SQL.
-_LEVELS_SQL = """p0 as (
-  select 0 level, source_name, trow::bigint "row", (tcol % 10)::bigint col, width, height, px, py, min_x, min_y, max_x, max_y from tiles
-), p1 as (
-  select 1 level, source_name, "row" // 2 "row", col // 2 col, (sum(width) filter ("row" % 2 = 0) // 2)::int width, (sum(height) filter (col % 2 = 0) // 2)::int height, max(px) * 2 px, max(py) * 2 py, min(min_x) min_x, min(min_y) min_y, max(max_x) max_x, max(max_y) max_y
-  from p0 where source_name in (select source_name from p0 group by 1 having count(*) > 1) group by 2, 3, 4
-), p2 as (
-  select 2 level, source_name, "row" // 2 "row", col // 2 col, (sum(width) filter ("row" % 2 = 0) // 2)::int width, (sum(height) filter (col % 2 = 0) // 2)::int height, max(px) * 2 px, max(py) * 2 py, min(min_x) min_x, min(min_y) min_y, max(max_x) max_x, max(max_y) max_y
-  from p1 where source_name in (select source_name from p1 group by 1 having count(*) > 1) group by 2, 3, 4
-), p3 as (
-  select 3 level, source_name, "row" // 2 "row", col // 2 col, (sum(width) filter ("row" % 2 = 0) // 2)::int width, (sum(height) filter (col % 2 = 0) // 2)::int height, max(px) * 2 px, max(py) * 2 py, min(min_x) min_x, min(min_y) min_y, max(max_x) max_x, max(max_y) max_y
-  from p2 where source_name in (select source_name from p2 group by 1 having count(*) > 1) group by 2, 3, 4
-), pyr as (
-  select * from p0 union all select * from p1 union all select * from p2 union all select * from p3
-)"""
+# Levels by halving squares of equal tiles, as plain SQL: each level from the one before, while a source has more than one tile.
+_N_LEVELS = 10
+
+
+def _levels_sql(base: str, n: int = _N_LEVELS) -> str:
+    parts = [f"p0 as ({base})"]
+    for k in range(1, n + 1):
+        parts.append(f"""p{k} as (
+  select {k} level, source_name, run, "row" // 2 "row", col // 2 col, greatest(sum(width) filter ("row" % 2 = rmin) // 2, 1)::int width, greatest(sum(height) filter (col % 2 = cmin) // 2, 1)::int height,
+    max(px) * 2 px, max(py) * 2 py, min(min_x) min_x, min(min_y) min_y, max(max_x) max_x, max(max_y) max_y
+  from (select *, min("row" % 2) over (partition by source_name, run, "row" // 2, col // 2) rmin, min(col % 2) over (partition by source_name, run, "row" // 2, col // 2) cmin from p{k - 1})
+  where source_name in (select source_name from (select source_name, run, count(*) n from p{k - 1} group by 1, 2) where n > 1) group by 2, 3, 4, 5
+)""")
+    return ", ".join(parts) + ", pyr as (" + " union all ".join(f"select * exclude (run) from p{k}" for k in range(n + 1)) + ")"
+
+
+_LEVELS_SQL = _levels_sql('select 0 level, source_name, 0 run, trow::bigint "row", (tcol % 10)::bigint col, width, height, px, py, min_x, min_y, max_x, max_y from tiles')
 _PYR = f"with {fx.TILES_SQL}, {_LEVELS_SQL}"
 
 
 def _pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pyr.pyramid(fx.tiles(spark, sf_dir), 3)
+    return pyr.pyramid(fx.tiles(spark, sf_dir))
 
 
 @query(f"{_PYR} select *, \"row\" * (max(col) over (partition by source_name, level) + 1) + col tile_id from pyr")
@@ -178,12 +181,11 @@ def tiles_above_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pyramid(spark, sf_dir).where(lv.above(0.25, 0.25)).agg(F.count("*").alias("n"))
 
 
-@query(f"{_PYR}, l as (select px, py, count(*)::int tile_count from pyr group by 1, 2), q as (select unnest([0.1, 0.3, 0.375, 0.75, 1.4, 5.0]::double[]) req) select req, px, py, tile_count, tile_count > 500 strict from q, l qualify row_number() over (partition by req order by abs(req - px), px desc) = 1")
+@query(f"{_PYR}, l as (select px, py, count(*)::int tile_count from pyr group by 1, 2), q as (select n_nationkey, (n_nationkey * n_nationkey + 1) / 16.0::double req from nation) select n_nationkey, req, px, py, tile_count, tile_count > 500 strict from q, l qualify row_number() over (partition by n_nationkey order by abs(req - px), px desc) = 1")
 def nearest_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = lv.levels(_pyramid(spark, sf_dir)).select("px", "py", "tile_count").collect()  # a few rows by definition
-    rows = spark.createDataFrame([tuple(r) for r in levels], "px double, py double, tile_count int")
-    found = [(q, best_access(rows, q)) for q in (0.1, 0.3, 0.375, 0.75, 1.4, 5.0)]
-    return spark.createDataFrame([(q, a.px, a.py, next(r.tile_count for r in levels if r.px == a.px), a.strict) for q, a in found], "req double, px double, py double, tile_count int, strict boolean")
+    k = F.col("n_nationkey")
+    requests = fx.table(spark, sf_dir, "nation").select("n_nationkey", ((k * k + 1) / 16.0).alias("req"))
+    return lv.nearest_levels(requests, lv.levels(_pyramid(spark, sf_dir)))
 
 
 @query(f"{_PYR} select count(*) n, count(distinct source_name) n_sources from pyr where not (px > 0.25 and py > 0.25)")
@@ -390,11 +392,12 @@ def hillshade_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.hillshade(fx.grid(spark, sf_dir), -9999.0, colors=fx.color_table(spark, sf_dir))
 
 
-@query("""with g as (select * from (values (4, 4, 10.0::double, 40.0::double, 0.5::double, false), (100, 80, -5.0, 10.0, 2.0, true)) t(c, r, x, y, s, shaded)), k as (select *, case when shaded then s * c / (c - 2) else s end cell from g)
+@query("""with g as (select 4 + n_nationkey c, 3 + n_nationkey * 2 r, n_nationkey - 12.5::double x, 40.0::double - n_nationkey y, 0.5::double * (1 + n_nationkey % 3) s, n_nationkey % 2 = 1 shaded from nation), k as (select *, case when shaded then s * c / (c - 2) else s end cell from g)
 select c ncols, r nrows, x ulx, y + cell * r uly, cell from k""")
 def grid_georef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [(4, 4, 10.0, 40.0, 0.5, False), (100, 80, -5.0, 10.0, 2.0, True)]
-    return spark.createDataFrame([(c[0], c[1], *terrain.georeference(*c)) for c in cases], "ncols int, nrows int, ulx double, uly double, cell double")
+    k = F.col("n_nationkey")
+    grids = fx.table(spark, sf_dir, "nation").select((4 + k).alias("ncols"), (3 + k * 2).alias("nrows"), (k - 12.5).alias("xll"), (40.0 - k).alias("yll"), (0.5 * (1 + k % 3)).alias("cell"), (k % 2 == 1).alias("shaded"))
+    return terrain.georeferences(grids)
 
 
 # Pyramids
@@ -403,8 +406,33 @@ def grid_georef(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_PYR}, q as (select source_name, "row" // 2 "row", col // 2 col, sum(1 << ("row" % 2 * 2 + col % 2)::int)::int pattern, count(*) n_tiles, (sum(width) filter ("row" % 2 = 0))::int mosaic_w, (sum(height) filter (col % 2 = 0))::int mosaic_h, min(min_x) min_x, min(min_y) min_y, max(max_x) max_x, max(max_y) max_y from p1 group by 1, 2, 3)
 select source_name, "row", col, pattern, n_tiles, pattern in (1, 3, 5, 15) fits, mosaic_w, mosaic_h, mosaic_w // 2 width, mosaic_h // 2 height, min_x, min_y, max_x, max_y from q""")
 def quad_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pyr.assemble(_pyramid(spark, sf_dir).where("level = 1"))
-    return rows.select("source_name", "row", "col", "pattern", "n_tiles", "fits", "mosaic_w", "mosaic_h", "width", "height", "min_x", "min_y", "max_x", "max_y")
+    level = pyr.next_level(pyr.grid_index(fx.tiles(spark, sf_dir)))
+    return pyr.assemble(level).select("source_name", "row", "col", "pattern", "n_tiles", "fits", "mosaic_w", "mosaic_h", "width", "height", "min_x", "min_y", "max_x", "max_y")
+
+
+# Sources with a column of tiles missing (src0), a row missing (src1), tiles moved over their neighbours (src2), and an odd number of columns (src3).
+_GAPS_SQL = f"""{fx.TILES_SQL}, gaps as (
+  select id, source_name, tcol, trow, width, height, px, py, min_x + dx min_x, min_y, max_x + dx max_x, max_y from (
+    select *, case when source_name = 'src2' and tcol % 10 >= 6 then -16.0::double else 0.0::double end dx from tiles
+    where not (source_name = 'src0' and tcol % 10 = 4) and not (source_name = 'src1' and trow = 2) and not (source_name = 'src3' and tcol % 10 = 9))
+), islands as (
+  select *, case source_name when 'src0' then (tcol % 10 > 4)::int when 'src1' then (trow > 2)::int when 'src2' then (tcol % 10 >= 6)::int else 0 end run from gaps
+)"""
+_GAPS_BASE = """select 0 level, source_name, run, (case when source_name = 'src1' and run = 1 then trow - 3 else trow end)::bigint "row",
+  (case when source_name = 'src0' and run = 1 then tcol % 10 - 5 when source_name = 'src2' and run = 1 then tcol % 10 - 6 else tcol % 10 end)::bigint col, width, height, px, py, min_x, min_y, max_x, max_y from islands"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, col = fx.tiles(spark, sf_dir), F.col("tcol") % 10
+    of = lambda k: F.col("source_name") == f"src{k}"
+    t = t.where(~(of(0) & (col == 4)) & ~(of(1) & (F.col("trow") == 2)) & ~(of(3) & (col == 9)))
+    dx = F.when(of(2) & (col >= 6), -16.0).otherwise(0.0)
+    return t.withColumns({"min_x": F.col("min_x") + dx, "max_x": F.col("max_x") + dx})
+
+
+@query(f"with {_GAPS_SQL}, {_levels_sql(_GAPS_BASE)} select level, source_name, width, height, px, py, min_x, min_y, max_x, max_y from pyr")
+def pyramid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pyr.pyramid(_gaps(spark, sf_dir)).select("level", "source_name", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y")
 
 
 @query(f"""with {fx.TILES_SQL}, e as (select min(min_x) x1, min(min_y) y1, max(max_x) x2, max(max_y) y2 from tiles), d as (select *, ceil((x2 - x1) / 0.25)::int w, ceil((y2 - y1) / 0.25)::int h from e),
@@ -416,20 +444,73 @@ f as (select "row", col, width, height, (width + 1) // 2 thumb_w, (height + 1) /
 select f.*, count(*) n_tiles from f join tiles on min_x < cell_max_x and max_x > cell_min_x and min_y < cell_max_y and max_y > cell_min_y group by all""")
 def topmost_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.tiles(spark, sf_dir)
-    return pyr.topmost(spark, t, tuple(lv.extent(t).first()), 0.25, 0.25)
+    return pyr.topmost(t, tuple(lv.extent(t).first()), 0.25, 0.25)
 
 
 # Images
 
 
-@query(f"with {_KINDS_SQL} select tile::bigint tile, ty, x, r, g, b from kinds")
+def _kind_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 64 by 50, the last of each four cut to 40 by 30."""
+    cut = F.col("tile") % 4 == 3
+    return fx.pixels(spark, sf_dir).select("tile").distinct().select("tile", F.when(cut, 40).otherwise(64).alias("width"), F.when(cut, 30).otherwise(50).alias("height"))
+
+
+def _cut_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).where("tile % 4 <> 3 or (x < 40 and ty < 30)")
+
+
+_CUT_SQL = f"with {_KINDS_SQL} select tile::bigint tile, ty, x, r, g, b from kinds where tile % 4 <> 3 or (x < 40 and ty < 30)"
+
+
+@query(_CUT_SQL)
 def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded_pixels(encode_tiles(_kinds(spark, sf_dir), 64, 50))
+    """Gray, palette and RGB blobs, as the pixels of each tile allow, of tiles of two sizes."""
+    return decoded_pixels(encode_tiles(_cut_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "PNG", fit=True))
 
 
-@query(f"with {_KINDS_SQL} select tile::bigint tile, ty, x, r, g, b from kinds")
+@query(_CUT_SQL)
 def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded_pixels(encode_tiles(_kinds(spark, sf_dir), 64, 50, "tiff"))
+    return decoded_pixels(encode_tiles(_cut_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "TIFF", fit=True))
+
+
+@query(f"with {_KINDS_SQL}, c as (select tile, bool_and((r = 0 and g = 0 and b = 0) or (r = 255 and g = 255 and b = 255)) is_mono, bool_and(r = g and g = b) is_gray, count(distinct (r << 16) + (g << 8) + b) n from kinds group by 1) select tile::bigint id, (case when is_gray then 3 when n <= 256 then 2 else 4 end)::int color_space, null::varchar error from c union all select -1, null, 'unknown kind of blob'")
+def blob_color_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How blobs are stored, read back from them, with a broken one among them."""
+    blobs = encode_tiles(_kinds(spark, sf_dir), (64, 50), "PNG", fit=True)
+    broken = spark.createDataFrame([(-1, bytearray(b"no image"))], blobs.schema)
+    every = settled(blobs.unionAll(broken))
+    return blob_spaces(every).join(blob_errors(every), "id", "left").select("id", "color_space", "error")
+
+
+# One square of four tiles of 64 by 50 makes the next level: 64 by 50 again, the plain mean of 2 by 2 pixels.
+@query(f"""with {fx.PIXELS_SQL}, m as (select tile // 4 sq, (tile % 4 // 2) * 50 + ty y, tile % 2 * 64 + x x, r, g, b from pixels where tile < (select (max(tile) + 1) // 4 * 4 from pixels))
+select 'sq' || sq::varchar source_name, y // 2 ty, x // 2 x, (sum(r) // 4)::int r, (sum(g) // 4)::int g, (sum(b) // 4)::int b from m group by 1, 2, 3""")
+def pyramid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next level's blobs of four-tile sources, decoded."""
+    p = fx.pixels(spark, sf_dir)
+    whole = p.agg(F.expr("(max(tile) + 1) div 4 * 4")).first()[0]
+    p = p.where(F.col("tile") < whole)
+    x, y = F.col("tile") % 2 * 64.0, -F.expr("tile % 4 div 2") * 50.0
+    meta = p.select("tile").distinct().select(
+        F.col("tile").cast("long").alias("id"), F.concat(F.lit("sq"), F.expr("tile div 4").cast("string")).alias("source_name"), F.lit(64).alias("width"), F.lit(50).alias("height"), F.lit(1.0).alias("px"), F.lit(1.0).alias("py"),
+        x.alias("min_x"), (y - 50).alias("min_y"), (x + 64).alias("max_x"), y.alias("max_y"),
+    )
+    level = settled(pyr.next_blobs(pyr.grid_index(meta), encode_tiles(p, (64, 50))).withColumn("id", F.expr("bigint(substr(source_name, 3))")))
+    return decoded_pixels(level.select("id", "raster")).select(F.concat(F.lit("sq"), F.col("tile").cast("string")).alias("source_name"), "ty", "x", "r", "g", "b")
+
+
+# Tiles in rows of eight make one cell; the last row may be short and is background there.
+@query(f"""with {fx.PIXELS_SQL}, m as (select tile // 8 * 50 + ty y, tile % 8 * 64 + x x, r, g, b from pixels), o as (select ty, unnest(range(256)) x from (select unnest(range((max(y) // 50 + 1) * 25)) ty from m))
+select o.ty::int ty, o.x::int x, (coalesce(sum(r), 0) // 4)::int r, (coalesce(sum(g), 0) // 4)::int g, (coalesce(sum(b), 0) // 4)::int b from o left join m on o.ty = m.y // 2 and o.x = m.x // 2 group by 1, 2""")
+def topmost_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next top-most level over one cell, decoded."""
+    p = fx.pixels(spark, sf_dir)
+    rows = p.agg(F.expr("max(tile) div 8 + 1")).first()[0]
+    left, top = F.col("tile") % 8 * 64.0, -F.expr("tile div 8") * 50.0
+    meta = p.select("tile").distinct().select(F.col("tile").cast("long").alias("id"), F.lit(64).alias("width"), F.lit(50).alias("height"), F.lit(1.0).alias("px"), F.lit(1.0).alias("py"), left.alias("min_x"), (top - 50).alias("min_y"), (left + 64).alias("max_x"), top.alias("max_y"))
+    level = pyr.topmost_blobs(meta, encode_tiles(p, (64, 50)), (0.0, -50.0 * rows, 512.0, 0.0), 1.0, 1.0, max(256, 25 * rows))
+    return decoded_pixels(level.select(F.col("tile_id").cast("long").alias("id"), "raster")).drop("tile")
 
 
 @query()

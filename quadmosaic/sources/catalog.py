@@ -1,54 +1,134 @@
-"""A raster data source: two Parquet tables of one prefix, and what can be asked of them."""
+"""A raster data source: two Parquet tables of one prefix, and what can be asked of and done to them."""
 
 from __future__ import annotations
 
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quadmosaic import __version__
 from quadmosaic.functions.colors import BACKGROUND_DEFAULT, TRANSPARENT_NONE
-from quadmosaic.functions.geometry import Window
+from quadmosaic.functions.geometry import BLOCK_PX, Window, level_name, storage_keys
+from quadmosaic.lineage import settled
 from quadmosaic.operators import levels as lv
-from quadmosaic.operators.window import Access, best_access, paint, window_tiles
+from quadmosaic.operators import pyramid as pyr
+from quadmosaic.operators.window import Access, best_access, paint, read_window, window_blocks, window_image
+from quadmosaic.sources.images import blob_errors, decoded_pixels
 
 META_COLUMNS = ("id", "source_name", "tile_id", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y", "srid")
 RASTER_COLUMNS = ("id", "raster")
+SRS_COLUMNS = ("srid", "auth_name", "auth_srid", "ref_sys_name", "proj4text")
 
 
 class RasterError(ValueError):
     """A data source that can't be opened or asked."""
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _lay_out(tiles: DataFrame) -> DataFrame:
+    """Tiles sorted by level and place, so that files and their row groups hold neighbours."""
+    large = (F.col("width") > BLOCK_PX) | (F.col("height") > BLOCK_PX)
+    keyed = tiles.withColumns(storage_keys()).withColumn("level", F.when(large, F.raise_error(F.lit(f"a tile of more than {BLOCK_PX} pixels"))).otherwise(F.col("level")))
+    return keyed.repartition("level", "band", "block").sortWithinPartitions("level", "band", "block", "id")
+
+
 def write_tiles(meta: DataFrame, rasters: DataFrame, path: str, prefix: str, mode: str = "append") -> None:
-    """Writes metadata, one folder for each level, and blobs beside it. Each write is committed as a whole."""
-    meta.withColumn("level", F.concat_ws("x", F.col("px").cast("string"), F.col("py").cast("string"))).write.mode(mode).partitionBy("level").parquet(f"{path}/{prefix}_metadata")
-    rasters.write.mode(mode).parquet(f"{path}/{prefix}_rasters")
+    """Writes blobs, then metadata, which makes them visible: one folder for each level and band of squares, sorted inside. Each write is committed as a whole."""
+    placed = meta.select("id", "width", "height", "px", "py", "min_x", "max_y").join(rasters.select("id", "raster"), "id")
+    _lay_out(placed).select("level", "band", "block", "id", "raster").write.mode(mode).partitionBy("level", "band").parquet(f"{path}/{prefix}_rasters")
+    _lay_out(meta.select(*META_COLUMNS)).write.mode(mode).partitionBy("level", "band").parquet(f"{path}/{prefix}_metadata")
+
+
+def _last_id(spark: SparkSession, path: str, prefix: str) -> int:
+    """The highest id of either table: blobs whose metadata was never written keep theirs, so no id is used twice."""
+    tables = [t for n in ("metadata", "rasters") if (t := read_table(spark, f"{path}/{prefix}_{n}")) is not None]
+    return max([t.agg(F.max("id")).first()[0] or 0 for t in tables], default=0)
+
+
+def append_tiles(tiles: DataFrame, path: str, prefix: str) -> int:
+    """Gives new tiles (metadata without ``id``, and ``raster``) their ids and appends both tables; returns how many there were.
+
+    Ids go on from the last one, by level, source and ``tile_id``. Only levels and sources are ranked: a tile's own number follows from its ``tile_id``.
+    """
+    spark = tiles.sparkSession
+    rows = settled(tiles.select(*META_COLUMNS[1:], "raster"))
+    group = ["px", "py", "source_name"]
+    sizes = rows.groupBy(*group).agg((F.max("tile_id") + 1).cast("long").alias("ids"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("ids").over(W.partitionBy(F.lit(0)).orderBy(*group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = settled(sizes.withColumn("first", before + _last_id(spark, path, prefix) + 1))
+    n = first.agg(F.sum("n")).first()[0]
+    if n:
+        placed = rows.join(first.select(*group, "first"), group).withColumn("id", F.col("first") + F.col("tile_id"))
+        write_tiles(placed.select(*META_COLUMNS), placed.select("id", "raster"), path, prefix)
+    return n or 0
+
+
+def drop_levels_above(spark: SparkSession, path: str, prefix: str, px: float, py: float) -> None:
+    """Deletes the folders of all levels coarser than one, metadata first."""
+    table = read_table(spark, f"{path}/{prefix}_metadata")
+    names = [r.level for r in table.where(lv.above(px, py)).select("level").distinct().collect()] if table is not None else []
+    for which in ("metadata", "rasters"):
+        for name in names:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}_{which}/level={name}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def register(spark: SparkSession, path: str, prefix: str, srid: int, auth_name: str, auth_srid: int, ref_sys_name: str, proj4text: str) -> None:
+    """Adds a prefix to the spatial catalog of a folder: its metadata table and the reference system."""
+    geometry = [(f"{prefix}_metadata", "geometry", 2, srid, "POLYGON", 1)]
+    spark.createDataFrame(geometry, "f_table_name string, f_geometry_column string, coord_dimension int, srid int, geometry_type string, spatial_index_enabled int").write.mode("append").parquet(f"{path}/geometry_columns")
+    spark.createDataFrame([(srid, auth_name, auth_srid, ref_sys_name, proj4text)], "srid int, auth_name string, auth_srid int, ref_sys_name string, proj4text string").write.mode("append").parquet(f"{path}/spatial_ref_sys")
 
 
 class RasterSource:
-    """An open data source. Opening checks the tables and their columns, by name in any case; it raises :class:`RasterError`."""
+    """An open data source. Opening checks the tables and their columns, by name in any case; it raises :class:`RasterError`.
+
+    A folder may have a spatial catalog (``geometry_columns`` and ``spatial_ref_sys``); where it has one, the prefix must be in it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, prefix: str, transparent: int = TRANSPARENT_NONE, background: int = BACKGROUND_DEFAULT):
         self.spark, self.path, self.prefix = spark, path, prefix
         self.transparent, self.background = transparent, background
         self.meta = lv.real_tiles(self._table("metadata", META_COLUMNS))
         self.rasters = self._table("rasters", RASTER_COLUMNS)
+        self.reference_system = self._reference_system()
         if not self.levels:
             raise RasterError(f"{prefix}: no levels")
 
-    def _table(self, name: str, columns: tuple[str, ...]) -> DataFrame:
-        try:
-            df = self.spark.read.parquet(f"{self.path}/{self.prefix}_{name}")
-        except AnalysisException as e:
-            raise RasterError(f"{self.path}: no table {self.prefix}_{name}") from e
+    def _check(self, name: str, df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         have = {c.lower() for c in df.columns}
         if missing := [c for c in columns if c not in have]:
-            raise RasterError(f"{self.prefix}_{name}: no column {', '.join(missing)}")
+            raise RasterError(f"{name}: no column {', '.join(missing)}")
         return df
 
+    def _table(self, name: str, columns: tuple[str, ...]) -> DataFrame:
+        df = read_table(self.spark, f"{self.path}/{self.prefix}_{name}")
+        if df is None:
+            raise RasterError(f"{self.path}: no table {self.prefix}_{name}")
+        return self._check(f"{self.prefix}_{name}", df, columns)
+
+    def _reference_system(self) -> dict | None:
+        geometry, systems = (read_table(self.spark, f"{self.path}/{n}") for n in ("geometry_columns", "spatial_ref_sys"))
+        if geometry is None and systems is None:
+            return None
+        if geometry is None or systems is None:
+            raise RasterError(f"{self.path}: half a spatial catalog")
+        kind = "type" if "type" in {c.lower() for c in geometry.columns} else "geometry_type"
+        self._check("geometry_columns", geometry, ("f_table_name", "f_geometry_column", "coord_dimension", "srid", kind, "spatial_index_enabled"))
+        row = srid_info(geometry, self._check("spatial_ref_sys", systems, SRS_COLUMNS), self.prefix).first()
+        if row is None:
+            raise RasterError(f"{self.prefix}: not in the spatial catalog")
+        return row.asDict()
+
     @cached_property
     def levels(self) -> list[tuple[float, float, int]]:
         """(px, py, tiles), the coarsest first."""
@@ -60,7 +140,7 @@ class RasterSource:
 
     @cached_property
     def srid(self) -> int:
-        return self.meta.agg(F.max("srid")).first()[0]
+        return self.reference_system["srid"] if self.reference_system else self.meta.agg(F.max("srid")).first()[0]
 
     @property
     def version(self) -> str:
@@ -75,21 +155,91 @@ class RasterSource:
         return best_access(self.spark.createDataFrame(self.levels, "px double, py double, tile_count int"), px, strategy)
 
     def tiles(self, window: Window, strategy: str = "auto") -> DataFrame:
-        return window_tiles(self.meta, self.access(window.px, strategy), window).join(self.rasters, "id")
+        """The tiles that a window meets, with their place on its canvas and their blobs."""
+        return read_window(self.meta, self.rasters, self.access(window.px, strategy), window)
 
     def pixels(self, window: Window, strategy: str = "auto") -> DataFrame:
-        """The window's pixels ``cy, cx, rgb``; blobs are decoded by :mod:`quadmosaic.sources.images`."""
-        from quadmosaic.sources.images import decoded_pixels
+        """The window's pixels ``cy, cx, rgb``. Blobs that can't be read paint nothing; :meth:`errors` names them."""
+        hits = settled(self.tiles(window, strategy))
+        return paint(decoded_pixels(hits.select("id", "raster")), hits.drop("raster"), window, self.transparent, self.background)
+
+    def errors(self, window: Window, strategy: str = "auto") -> DataFrame:
+        return blob_errors(self.tiles(window, strategy).select("id", "raster"))
 
-        access = self.access(window.px, strategy)
-        hits = window_tiles(self.meta, access, window).select("id").join(self.rasters, "id")
-        return paint(decoded_pixels(hits), self.meta, access, window, self.transparent, self.background)
+    def blocks(self, window: Window, kind: str = "PNG", strategy: str = "auto") -> DataFrame:
+        """The window as blobs of blocks, see :func:`window_blocks`."""
+        return window_blocks(self.tiles(window, strategy), window, kind, self.transparent, self.background)
+
+    def image(self, window: Window, kind: str = "PNG", strategy: str = "auto") -> DataFrame:
+        """The window as one blob of ``kind`` PNG, TIFF, GEOTIFF, or a raw format (RGB, RGBA, ARGB, BGR, BGRA)."""
+        return window_image(settled(self.tiles(window, strategy)), window, kind, self.transparent, self.background, self.srid)
+
+    def write_image(self, window: Window, file: str, kind: str = "PNG", strategy: str = "auto") -> None:
+        """Writes :meth:`image` to one file on the driver's file system."""
+        blob = self.image(window, kind, strategy).first().raster
+        with open(file, "wb") as f:
+            f.write(blob)
 
     def sources(self) -> DataFrame:
         return lv.sources(self.meta)
 
+    def reopened(self) -> RasterSource:
+        return RasterSource(self.spark, self.path, self.prefix, self.transparent, self.background)
+
+    def _level(self, px: float, py: float) -> tuple[DataFrame, DataFrame]:
+        name = F.col("level") == level_name(F.lit(float(px)), F.lit(float(py)))
+        return self.meta.where(name), self.rasters.where(name)
+
+    def build_pyramid(self, kind: str = "PNG") -> RasterSource:
+        """Drops all levels over the finest and builds them anew from its sources, each by itself; returns the data source as it is then.
+
+        Levels are written one after the other, each from the one before. A source whose tiles don't make squares is an error, before anything is dropped.
+        """
+        base = lv.base_and_top(self.meta).first()
+        px, py = base.base_px, base.base_py
+        meta, rasters = self._level(px, py)
+        indexed = settled(pyr.grid_index(meta))
+        top = indexed.agg(F.max("n_levels")).first()[0] or 0
+        srids = settled(indexed.groupBy("source_name").agg(F.min("srid").alias("srid"), F.max("srid").alias("other")))
+        if mixed := srids.where("srid <> other").first():
+            raise pyr.PyramidError(f"source {mixed.source_name}: tiles of several reference systems")
+        if top:
+            pyr.checked(pyr.assemble(indexed))
+        drop_levels_above(self.spark, self.path, self.prefix, px, py)
+        for k in range(1, top + 1):
+            level = settled(pyr.next_blobs(indexed.where(F.col("n_levels") >= k), rasters, kind))
+            if wrong := level.where("error is not null").select("source_name", "error").first():
+                raise pyr.PyramidError(f"source {wrong.source_name}: {wrong.error}")
+            numbers = pyr.numbered(level).join(srids.drop("other"), "source_name")
+            append_tiles(numbers.withColumn("tile_id", F.col("tile_id").cast("int")), self.path, self.prefix)
+            written = self.reopened()
+            meta, rasters = written._level(px * 2**k, py * 2**k)
+            # the next level takes the ids that the tiles now have
+            ids = meta.select("id", "source_name", "min_x", "max_y")
+            indexed = settled(level.drop("raster", "error").join(ids, ["source_name", "min_x", "max_y"]))
+        return self.reopened()
+
+    def build_topmost(self, size: int = 512, kind: str = "PNG") -> RasterSource:
+        """Drops the top-most levels and builds them anew over the coarsest level of the sources, until one cell holds everything."""
+        top = lv.base_and_top(self.meta).first()
+        px, py = top.top_px, top.top_py
+        drop_levels_above(self.spark, self.path, self.prefix, px, py)
+        source, cells = self.reopened(), 2
+        while cells > 1:
+            meta, rasters = source._level(px, py)
+            box = tuple(lv.extent(meta).first())
+            level = pyr.topmost_blobs(meta, rasters, box, px, py, size, kind, self.transparent, self.background).drop("error")
+            cells = append_tiles(level.withColumn("srid", F.lit(self.srid)), self.path, self.prefix)
+            px, py, source = px * 2, py * 2, source.reopened()
+        return source
+
 
 def srid_info(geometry_columns: DataFrame, spatial_ref_sys: DataFrame, prefix: str) -> DataFrame:
     """The reference system of a prefix's metadata table, found in any case."""
     own = geometry_columns.where(F.lower("f_table_name") == f"{prefix}_metadata".lower())
     return own.join(spatial_ref_sys, "srid").select("srid", "auth_name", "auth_srid", "ref_sys_name", "proj4text")
+
+
+def prefixes_like(pyramids: DataFrame, prefix: str) -> DataFrame:
+    """The rows of a table of levels (``table_prefix``) whose prefix matches in any case, ``_`` and ``%`` standing for any character and any characters."""
+    return pyramids.where(F.col("table_prefix").ilike(prefix))

@@ -1,199 +1,246 @@
-"""Image blobs as columns: PNG and uncompressed TIFF, decoded to pixel rows and encoded from them.
-
-JPEG and GIF files are read through Spark's own image source instead.
-"""
+"""Image blobs and files as tables: PNG and TIFF blobs to pixel rows and back, GeoTIFF files to tiles, other image files by Spark's image source."""
 
 from __future__ import annotations
 
-import struct
-import zlib
+import glob
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from quadmosaic.functions import codecs
+from quadmosaic.functions.codecs import png_decode, png_encode, tiff_decode, tiff_encode  # noqa: F401
+from quadmosaic.functions.colors import ColorSpace, tile_size
 from quadmosaic.functions.geometry import tile_grid
 
-_PNG = b"\x89PNG\r\n\x1a\n"
-
-
-def png_encode(rgb: np.ndarray) -> bytes:
-    """An RGB PNG of a (height, width, 3) array."""
-    h, w = rgb.shape[:2]
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, w * 3)], axis=1)
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
-
-
-def png_decode(blob: bytes) -> np.ndarray:
-    """A (height, width, 3) array of an 8-bit PNG that is not interlaced; alpha is dropped."""
-    at, data, colors = 8, [], None
-    while at < len(blob):
-        size, kind = struct.unpack(">I4s", blob[at : at + 8])
-        body = blob[at + 8 : at + 8 + size]
-        at += size + 12
-        if kind == b"IHDR":
-            w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            colors = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            data.append(body)
-    if depth != 8 or interlace:
-        raise ValueError("only 8-bit PNG without interlacing")
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, w * n + 1)
-    out = np.zeros((h, w * n), np.uint8)
-    for y in range(h):
-        kind, line, up = raw[y, 0], raw[y, 1:].astype(np.int64), out[y - 1].astype(np.int64) if y else np.zeros(w * n, np.int64)
-        if kind == 1:
-            line = np.cumsum(line.reshape(w, n), axis=0).ravel()
-        elif kind == 2:
-            line = line + up
-        elif kind > 2:
-            for i in range(w * n):
-                a, b, c = (line[i - n] if i >= n else 0), up[i], (up[i - n] if i >= n else 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[i] = (line[i] + guess) & 255
-        out[y] = line & 255
-    pixels = out.reshape(h, w, n)
-    if color == 3:
-        return colors[pixels[:, :, 0]]
-    return np.repeat(pixels[:, :, :1], 3, axis=2) if n < 3 else pixels[:, :, :3]
-
-
-def tiff_encode(rgb: np.ndarray, geo: tuple[float, float, float, float, int] | None = None) -> bytes:
-    """An uncompressed RGB TIFF in one strip; with ``geo`` (left, top, px, py, EPSG code) a GeoTIFF."""
-    h, w = rgb.shape[:2]
-    data = rgb.astype(np.uint8).tobytes()
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8, 8, 8]), (259, 3, [1]), (262, 3, [2]), (273, 4, [8]), (277, 3, [3]), (278, 4, [h]), (279, 4, [len(data)]), (284, 3, [1])]
-    if geo:
-        left, top, px, py, epsg = geo
-        geographic = 4000 <= epsg < 5000
-        tags += [(33550, 12, [px, py, 0.0]), (33922, 12, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg])]
-    after = 8 + len(data) + len(data) % 2
-    extra_at, extra, entries = after + 2 + 12 * len(tags) + 4, b"", b""
-    for tag, kind, values in tags:
-        body = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 12: 'd'}[kind] }", *values)
-        if len(body) > 4:
-            entries += struct.pack("<HHII", tag, kind, len(values), extra_at + len(extra))
-            extra += body
-        else:
-            entries += struct.pack("<HHI", tag, kind, len(values)) + body.ljust(4, b"\0")
-    return b"II*\0" + struct.pack("<I", after) + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
-
-
-def tiff_tags(blob: bytes) -> dict[int, tuple]:
-    """The tags of a TIFF's first image."""
-    end = {b"II": "<", b"MM": ">"}[blob[:2]]
-    at = struct.unpack(f"{end}I", blob[4:8])[0]
-    out = {}
-    for i in range(struct.unpack(f"{end}H", blob[at : at + 2])[0]):
-        entry = blob[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, n = struct.unpack(f"{end}HHI", entry[:8])
-        code = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d"}.get(kind)
-        if code is None:
-            continue
-        size = struct.calcsize(f"{end}{n}{code}")
-        start = struct.unpack(f"{end}I", entry[8:])[0] if size > 4 else None
-        body = entry[8 : 8 + size] if start is None else blob[start : start + size]
-        out[tag] = struct.unpack(f"{end}{n}{code}", body)
-    return out
-
-
-def tiff_decode(blob: bytes) -> np.ndarray:
-    """A (height, width, 3) array of an uncompressed 8-bit TIFF in strips: RGB, gray or palette."""
-    t = tiff_tags(blob)
-    w, h, n = t[256][0], t[257][0], t.get(277, (1,))[0]
-    if t.get(259, (1,))[0] != 1 or set(t.get(258, (1,))) != {8}:
-        raise ValueError("only uncompressed 8-bit TIFF")
-    raw = b"".join(blob[a : a + k] for a, k in zip(t[273], t[279]))
-    pixels = np.frombuffer(raw, np.uint8, w * h * n).reshape(h, w, n)
-    if t[262][0] == 3:
-        return (np.array(t[320]).reshape(3, -1).T >> 8).astype(np.uint8)[pixels[:, :, 0]]
-    return np.repeat(pixels[:, :, :1], 3, axis=2) if n < 3 else pixels[:, :, :3]
-
-
-def decode(blob: bytes) -> np.ndarray | None:
-    """The pixels of a PNG or TIFF blob; None for anything else, as such tiles are passed over."""
-    if blob[:8] == _PNG:
-        return png_decode(blob)
-    if blob[:4] in (b"II*\0", b"MM\0*"):
-        return tiff_decode(blob)
-    return None
-
 
-def decoded_pixels(rasters: DataFrame) -> DataFrame:
-    """Rows ``tile, ty, x, r, g, b`` of the blobs (``id, raster``). Python gives a row for each image line; Spark explodes it."""
+def decoded_lines(rasters: DataFrame) -> DataFrame:
+    """Rows ``tile, ty, line, error`` of the blobs (``id, raster``): one for each image line, as 0xRRGGBB integers. A blob that can't be read gives one row with ``error`` alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for tile, blob in zip(pdf["id"], pdf["raster"]):
-                image = decode(blob) if blob is not None else None
-                if image is not None:
-                    lines = (image.astype(np.int32) << np.array([16, 8, 0])).sum(axis=2, dtype=np.int32)
-                    yield pd.DataFrame({"tile": tile, "ty": np.arange(len(lines), dtype=np.int32), "line": list(lines)})
+                image, _, error = codecs.decode_or_error(blob)
+                if image is None:
+                    yield pd.DataFrame({"tile": [tile], "ty": pd.array([None], "Int32"), "line": [None], "error": [error]})
+                else:
+                    yield pd.DataFrame({"tile": tile, "ty": np.arange(len(image), dtype=np.int32), "line": list(codecs.packed(image)), "error": None})
+
+    return rasters.select("id", "raster").mapInPandas(run, "tile long, ty int, line array<int>, error string")
 
-    rows = rasters.select("id", "raster").mapInPandas(run, "tile long, ty int, line array<int>").select("tile", "ty", F.posexplode("line").alias("x", "rgb"))
+
+def decoded_pixels(rasters: DataFrame) -> DataFrame:
+    """Rows ``tile, ty, x, r, g, b`` of the blobs (``id, raster``). Blobs that can't be read have none; :func:`blob_errors` names them."""
+    rows = decoded_lines(rasters).where("error is null").select("tile", "ty", F.posexplode("line").alias("x", "rgb"))
     byte = lambda s: F.shiftright("rgb", s).bitwiseAND(F.lit(255))
     return rows.select("tile", "ty", "x", byte(16).alias("r"), byte(8).alias("g"), byte(0).alias("b"))
 
 
-def encode_tiles(pixels: DataFrame, width: int, height: int, kind: str = "png") -> DataFrame:
-    """Blobs ``id, raster`` of pixel rows ``tile, ty, x, r, g, b``. One tile's pixels make a group, bounded by the tile's size; missing pixels are black."""
+def blob_errors(rasters: DataFrame) -> DataFrame:
+    """Rows ``id, error`` of the blobs that can't be read."""
+    return decoded_lines(rasters).where("error is not null").select(F.col("tile").alias("id"), "error")
+
+
+def blob_spaces(rasters: DataFrame) -> DataFrame:
+    """``rasters`` (``id, raster``) as rows ``id, color_space``: how each blob is stored; null for one that can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spaces = [s if image is not None else None for image, s, _ in map(codecs.decode_or_error, pdf["raster"])]
+            yield pd.DataFrame({"id": pdf["id"], "color_space": pd.array([None if s is None else int(s) for s in spaces], "Int32")})
+
+    return rasters.select("id", "raster").mapInPandas(run, "id long, color_space int")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((height, width, 3), np.uint8)
-        image[pdf["ty"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy(np.uint8)
-        return pd.DataFrame({"id": [pdf["tile"].iat[0]], "raster": [png_encode(image) if kind == "png" else tiff_encode(image)]})
+def encode_tiles(pixels: DataFrame, sizes: DataFrame | tuple[int, int], kind: str = "PNG", fit: bool = False) -> DataFrame:
+    """Blobs ``id, raster`` of pixel rows ``tile, ty, x, r, g, b``; missing pixels are black.
 
-    return pixels.groupBy("tile").applyInPandas(run, "id long, raster binary")
+    ``sizes`` is (width, height), or rows ``tile, width, height`` and, for kind GEOTIFF, ``left, top, px, py, srid``. With ``fit`` a blob is stored as its
+    pixels allow: gray, palette, or RGB. Spark packs the pixels of a line; a task goes through sorted lines and holds one image.
+    """
+    geo = ("left", "top", "px", "py", "srid")
+    rgb = (F.shiftleft(F.col("r").cast("int"), 16) + F.shiftleft(F.col("g").cast("int"), 8) + F.col("b").cast("int")).alias("rgb")
+    lines = pixels.groupBy("tile", "ty").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), rgb))).alias("cells"))
+    lines = lines.select(F.col("tile").cast("long").alias("id"), F.col("ty").cast("int").alias("ty"), F.col("cells.x").alias("x"), F.col("cells.rgb").alias("rgb"))
+    if isinstance(sizes, tuple):
+        rows = lines.withColumns({"width": F.lit(sizes[0]), "height": F.lit(sizes[1])})
+        own = ()
+    else:
+        own = tuple(c for c in geo if c in sizes.columns)
+        rows = lines.join(sizes.select(F.col("tile").cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), *own), "id")
+    if kind == "GEOTIFF" and len(own) < len(geo):
+        raise ValueError("a GeoTIFF needs sizes with left, top, px, py and srid")
+
+    def finish(head, image: np.ndarray) -> pd.DataFrame:
+        space = codecs.fitting_space(image, "TIFF" if "TIFF" in kind else kind) if fit else int(ColorSpace.RGB)
+        return pd.DataFrame({"id": [head.id], "raster": [codecs.encode(image, kind, space, tuple(getattr(head, c) for c in own) or None)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = image = None
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if head is None or row.id != head.id:
+                    if head is not None:
+                        yield finish(head, image)
+                    head, image = row, np.zeros((row.height, row.width, 3), np.uint8)
+                values = np.asarray(row.rgb)
+                image[row.ty, np.asarray(row.x)] = np.stack([values >> 16, values >> 8 & 255, values & 255], axis=1)
+        if head is not None:
+            yield finish(head, image)
+
+    return rows.repartition("id").sortWithinPartitions("id", "ty").mapInPandas(run, "id long, raster binary")
 
 
 INGESTED = "source_name string, tile_id int, width int, height int, px double, py double, min_x double, min_y double, max_x double, max_y double, srid int, raster binary"
+_KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "binary": BinaryType()}
+_TILES = StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in f"{INGESTED}, error string".split(", "))])
+
+
+def _cells(width: int, height: int, size: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Sections of an axis, and (row of cells, x, y, width, height) of the cells that an image is cut into, row by row."""
+    sections, tw, th = tile_grid(width, height, size)
+    return sections, [(r, c * tw, r * th, min(tw, width - c * tw), min(th, height - r * th)) for r in range(sections) for c in range(sections) if c * tw < width and r * th < height]
+
 
+def _cut(name: str, read, size: int, container: str, band: int | None = None) -> Iterator[dict]:
+    """The tiles of one GeoTIFF, or of one row of its cells. A file that isn't one gives an error row."""
+    try:
+        tiff = codecs.Tiff(read)
+        h = tiff.header()
+        cells = _cells(tiff.width, tiff.height, size)[1]
+        for k, (row, x, y, w, rows) in enumerate(cells):
+            if band is None or band == row:
+                at = lambda i, j: (h["left"] + i * h["px"], h["top"] - j * h["py"])  # noqa: E731  equal edges of neighbours are equal numbers
+                (a, t), (z, b) = at(x, y), at(x + w, y + rows)
+                blob = codecs.encode(tiff.part(x, y, w, rows), container, tiff.space)
+                yield {"source_name": name, "tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"], "raster": blob}
+    except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
+        yield {"source_name": name, "error": f"{type(e).__name__}: {e}"}
 
-def ingest_geotiff(files: DataFrame, size: int = 512) -> tuple[DataFrame, DataFrame]:
+
+def _stem(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "error")
+
+
+def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "PNG") -> tuple[DataFrame, DataFrame]:
     """Tiles cut from GeoTIFF files (``path, content``, as Spark's ``binaryFile`` gives them), and the files that can't be read.
 
-    The first is ``source_name, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row.
+    The first is ``source_name, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row. Tiles are stored
+    gray, by palette or as RGB like their file. ``size`` is 512 by default and kept within 128 and 8192. For large files see :func:`geotiff_tiles`.
     """
+    size, fields = tile_size(size), to_arrow_schema(_TILES)
 
-    schema = StructType.fromDDL(f"{INGESTED}, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for tile in _cut(_stem(row["path"]), codecs.reader_of(row["content"]), size, container):
+                    yield pa.RecordBatch.from_pylist([tile], schema=fields)
+
+    return split_errors(files.select("path", "content").mapInArrow(run, _TILES))
+
+
+class _Band(InputPartition):
+    """One row of cells of one file."""
+
+    def __init__(self, path: str, band: int):
+        super().__init__((path, band))
+        self.path, self.band = path, band
+
+
+class _BandReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths = sorted(glob.glob(options["path"].removeprefix("file://").removeprefix("file:")))
+        self.paths = [os.path.join(p, f) for p in self.paths if os.path.isdir(p) for f in sorted(os.listdir(p))] + [p for p in self.paths if not os.path.isdir(p)]
+        self.size, self.container = tile_size(int(options.get("size", 512))), options.get("container", "PNG")
+
+    @staticmethod
+    def _read(file):
+        def read(at: int, size: int) -> bytes:
+            file.seek(at)
+            return file.read(size)
+
+        return read
+
+    def partitions(self) -> list[_Band]:
+        out = []
+        for path in self.paths:
+            try:
+                with open(path, "rb") as f:
+                    tiff = codecs.Tiff(self._read(f))
+                    bands = sorted({c[0] for c in _cells(tiff.width, tiff.height, self.size)[1]})
+            except Exception:  # noqa: BLE001  reading it reports the error
+                bands = [0]
+            out += [_Band(path, b) for b in bands]
+        return out
+
+    def read(self, partition: _Band) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            for tile in _cut(_stem(partition.path), self._read(f), self.size, self.container, partition.band):
+                yield tuple(tile.get(n) for n in _TILES.names)
+
+
+class GeoTiffSource(DataSource):
+    """``geotiff_tiles``: tiles of the GeoTIFF files of a folder or pattern on a shared mount; each row of tiles is one partition and reads only its own strips or tiles."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "geotiff_tiles"
+
+    def schema(self) -> StructType:
+        return _TILES
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _BandReader(dict(self.options))
+
+
+def geotiff_tiles(spark: SparkSession, path: str, size: int | None = None, container: str = "PNG") -> tuple[DataFrame, DataFrame]:
+    """:func:`ingest_geotiff` for files of any size on a shared mount: no task reads a whole file."""
+    spark.dataSource.register(GeoTiffSource)
+    return split_errors(spark.read.format("geotiff_tiles").option("size", str(tile_size(size))).option("container", container).load(path))
+
+
+def geotiff_headers(files: DataFrame) -> DataFrame:
+    """What each GeoTIFF of ``files`` (``path, content``) says of itself: sizes, layout, corner, pixel size, reference system; or ``error``."""
+    schema = StructType.fromDDL("path string, width int, height int, bits int, samples int, photometric int, compression int, left double, top double, px double, py double, srid int, error string")
     fields = to_arrow_schema(schema)
 
-    def cut(path: str, content: bytes) -> Iterator[dict]:
-        name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    def header(row: dict) -> dict:
         try:
-            tags, image = tiff_tags(content), tiff_decode(content)
-            px, py = tags[33550][:2]
-            left, top = tags[33922][3:5]
-        except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
-            yield {"source_name": name, "error": str(e) or type(e).__name__}
-            return
-        keys = dict(zip(tags.get(34735, ())[4::4], tags.get(34735, ())[7::4]))
-        h, w = image.shape[:2]
-        sections, tw, th = tile_grid(w, h, size)
-        cells = [(x, y) for y in range(0, sections * th, th) for x in range(0, sections * tw, tw) if x < w and y < h]
-        for k, (x, y) in enumerate(cells):
-            part = image[y : y + th, x : x + tw]
-            rows, cols = part.shape[:2]
-            a, b = left + x * px, top - y * py
-            box = {"min_x": a, "min_y": b - rows * py, "max_x": a + cols * px, "max_y": b}
-            yield {"source_name": name, "tile_id": k, "width": cols, "height": rows, "px": px, "py": py, **box, "srid": keys.get(3072, keys.get(2048, -1)), "raster": png_encode(part)}
+            return {"path": row["path"]} | codecs.Tiff(codecs.reader_of(row["content"])).header()
+        except Exception as e:  # noqa: BLE001
+            return {"path": row["path"], "error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(cut(row["path"], row["content"])), schema=fields)
+            yield pa.RecordBatch.from_pylist([header(r) for r in batch.to_pylist()], schema=fields)
 
-    rows = files.select("path", "content").mapInArrow(run, schema)
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "error")
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def read_images(spark: SparkSession, path: str, container: str = "PNG") -> DataFrame:
+    """Rows ``source_name, width, height, raster`` of JPEG, GIF, BMP and other files that Spark's image source reads; files that it can't read are left out by it."""
+    schema = StructType.fromDDL("source_name string, width int, height int, raster binary")
+    fields = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                rgb = np.repeat(pixels, 3, axis=2) if r["nChannels"] == 1 else pixels[:, :, 2::-1]  # blue comes first
+                out.append({"source_name": _stem(r["origin"]), "width": r["width"], "height": r["height"], "raster": codecs.encode(np.ascontiguousarray(rgb), container, codecs.fitting_space(rgb, container))})
+            yield pa.RecordBatch.from_pylist(out, schema=fields)
+
+    rows = spark.read.format("image").option("dropInvalid", True).load(path)
+    return rows.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quadmosaic.lineage import settled
+from quadmosaic.sources.catalog import append_tiles, read_table
 from quadmosaic.sources.images import ingest_geotiff
 
 
@@ -14,7 +15,19 @@ def geotiff_files(spark: SparkSession, path: str, per_trigger: int = 64) -> Data
     return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def ingest(files: DataFrame, path: str, checkpoint: str, size: int = 512):
-    """Starts a query that cuts arriving files into tiles and appends them to the table at ``path``."""
-    tiles, _ = ingest_geotiff(files, size)
-    return tiles.withColumn("level", F.concat_ws("x", F.col("px").cast("string"), F.col("py").cast("string"))).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("level").trigger(availableNow=True).start()
+def ingest_batch(files: DataFrame, path: str, prefix: str, size: int | None = None, container: str = "PNG") -> None:
+    """Cuts files into tiles and appends them to the data source; files that can't be read go to ``<prefix>_rejected``. Sources that it has already are not taken twice, so a batch may be repeated."""
+    tiles, rejected = ingest_geotiff(files, size, container)
+    old = read_table(files.sparkSession, f"{path}/{prefix}_metadata")
+    if old is not None:
+        tiles = tiles.join(old.select("source_name").distinct(), "source_name", "left_anti")
+    append_tiles(tiles, path, prefix)
+    rejected = settled(rejected)
+    if not rejected.isEmpty():
+        rejected.write.mode("append").parquet(f"{path}/{prefix}_rejected")
+
+
+def ingest(files: DataFrame, path: str, prefix: str, checkpoint: str, size: int | None = None, container: str = "PNG"):
+    """Starts a query that takes arriving files into the data source at ``path``: the same tables as batch ingest makes."""
+    writer = files.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, path, prefix, size, container))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
