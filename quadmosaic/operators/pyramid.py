@@ -69,29 +69,21 @@ def squares_of(indexed: DataFrame) -> DataFrame:
 
 def assemble(indexed: DataFrame) -> DataFrame:
     """One row for each square of four places: its pattern, whether its tiles fit together, the mosaic's and the thumbnail's size, and its footprint."""
-    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    at = lambda k, c: F.expr(f"max(case when place = {k} then {c} end)")
     sides = {"w": "width", "h": "height", "l": "ux", "r": "ux2", "t": "uy", "b": "uy2"}
+    low, high = ("ux", "uy", "min_x", "min_y"), ("n_levels", "px", "py", "ux2", "uy2", "max_x", "max_y")
     squares = squares_of(indexed).groupBy(*SQUARE).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).cast("int").alias("pattern"),
+        F.expr("int(bit_or(shiftleft(1, place)))").alias("pattern"),
         F.count("*").alias("n_tiles"),
         *[at(k, c).alias(f"{s}{k}") for k in range(4) for s, c in sides.items()],
-        F.max("n_levels").alias("n_levels"),
-        F.max("px").alias("px"),
-        F.max("py").alias("py"),
-        F.min("ux").alias("ux"), F.max("ux2").alias("ux2"), F.min("uy").alias("uy"), F.max("uy2").alias("uy2"),
-        F.min("min_x").alias("min_x"),
-        F.min("min_y").alias("min_y"),
-        F.max("max_x").alias("max_x"),
-        F.max("max_y").alias("max_y"),
-    )
-    pair = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(True))
-    shape = F.col("pattern").isin(*PATTERNS) & (F.col("n_tiles") == F.bit_count("pattern"))
-    sizes = pair("w0", "w2") & pair("w1", "w3") & pair("h0", "h1") & pair("h2", "h3")
-    meet = pair("r0", "l1") & pair("r2", "l3") & pair("b0", "t2") & pair("b1", "t3") & pair("t0", "t1") & pair("l0", "l2")
-    first = lambda a, b: F.coalesce(F.col(a), F.col(b), F.lit(0))
-    sized = squares.withColumns({"fits": shape & sizes & meet, "left_w": first("w0", "w2"), "top_h": first("h0", "h1")})
-    sized = sized.withColumns({"mosaic_w": F.col("left_w") + first("w1", "w3"), "mosaic_h": F.col("top_h") + first("h2", "h3")})
-    half = lambda c: F.greatest(F.expr(f"int({c} div 2)"), F.lit(1))
+        *[f(c).alias(c) for f, names in ((F.min, low), (F.max, high)) for c in names],
+    )
+    pairs = lambda *names: " and ".join(f"coalesce({a} = {b}, true)" for a, b in map(str.split, names))
+    shape = F.col("pattern").isin(*PATTERNS) & F.expr("n_tiles = bit_count(pattern)")
+    sizes, meet = pairs("w0 w2", "w1 w3", "h0 h1", "h2 h3"), pairs("r0 l1", "r2 l3", "b0 t2", "b1 t3", "t0 t1", "l0 l2")
+    sized = squares.withColumns({"fits": shape & F.expr(sizes) & F.expr(meet), "left_w": F.expr("coalesce(w0, w2, 0)"), "top_h": F.expr("coalesce(h0, h1, 0)")})
+    sized = sized.withColumns({"mosaic_w": F.expr("left_w + coalesce(w1, w3, 0)"), "mosaic_h": F.expr("top_h + coalesce(h2, h3, 0)")})
+    half = lambda c: F.expr(f"greatest(int({c} div 2), 1)")
     return sized.withColumns({"width": half("mosaic_w"), "height": half("mosaic_h")}).drop(*[f"{s}{k}" for k in range(4) for s in sides])
 
 
