@@ -68,6 +68,19 @@ def fold_of(doc_id, parts: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def in_fold(doc_id: Column, parts: int, part: int) -> Column:
+    """Whether an id is in a fold; a null id is in none."""
+    return F.coalesce(fold_of(doc_id, parts) == part, F.lit(False))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with lines before it until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def sample_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
     """Distinct ``doc_id, <label>``: for each value of the label at most ``most`` ids, by the smallest hash of the id.
 
@@ -81,3 +94,16 @@ def sample_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
     thinned = rows.join(side, label).where(F.pmod(order, F.lit(1 << 20)) < F.col("__below"))
     rank = F.row_number().over(W.partitionBy(label).orderBy(order, "doc_id"))
     return thinned.withColumn("__rank", rank).where(F.col("__rank") <= most).select("doc_id", label)
+
+
+def sample_texts(docs: DataFrame, chosen: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows ``doc_id, text`` and the columns of ``chosen`` for the chosen ids (a bounded number): one row for each id, the least text of it, and no more than ``most_bytes`` of text in all.
+
+    Texts are taken by the hash of their id while they fit; only their sizes are looked at together, the texts stay where they are.
+    """
+    label = [c for c in chosen.columns if c != "doc_id"]
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    one = settled(texts.groupBy("doc_id", *label).agg(F.min("text").alias("text")))
+    order = W.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(18)), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    fits = one.select("doc_id", F.octet_length("text").alias("size")).withColumn("total", F.sum("size").over(order)).where(F.col("total") <= most_bytes)
+    return one.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import WORD_SEPARATORS, fold_ascii_col, settled, table
+from quadmosaic.llm.common import WORD_SEPARATORS, fold_ascii_col, fresh, settled, table
 
 WINDOW = 10
 #: Terms of a window that are looked up.
@@ -121,14 +121,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 def with_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_hit``, ``n_near`` and ``item_ids`` (0 and empty for clean documents); columns of ``docs`` by these names are replaced, all others stay."""
-    made = ("n_hit", "n_near", "item_ids")
-    hit = settled(contamination(docs, items, window, slop, id_col, text_col))
-    hit_side = hit.select(F.struct("doc_id", "text_hash", *made).alias("__contamination"))
-    own = F.col("__contamination")
+    made, mark = ("n_hit", "n_near", "item_ids"), fresh(docs, "contamination")
+    hit = settled(contamination(docs, items, window, slop, id_col, text_col).select(F.struct("doc_id", "text_hash", *made).alias(mark)))
+    own = F.col(mark)
     same = F.col(id_col).cast("long").eqNullSafe(own["doc_id"]) & (F.xxhash64(text_col) == own["text_hash"])
-    joined = docs.drop(*made).join(_small(hit_side), same, "left")
+    joined = docs.drop(*made).join(_small(hit), same, "left")
     zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
-    return joined.withColumns({c: F.coalesce(own[c], none if c == "item_ids" else zero) for c in made}).drop("__contamination")
+    return joined.withColumns({c: F.coalesce(own[c], none if c == "item_ids" else zero) for c in made}).drop(mark)
 
 
 #: Other words that may stand between the words of a window in the query's proximity matches.

@@ -17,16 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
+from quadmosaic.llm.common import in_fold, per_text, sample_ids, table
 
-#: Bounds of the model: training documents, words and n-grams of each length, all for one language.
-TRAIN_DOCS, TOP_WORDS, TOP_GRAMS, MAX_GRAM = 2000, 12000, 6000, 5
+#: The bound of training: documents of one language. A word or n-gram counts if it was seen in training so often, in all languages together.
+TRAIN_DOCS, MIN_TIMES, MAX_GRAM = 2000, 2, 5
 #: Log10 frequency of what a language doesn't have while another does.
 PENALTY = -7.0
 #: Words whose scores a task keeps at once.
 CACHE_WORDS = 1 << 18
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, and of numbers that aren't digits, which are cut out.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def words_in(text: str) -> list[str]:
+    """The words of a text: runs of Unicode letters, lower-cased."""
+    out = []
+    for run in _RUNS.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -34,23 +46,29 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
-def count_grams(rows: DataFrame, max_gram: int = MAX_GRAM) -> DataFrame:
-    """Rows ``lang, n, gram, times``; n is 0 for words. Each task sums what it has seen before it sends."""
+def count_grams(rows: DataFrame, max_gram: int = MAX_GRAM, most: int = 1 << 18) -> DataFrame:
+    """Rows ``lang, n, gram, times``; n is 0 for words. Each task adds up what it sees and sends it on when it has ``most`` different ones, and at its end."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def sent(seen: Counter) -> pa.RecordBatch:
+        columns = list(zip(*((*k, v) for k, v in seen.items()))) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "n", "gram", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, int, str]] = Counter()
         for batch in batches:
             words: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words.update((lang, w) for w in LETTERS.findall(text.lower()))
-            seen: Counter[tuple[str, int, str]] = Counter()
+                words.update((lang, w) for w in words_in(text))
             for (lang, w), times in words.items():
                 seen[lang, 0, w] += times
                 for n in range(1, max_gram + 1):
                     for g in grams(w, n):
                         seen[lang, n, g] += times
-            columns = list(zip(*((*k, v) for k, v in seen.items()))) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "n", "gram", "times"])
+            if len(seen) >= most:
+                yield sent(seen)
+                seen.clear()
+        yield sent(seen)
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
 
@@ -65,19 +83,22 @@ class Model:
         self.langs = sorted({r[0] for r in rows}, key=lambda x: (-totals[x, 0], x))  # ties go to the language with more text
         self.max_gram = max_gram
         at = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, list[float]]] = [{} for _ in range(max_gram + 1)]
-        for lang, n, gram, times in rows:
-            self.tables[n].setdefault(gram, [PENALTY] * len(self.langs))[at[lang]] = log10(times / totals[lang, n])
-
-    def word(self, word: str) -> list[float]:
+        self.tables: list[dict[str, int]] = [{} for _ in range(max_gram + 1)]  # a gram's row in ``scores``
+        cells = [(self.tables[n].setdefault(gram, len(self.tables[n])), at[lang], n, log10(times / totals[lang, n])) for lang, n, gram, times in rows]
+        self.scores = [np.full((len(t), len(self.langs)), PENALTY, np.float32) for t in self.tables]
+        for row, column, n, score in cells:
+            self.scores[n][row, column] = score
+
+    def word(self, word: str) -> np.ndarray:
+        """The word's score in each language: its own, or the mean of its n-grams of the greatest length of which any is known."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.scores[0][known]
         for n in range(self.max_gram, 0, -1):
-            found = [s for g in grams(word, n) if (s := self.tables[n].get(g)) is not None]
+            found = [i for g in grams(word, n) if (i := self.tables[n].get(g)) is not None]
             if found:
-                return [sum(x) / len(found) for x in zip(*found)]
-        return [PENALTY] * len(self.langs)
+                return self.scores[n][found].mean(axis=0, dtype=np.float64)
+        return np.full(len(self.langs), PENALTY)
 
     def scorer(self, cache_words: int = CACHE_WORDS):
         """A function from texts to [languages, scores]; it keeps the scores of words it has seen."""
@@ -90,7 +111,7 @@ class Model:
             return i
 
         def one(text: str | None) -> tuple[str, float]:
-            words = LETTERS.findall(text.lower()) if text else []
+            words = words_in(text) if text else []
             if not words or not self.langs:
                 return "und", 0.0
             total = np.zeros(len(self.langs))
@@ -107,24 +128,24 @@ class Model:
         return lambda texts: list(zip(*map(one, texts))) or [[], []]
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS, max_gram: int = MAX_GRAM) -> Model:
-    """A model of the languages in ``docs`` (``doc_id, text, lang``; rows with a null in any of these don't count). Its size is bounded by the parameters."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_times: int = MIN_TIMES, max_gram: int = MAX_GRAM) -> Model:
+    """A model of all languages in ``docs`` (``doc_id, text, lang``; rows with a null in any of these don't count), from a sample of ``train_docs`` documents of each."""
     ids = sample_ids(docs, "lang", train_docs)
-    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("times"), "gram"))
-    kept = count_grams(rows, max_gram).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
+    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
+    kept = count_grams(rows, max_gram).withColumn("all", F.sum("times").over(W.partitionBy("n", "gram"))).where(F.col("all") >= min_times)
     return Model([tuple(r) for r in kept.select("lang", "n", "gram", "times").collect()], max_gram)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, lang_pred, score``: one for each row of ``docs``; score is the best language's share of likelihood for a word.
 
-    ``und`` with score 0 for a null text, one without a letter, or an empty model. Where languages tie, the one with more training text wins.
+    ``und`` with score 0 for a null text, one without a letter (category L), or an empty model. Where languages tie, the one with more training text wins, then the
+    name. Null ids stay, repeated rows get the same answer, an empty table gives no rows; very long texts are scored whole, in parts. Other columns are not read.
     """
     return per_text(docs, lambda: model.scorer(), "lang_pred string, score double", id_col, text_col)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
-    return identify(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    model = fit(docs.where(~in_fold(F.col("doc_id"), 4, 2)))
+    return identify(docs, model).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

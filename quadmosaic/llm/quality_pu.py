@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
+from quadmosaic.llm.common import in_fold, per_text, sample_ids, table
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -73,6 +73,27 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
     return float(np.clip(u[ok][best] / p[ok][best], 0.05, 0.95))
 
 
+def risk(weights: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative unbiased risk under the sigmoid loss, and the step to take for each weight.
+
+    That is its gradient; where the unlabelled part less what positives explain has gone under zero, that part counts as zero and the step goes back along it.
+    """
+    x, n = np.concatenate([positive, unlabelled]), len(positive)
+    h = np.tanh(x @ weights[0] + weights[1])
+    s = 1 / (1 + np.exp(-np.clip(h @ weights[2] + weights[3], -30, 30)))
+    # the loss of a positive is 1 - s, of a negative s; the slope of s is s(1 - s)
+    negative = s[n:].mean() - prior * s[:n].mean()
+    value = prior * (1 - s[:n].mean()) + max(negative, 0.0)
+    g = np.empty_like(s)
+    if negative >= 0:
+        g[:n], g[n:] = -2 * prior / n, 1 / len(unlabelled)
+    else:
+        g[:n], g[n:] = prior / n, -1 / len(unlabelled)
+    g *= s * (1 - s)
+    back = np.outer(g, weights[2]) * (1 - h * h)
+    return value, [x.T @ back + 1e-4 * weights[0], back.sum(axis=0), h.T @ g + 1e-4 * weights[2], g.sum(keepdims=True)]
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = STEPS, seed: int = SEED) -> Model:
     """The network of least non-negative risk; without ``prior``, it is estimated by a first network on half of the rows."""
     rng = np.random.default_rng(seed)
@@ -90,21 +111,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         for bp, bu in zip(np.array_split(orders[0], n), np.array_split(orders[1], n)):
             if not len(bp) or not len(bu):
                 continue
-            x = np.concatenate([p[bp], u[bu]])
-            h = np.tanh(x @ weights[0] + weights[1])
-            s = 1 / (1 + np.exp(-np.clip(h @ weights[2] + weights[3], -30, 30)))
-            # sigmoid loss: 1 - s as a positive, s as a negative; slope of s is s(1 - s)
-            sp, su = s[: len(bp)], s[len(bp) :]
-            negative = su.mean() - prior * sp.mean()
-            slope = s * (1 - s)
-            g = np.empty_like(s)
-            if negative >= 0:
-                g[: len(bp)], g[len(bp) :] = -2 * prior / len(bp), 1 / len(bu)
-            else:  # the negative part has gone under zero: step back along it
-                g[: len(bp)], g[len(bp) :] = prior / len(bp), -1 / len(bu)
-            g *= slope
-            back = np.outer(g, weights[2]) * (1 - h * h)
-            grads = [x.T @ back + 1e-4 * weights[0], back.sum(axis=0), h.T @ g + 1e-4 * weights[2], g.sum(keepdims=True)]
+            _, grads = risk(weights, p[bp], u[bu], prior)
             step += 1
             for i, grad in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * grad
@@ -114,12 +121,12 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
 
 
 def fit(docs: DataFrame, positives: DataFrame, most_positive: int = POSITIVES, most_unlabelled: int = UNLABELLED) -> Model:
-    """A model from ``docs`` (``doc_id, text``, all unlabelled) and ``positives`` (``doc_id``). Both samples are bounded by the parameters; only their features reach the driver."""
+    """A model from ``docs`` (``doc_id, text``, all unlabelled) and ``positives`` (``doc_id``). Both samples are bounded by the parameters, of repeated ids one row counts; only features reach the driver."""
 
     def sampled(rows: DataFrame, most: int) -> np.ndarray:
         ids = sample_ids(rows.select("doc_id", F.lit("x").alias("kind")), "kind", most)
         texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-        rows = per_text(texts, lambda: lambda t: [[features(x) for x in t]], "x array<double>").orderBy("doc_id").collect()
+        rows = per_text(texts, lambda: lambda t: [[features(x) for x in t]], "x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
         return np.array([r.x for r in rows]).reshape(-1, N_FEATURES)
 
     p, u = sampled(positives, most_positive), sampled(docs, most_unlabelled)
@@ -129,7 +136,10 @@ def fit(docs: DataFrame, positives: DataFrame, most_positive: int = POSITIVES, m
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows ``doc_id``, the columns of ``keep`` and ``score``: one for each row of ``docs``. Null and empty texts are scored by the model as texts without words; null ids stay, other columns are not read."""
+    """Rows ``doc_id``, the columns of ``keep`` and ``score``: one for each row of ``docs``.
+
+    Null and empty texts are scored by the model as texts without words, very long ones whole. Null ids stay, repeated rows get the same score, a score of exactly a threshold
+    counts as above it; an empty table gives no rows. Other columns are not read."""
 
     def run(texts: list) -> list:
         return [model.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES))]
@@ -140,10 +150,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the query and of the pipeline: labels of good texts, outside the held-out fold, are the trusted positives."""
     labels = table(spark, sf_dir, "labels").where("quality = 1")
-    return fit(docs.where(fold_of(F.col("doc_id"), 3) != 1), labels.where(fold_of(F.col("doc_id"), 3) != 1))
+    return fit(docs.where(~in_fold(F.col("doc_id"), 3, 1)), labels.where(~in_fold(F.col("doc_id"), 3, 1)))
 
 
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = classify(docs, trained(spark, docs, sf_dir))
-    return rows.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

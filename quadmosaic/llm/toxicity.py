@@ -13,13 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import fold_of, per_text, sample_ids, table
+from quadmosaic.llm.common import in_fold, per_text, sample_ids, sample_texts, table
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-#: Bounds of training: documents with and without the label, words of the vocabulary. Character n-grams share hashed rows.
-TOXIC, CLEAN, MAX_WORDS, GRAM_ROWS = 1000, 2000, 20000, 1 << 16
-EPOCHS, BATCH, RATE, VECTOR_RATE, SEED = 10, 128, 0.01, 0.01, 5
+#: Bounds of training: documents with and without the label, bytes of their texts, words of the vocabulary. Character n-grams share hashed rows.
+TOXIC, CLEAN, SAMPLE_BYTES, MAX_WORDS, GRAM_ROWS = 1500, 3000, 32 << 20, 20000, 1 << 16
+#: HIDE is the share of words that a training step sees by their characters alone.
+EPOCHS, BATCH, RATE, VECTOR_RATE, HIDE, SEED = 10, 128, 0.01, 0.001, 0.9, 5
 CACHE_WORDS = 1 << 17
 PAD = 0
 
@@ -235,7 +236,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             used, back = np.unique(word, return_inverse=True)
             back = back.reshape(word.shape)
             # words are hidden now and then, so that characters must carry them too
-            hide = rng.random(len(used)) < 0.3
+            hide = rng.random(len(used)) < HIDE
             rows = np.where(hide, 0, in_vocabulary[used])
             flat, lengths = sample.grams(used)
             vectors = net.joined(rows, flat, lengths)
@@ -326,20 +327,23 @@ class Scorer:
         return [out]
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network:
-    """A network from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``); the sample is bounded by the parameters, rows with nulls don't count."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``). The sample is bounded by the parameters, in texts and in bytes; of repeated ids one row counts, rows with nulls don't."""
     chosen = sample_ids(labels.where("toxic = 1"), "toxic", toxic).unionAll(sample_ids(labels.where("toxic = 0"), "toxic", clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("doc_id", "text").collect()
+    rows = sample_texts(docs, chosen, most_bytes).orderBy("doc_id", "toxic").collect()
     return train([r.text for r in rows], [int(r.toxic) for r in rows])
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, score``: one for each row of ``docs``, over all windows of the whole text. Texts without a token, null or empty ones too, score 0."""
+    """Rows ``doc_id, score``: one for each row of ``docs``, over all windows of the whole text; very long texts go some windows at a time.
+
+    Texts without a token, null or empty ones too, score 0. Null ids stay, repeated rows get the same score, the first of equal windows decides; an empty table gives no rows. Other columns are not read.
+    """
     return per_text(docs, lambda: Scorer(net), "score double", id_col, text_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = fit(docs, table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0))
+    net = fit(docs, table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 5, 0)))
     rows = score(docs, net)
-    return rows.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
