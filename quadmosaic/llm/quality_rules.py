@@ -29,6 +29,8 @@ class Rule:
     fails: str
 
 
+#: The version of the rules and their bits; a ledger carries the one that it was made with.
+RULES_VERSION = 1
 RULES = (
     Rule(0, "too_few_words", "n_words < 50"),
     Rule(1, "repeated_phrases", "100 * n_repeat_words > 50 * n_words"),
@@ -85,7 +87,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id``, the measurements and ``fail_bits``; one row for each row of ``docs``.
+    """Rows ``doc_id``, the measurements, ``fail_bits`` and ``rules_version``; one row for each row of ``docs``.
 
     A null or empty text measures 0 everywhere but for ``n_lines``, which is 1. A null id stays null, repeated
     rows give repeated ledger rows, and an empty table gives an empty ledger. Other columns are not read.
@@ -95,7 +97,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return rows.withColumn("fail_bits", bits)
+    return rows.withColumns({"fail_bits": bits, "rules_version": F.lit(RULES_VERSION)})
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -104,22 +106,26 @@ def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def ablations(ledger_rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail only it (and so come back without it), and
-    documents dropped without it. The ledger is first reduced to counts of failure patterns, 2^rules at most."""
-    mask = policy.mask(rules)
-    patterns = ledger_rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).count()
-    spark = ledger_rows.sparkSession
-    chosen = spark.createDataFrame([(policy.name, policy.version, r.name, 1 << r.bit) for r in rules if r.name in policy.rules], "policy string, version int, rule string, bit long")
-    hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
-    only = F.col("bits") == F.col("bit")
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0))
-    return (
-        chosen.join(F.broadcast(patterns), hit | (F.col("bits") != 0), "left")  # both sides have a few rows by construction
-        .groupBy("policy", "version", "rule")
-        .agg(total(hit).alias("n_failed"), total(only).alias("n_only"), total(~only).alias("n_dropped_without"))
+    """For each rule of a policy: documents that fail it, that fail only it (and so come back without it), and documents dropped without it.
+
+    The ledger is first reduced to counts of failure patterns, 2^rules at most; each pattern then counts towards every rule. A ledger of another version of the rules is an error.
+    """
+    mask = F.lit(policy.mask(rules)).cast("long")
+    known = F.when(F.col("rules_version") == RULES_VERSION, F.col("fail_bits")).otherwise(F.raise_error(F.lit("a ledger of another version of the rules")))
+    patterns = ledger_rows.select(known.bitwiseAND(mask).alias("bits")).groupBy("bits").count()
+    chosen = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in rules if r.name in policy.rules])
+    each = patterns.withColumn("r", F.explode(chosen)).select("bits", "count", "r.rule", "r.bit")
+    total = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("count"))), F.lit(0)).cast("long")
+    return each.groupBy(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), "rule").agg(
+        total("bits & bit <> 0").alias("n_failed"), total("bits = bit").alias("n_only"), total("bits <> 0 and bits <> bit").alias("n_dropped_without")
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the web policy does over all documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), WEB)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), (passes(BASE) & passes(WEB)).alias("kept"), "fail_bits")
@@ -152,3 +158,6 @@ with d as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 base_failed, (fail_bits & 127) = 0 kept, fail_bits::bigint fail_bits from b
 """
+
+ABLATIONS_SQL = OP1_SQL[: OP1_SQL.rindex("select doc_id")] + "select 'web' policy, 1 as version, r.rule, count(*) filter ((fail_bits & r.bit) <> 0) n_failed, count(*) filter (fail_bits = r.bit) n_only, count(*) filter (fail_bits <> 0 and fail_bits <> r.bit) n_dropped_without from b, (values "
+ABLATIONS_SQL += ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES) + ") r(rule, bit) group by r.rule"

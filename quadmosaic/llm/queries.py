@@ -9,12 +9,12 @@ from quadmosaic.llm.line_dedup import OP6_SQL, op6_line_dedup
 from quadmosaic.llm.packing import op3_packing
 from quadmosaic.llm.pii import op8_pii
 from quadmosaic.llm.quality_pu import op10_quality_pu
-from quadmosaic.llm.quality_rules import OP1_SQL, op1_quality_rules
+from quadmosaic.llm.quality_rules import ABLATIONS_SQL, OP1_SQL, op1_quality_rules, rule_ablations
 from quadmosaic.llm.simhash import op9_simhash
 from quadmosaic.llm.toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_license_scan, op3_packing, op4_langid, op5_decontam, op6_line_dedup, op7_toxicity, op8_pii, op9_simhash, op10_quality_pu)
+    for f in (op1_quality_rules, op2_license_scan, op3_packing, op4_langid, op5_decontam, op6_line_dedup, op7_toxicity, op8_pii, op9_simhash, op10_quality_pu, rule_ablations)
 }
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op2_license_scan": OP2_SQL, "op5_decontam": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op2_license_scan": OP2_SQL, "op5_decontam": OP5_SQL, "op6_line_dedup": OP6_SQL, "rule_ablations": ABLATIONS_SQL}
