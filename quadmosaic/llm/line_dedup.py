@@ -2,8 +2,9 @@
 
 Each line gives a row of its key's hash, document and position. Rows are range-partitioned by the hash (and by a salt of the document,
 so that one very common line spreads over many tasks) and sorted by document and position inside each
-partition; a window then streams over them to mark first occurrences and to count documents. Text is never
-shuffled for that: the result is one sparse bitmap for each document, and :func:`apply_bitmaps` cuts the lines.
+partition; a window then streams over them to mark first occurrences and to count documents. No text is shuffled
+for that: the result is one sparse bitmap for each document. :func:`apply_bitmaps` cuts the lines: bitmaps of a measured small size go to where the texts
+are, larger ones meet the texts by a shuffle of both.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import BLANKS, fold_ascii_col, settled, table
+from quadmosaic.llm.common import BLANKS, fold_ascii_col, fresh, settled, table
 
 MIN_DOCS = 10
-#: One key's rows are spread over so many ranges.
-SALTS = 32
+#: Lines, on average, of one key and salt if all lines had one key: how many salts there are follows from the number of lines.
+SALT_ROWS, SALTS = 1 << 17, 32
+#: Bytes of bitmaps that go to every task.
+BROADCAST_BYTES = 64 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -38,14 +41,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     keyed = settled(
         lines.withColumn("key", key)
         .where("key <> ''")
-        .select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "text_hash", "pos")
+        .select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "doc_id", "text_hash", "pos")
     )
+    salts = max(SALTS, -(-keyed.count() // SALT_ROWS))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["h1", "h2", "salt"]
     ranged = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by, "doc_id", "text_hash", "pos")
     stream = W.partitionBy(*by).orderBy("doc_id", "text_hash", "pos")
     marked = ranged.withColumn("new_doc", (F.row_number().over(stream) == 1) | ~F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id")))
-    # one row for each key and salt; a key has SALTS of these at most, so their sums meet without a hot group
+    # one row for each key and salt; a key has as many of these as there are salts at most, so their sums meet without a hot group
     local = marked.where("new_doc").groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("least"))
     whole = W.partitionBy("h1", "h2")
     frequent = local.select(*by, F.sum("n").over(whole).alias("n_docs"), F.min("least").over(whole).alias("first")).where(F.col("n_docs") >= min_docs)
@@ -69,16 +74,21 @@ def _flags(keep: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``. A document of which no line stays has an empty text."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), _flags(F.col("keep")).alias("__keep"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    joined = docs.join(marks.hint("shuffle_hash"), same, "left")
-    lines = _lines(F.col(text_col))
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; columns of ``docs`` by these names are replaced, all others stay. A document of which no line stays has an empty text."""
+    mark, part = fresh(docs, "bitmap"), fresh(docs, "kept_lines")
+    marks = settled(bitmaps.select(F.struct("doc_id", "text_hash", "keep").alias(mark)))
+    # a bitmap takes an id, a hash and 16 bytes for each of its groups of 64 lines
+    size = marks.agg(F.sum(64 + 32 * F.size(F.col(mark)["keep"]))).first()[0] or 0
+    own = F.col(mark)
+    same = F.col(id_col).cast("long").eqNullSafe(own["doc_id"]) & (F.xxhash64(text_col) == own["text_hash"])
+    joined = docs.drop("kept_text", "n_lines", "n_dropped").join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks.hint("shuffle_hash"), same, "left")
+    flags, lines = fresh(docs, "flags"), _lines(F.col(text_col))
     gone = F.lit("0").cast("binary")
-    kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, lambda x, i: F.substring(F.col("__keep"), i + 1, F.lit(1)) != gone))
-    return joined.withColumn("__kept", kept).withColumns(
-        {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long"), "kept_text": F.array_join("__kept", "\n")}
-    ).drop("__kept", "__id", "__hash", "__keep")
+    joined = joined.withColumn(flags, F.when(own.isNotNull(), _flags(own["keep"])))
+    kept = F.when(F.col(flags).isNull(), lines).otherwise(F.filter(lines, lambda x, i: F.substring(F.col(flags), i + 1, F.lit(1)) != gone))
+    return joined.withColumn(part, kept).withColumns(
+        {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(part)).cast("long"), "kept_text": F.array_join(part, "\n")}
+    ).drop(part, mark, flags)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
