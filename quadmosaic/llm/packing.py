@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmosaic.llm.common import BLANKS, table
+from quadmosaic.llm.common import BLANKS, settled, table
 from quadmosaic.llm.simhash import near_duplicates
 
 CAPACITY = 4096
@@ -93,40 +93,32 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int = CAPA
 PACKED = "doc_id string, piece int, first_token long, n_tokens long, shard long, bin long"
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Tells rows apart by id and text."""
-    return F.xxhash64(id_col, F.xxhash64(text_col))
+def n_tokens(text_col: str = "text") -> Column:
+    """Words between ASCII blanks."""
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{BLANKS}]+")).cast("long")
 
 
-def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``key, cluster``, one for each key: the component of near duplicates, exact copies among them, as :func:`best_fit` takes it."""
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return near_duplicates(keyed, "key").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("cluster"))
-
-
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: str | None = None, clusters: DataFrame | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: str | None = None, tokens: Column | None = None) -> DataFrame:
     """Rows ``doc_id, piece, first_token, n_tokens, shard, bin``: where each document's tokens go.
 
-    Tokens are words between ASCII blanks. A document over ``capacity`` tokens is cut: its full pieces fill bins of their own and the
+    Tokens are words between ASCII blanks, or as many as ``tokens`` says. A document over ``capacity`` tokens, however long, is cut: its full pieces fill bins of their own and the
     rest is packed as any piece. Documents without a token (null, empty or blank texts) get one piece of 0 tokens, which takes a place under the
     same conflicts. A null source is a source of its own. ``cluster`` is a SQL expression for the class of duplicates; by default rows
-    of the same text are one. ``clusters`` gives it as rows ``key, cluster`` instead, by the key of :func:`row_key`. Null ids are kept; repeated rows are packed apart. Rows reach shards by hash, so neither a hot source nor a hot cluster
-    decides a shard's size, and only ids, lengths and two keys are shuffled. Bins are named by ``shard`` and ``bin``.
+    of the same text are one, and null is in conflict with nothing. Null ids are kept; repeated rows are packed apart; ties go in the order of ids; an empty table gives no rows. Rows reach
+    shards by a hash of their own, whatever is in them, so no source, cluster or repeated row
+    decides a shard's size, and only ids, lengths and two keys are shuffled. Other columns are not read. Bins are named by ``shard`` and ``bin``.
     """
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{BLANKS}]+")).cast("long")
     key = F.expr(cluster) if cluster else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    n_shards = max(1, -(-docs.count() // shard_rows))
     rows = docs.select(
-        F.pmod(row_key(id_col, text_col), F.lit(n_shards)).alias("shard"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("own"),
         F.col(id_col).cast("long").cast("string").alias("doc_id"),
-        words.alias("n"),
+        (n_tokens(text_col) if tokens is None else tokens).alias("n"),
         F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))).alias("source"),
         key.cast("string").alias("cluster"),
-        row_key(id_col, text_col).alias("key"),
     )
-    if clusters is not None:
-        rows = rows.drop("cluster").join(clusters.select("key", F.col("cluster").cast("string").alias("cluster")), "key", "left")
-    rows = rows.drop("key")
+    rows = settled(rows)  # a row keeps its own hash, also when a task runs again
+    n_shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumn("shard", F.pmod("own", F.lit(n_shards))).drop("own")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n", "source", "cluster"], kind="stable", na_position="first", ignore_index=True)
@@ -156,5 +148,9 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents; near copies, exact ones among them, are one cluster."""
     docs = table(spark, sf_dir, "documents")
-    return best_fit(docs, clusters=near_clusters(docs))
+    # a row's id for the clusters is never null, so that near copies without an id are told from others, too
+    keyed = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text", F.col("doc_id").alias("own_id"), "source", n_tokens().alias("n"))
+    rows = near_duplicates(keyed, "key", keep=("own_id", "source", "n"))
+    return best_fit(rows, id_col="own_id", cluster="component_id", tokens=F.col("n"))

@@ -46,10 +46,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows ``doc_id, fp``; the fingerprint as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``doc_id``, the columns of ``keep`` and ``fp``; the fingerprint as a signed long with the same bits."""
 
-    return per_text(docs, lambda: lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)], "fp long", id_col, text_col)
+    return per_text(docs, lambda: lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)], "fp long", id_col, text_col, keep)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -204,14 +204,15 @@ def close_links(nodes: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BL
     return dealt.repartition(parts, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``links`` (``a, b``): rows ``node, root`` with the smallest node of each, by alternating stars.
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of ``links`` (``a, b``, of any type that can be ordered): rows ``node, root`` with the smallest node of each, by alternating stars.
 
-    Each round works on links alone, by joins-free grouping with partial minima; it ends when no link changes.
+    Each round works on links alone, by grouping with partial minima; it ends when no link changes. What is joined back to a node's links is one row, so a
+    node of very many links is a skewed side that adaptive execution splits.
     """
     edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -224,21 +225,29 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         mark = seen
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows ``doc_id, fp, component_id``: one for each row of ``docs``, the smallest id reachable over close fingerprints.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``doc_id``, the columns of ``keep``, ``fp`` and ``component_id``: one for each row of ``docs``, the smallest id reachable over close fingerprints.
 
-    Null and empty texts have fingerprint 0 and link to each other as any. Rows with a null id keep it and take part; ``component_id`` is
+    Null and empty texts have fingerprint 0 and link to each other as any; very long texts are read whole, and an empty table gives no rows. Rows with a null id keep it and take part; ``component_id`` is
     the smallest id that is not null, or null where there is none. Repeated rows give repeated rows. No other column is read.
     """
-    rows = settled(fingerprints(docs, id_col, text_col, shingle))
-    nodes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(close_links(nodes.select("fp"), max_bits, block_rows))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rows = settled(fingerprints(docs, id_col, text_col, shingle, keep))
+    n = rows.count()
+    nodes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")))
+    # nodes are ordered by their smallest id, null last: a component's root then has its id, and nothing is dealt by component
+    name = lambda side: F.struct(F.col(f"{side}.least").isNull().alias("unnamed"), F.col(f"{side}.least").alias("least"), F.col(f"{side}.fp").alias("fp"))
+    links = close_links(nodes.select("fp"), max_bits, block_rows)
+    ends = links.join(nodes.alias("x"), F.col("a") == F.col("x.fp")).join(nodes.alias("y"), F.col("b") == F.col("y.fp")).select(name("x").alias("a"), name("y").alias("b"))
+    roots = components(ends).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("found"), F.lit(True).alias("linked"))
+    named = settled(nodes.join(roots, "fp", "left").select("fp", "n_rows", F.when(F.col("linked"), F.col("found")).otherwise(F.col("least")).alias("component_id")))
+    # fingerprints of a thousandth of all rows or more, a thousand at most, go to their rows; the others are joined by a shuffle
+    hot = F.col("n_rows") * 1000 >= n
+    out = ["doc_id", *keep, "fp", "component_id"]
+    many = rows.join(F.broadcast(named.where(hot)), "fp").select(*out)
+    few = rows.join(F.broadcast(named.where(hot).select("fp")), "fp", "left_anti").join(named.where(~hot), "fp").select(*out)
+    return many.unionAll(few)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
