@@ -1,16 +1,18 @@
 """A corpus pipeline: quality classifier, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; what one returns is written and is the next one's ``docs``.
+For all of them: a null text is one without words; rows with a null id are kept or judged like any other and never told apart by it; repeated rows are
+judged alike; very long texts are read whole; columns besides those of documents are dropped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadmosaic.lineage import shared_folder
 from quadmosaic.llm.common import settled, table
 from quadmosaic.llm.decontam import with_contamination
 from quadmosaic.llm.line_dedup import apply_bitmaps, keep_bitmaps
@@ -22,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the positive-unlabelled classifier accepts."""
+    """Keeps the documents that the positive-unlabelled classifier accepts, at a score of 0.5 or more."""
     return classify(docs, trained(spark, docs, sf_dir), keep=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
@@ -62,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")

@@ -3,7 +3,8 @@
 Identifiers (e-mail, IP, card and phone numbers) are the protected entities. For each, the words near it are counted over the whole
 corpus. A word discloses an entity by the pointwise mutual information of the two, as a share of the entity's
 own information content: 1 means that the word stands only where the entity does. Words at or above ``remove`` are
-removed and words at or above ``generalise`` are replaced by their kind, in every document where they stand, whether it states the entity or not. A pair
+removed. Words at or above ``generalise`` are cut to the longest beginning that, as a class of all words that begin so, discloses less than that; where none does, they are removed,
+too. This is done in every document where they stand, whether it states the entity or not. A pair
 counts only if it was seen in ``support`` different contexts, so copies of one passage are no evidence.
 """
 
@@ -120,7 +121,10 @@ def mentions(text: str | None, around: int = AROUND) -> list[tuple[str, list[str
 
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``term, removed``, one for each word that discloses an entity; ``removed`` if it does so for any at or above ``remove``."""
+    """Rows ``term, replacement``, one for each word that discloses an entity: the beginning that it is generalised to, or an empty one if it is to be removed.
+
+    Everything is counted by distinct pairs and partial sums, so an entity that stands in very many documents is never one group.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # per_text passes one id: it gets the row's key here
     keyed = rows.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
@@ -131,9 +135,9 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     found = settled(per_text(keyed, lambda: run, "m array<struct<entity:string,terms:array<string>,context:string>>").select(F.col("doc_id").alias("doc"), F.explode("m").alias("m")).select("doc", "m.*"))
     n = rows.count()
     near = found.select("entity", "doc", "context", F.explode("terms").alias("term"))
-    contexts = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    supported = contexts.where(F.col("n_contexts") >= support)
-    together = near.join(supported, ["entity", "term"]).select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pair = ["entity", "term"]
+    contexts = near.select(*pair, "context").distinct().groupBy(*pair).agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
+    both = near.select(*pair, "doc").distinct().groupBy(*pair).agg(F.count("*").alias("n_both"))
     own = found.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     information = F.log2(n / F.col("n_entity"))
 
@@ -143,12 +147,25 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
 
     # a word's documents near any entity are some of all its documents: what they already rule out needs no count over the corpus
     beside = near.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    together = settled(together.join(own, "entity").join(beside, "term").where(share(F.col("n_near")) >= generalise))
-    wanted = settled(together.select("term").distinct())
-    times = _document_counts(rows, wanted)
-    pairs = together.join(times, "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both")))
-    chosen = pairs.withColumn("share", share(F.col("n_term"))).where(F.col("share") >= generalise)
-    return chosen.groupBy("term").agg(F.max(F.col("share") >= remove).alias("removed"))
+    together = settled(both.join(contexts, pair).join(own, "entity").join(beside, "term").where(share(F.col("n_near")) >= generalise))
+    times = _document_counts(rows, settled(together.select("term").distinct()))
+    at_least = F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both"))
+    chosen = settled(together.join(times, "term", "left").withColumn("share", share(at_least)).where(F.col("share") >= generalise).select(*pair, "n_entity", "share"))
+    words = settled(chosen.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
+    wide = words.where("not removed and char_length(term) > 1").select("term", F.explode(F.sequence(F.lit(1), F.char_length("term") - 1)).alias("k")).select("term", F.substring("term", F.lit(1), F.col("k")).alias("start"))
+    starts = settled(wide.select("start").distinct())
+    if starts.isEmpty():
+        return words.select("term", F.lit("").alias("replacement"))
+    # each beginning, as a class of words, against every entity that its word discloses
+    lengths = F.sequence(F.lit(1), F.greatest(F.char_length("term") - 1, F.lit(1)))
+    entities_of = chosen.select("entity").distinct()
+    classes = near.join(entities_of, "entity", "left_semi").select("entity", "doc", "term").distinct().select("entity", "doc", F.explode(F.transform(lengths, lambda k: F.substring(F.col("term"), F.lit(1), k))).alias("start"))
+    class_both = classes.join(starts, "start", "left_semi").distinct().groupBy("entity", "start").agg(F.count("*").alias("n_both"))
+    class_times = _document_counts(rows, starts.withColumnRenamed("start", "term"), beginnings=True).withColumnRenamed("term", "start")
+    tested = wide.join(chosen.select(*pair, "n_entity"), "term").join(class_both, ["entity", "start"]).join(class_times, "start", "left").withColumn("share", share(at_least))
+    safe = tested.groupBy("term", "start").agg(F.max("share").alias("share")).where(F.col("share") < generalise)
+    longest = safe.groupBy("term").agg(F.max_by("start", F.char_length("start")).alias("start"))
+    return words.join(longest, "term", "left").select("term", F.coalesce("start", F.lit("")).alias("replacement"))
 
 
 def _few(terms: DataFrame) -> list | None:
@@ -157,12 +174,15 @@ def _few(terms: DataFrame) -> list | None:
     return terms.collect() if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
 
 
-def _distinct_terms(texts: list) -> list:
-    return [[sorted(set(terms_of(t or ""))) for t in texts]]
+def _keys_of(text: str | None, lengths: tuple[int, ...] = ()) -> set[str]:
+    """The distinct words of a text, or their proper beginnings of some lengths."""
+    words = set(terms_of(text or ""))
+    return {w[:k] for w in words for k in lengths if k < len(w)} if lengths else words
 
 
-def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows ``term, n_term``: in how many rows' texts each wanted term stands. Tasks count a set of checked size on their own; a larger one is joined."""
+def _document_counts(rows: DataFrame, wanted: DataFrame, beginnings: bool = False) -> DataFrame:
+    """Rows ``term, n_term``: in how many rows' texts each wanted term stands, or words that begin with it. Tasks count a set of checked size on their own; a larger one is joined."""
+    lengths = tuple(r.n for r in wanted.select(F.char_length("term").alias("n")).distinct().orderBy("n").collect()) if beginnings else ()
     few = _few(wanted)
     if few is not None:
         chosen = frozenset(r.term for r in few)
@@ -171,37 +191,38 @@ def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             seen: Counter[str] = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    seen.update(chosen.intersection(terms_of(text or "")))
+                    seen.update(chosen.intersection(_keys_of(text, lengths)))
             yield pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    words = per_text(rows, lambda: _distinct_terms, "terms array<string>").select(F.explode("terms").alias("term"))
+    words = per_text(rows, lambda: lambda texts: [[sorted(_keys_of(t, lengths)) for t in texts]], "terms array<string>").select(F.explode("terms").alias("term"))
     return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def spans_of(text: str | None, terms: dict[str, bool]) -> list[tuple[int, int, int]]:
+def spans_of(text: str | None, terms: dict[str, str]) -> list[tuple[int, int, int]]:
     """(start, index in ``KINDS + TERM_KINDS``, end) of identifiers and of disclosing words that don't touch one, sorted."""
     found = entities(text)
     if terms and text:
         inside = merged(found)
         starts = [a for a, _ in inside]
         for m in _TERM.finditer(text):
-            removed = terms.get(m[0].lower())
-            if removed is not None:
+            start = terms.get(m[0].lower())
+            if start is not None:
                 before = bisect_left(starts, m.end())  # only the last stretch that starts before the word's end can reach into it
                 if not before or inside[before - 1][1] <= m.start():
-                    found.append((m.start(), len(KINDS) + removed, m.end()))
+                    found.append((m.start(), len(KINDS) + (not start), m.end()))
     return sorted(found)
 
 
-def sanitised(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
-    """The text with identifiers and generalised words replaced by their kind, and removed words gone."""
+def sanitised(text: str | None, spans: list[tuple[int, int, int]], terms: dict[str, str]) -> str | None:
+    """The text with identifiers replaced by their kind, generalised words cut to their beginning and a star, and removed words gone."""
     if text is None:
         return None
     out, done = [], 0
     for start, kind, end in spans:
         if start >= done:
-            out += [text[done:start], "" if kind == len(KINDS) + 1 else f"[{(KINDS + TERM_KINDS)[kind].upper()}]"]
+            put = f"[{KINDS[kind].upper()}]" if kind < len(KINDS) else f"{terms[text[start:end].lower()]}*" if kind == len(KINDS) else ""
+            out += [text[done:start], put]
             done = end
         elif end > done:
             done = end
@@ -211,36 +232,42 @@ def sanitised(text: str | None, spans: list[tuple[int, int, int]]) -> str | None
 def find_personal_data(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows ``doc_id, spans`` (and ``sanitised``, if asked for), one for each row of ``docs``; a span is ``start, kind, end`` with code points, end exclusive.
 
-    Null text has no spans and stays null; empty text has none. Null ids stay; rows of the same id and text are one document in the counts. Other columns are not read.
+    Null text has no spans and stays null; empty text has none. Null ids stay; rows of the same id and text are one document in the counts;
+    an empty table gives no rows. Texts are read whole, however long. A word that discloses an entity at exactly a threshold is above it. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     terms = settled(disclosing(docs, support, generalise, remove, id_col, text_col))
     few = _few(terms)
     schema = "spans array<struct<start:long,kind:string,end:long>>" + ", sanitised string" * with_text
 
-    def result(texts: list, spans: list) -> list:
+    def result(texts: list, spans: list, terms: list) -> list:
         out = [[dict(start=a, kind=(KINDS + TERM_KINDS)[k], end=z) for a, k, z in s] for s in spans]
-        return [out, [sanitised(t, s) for t, s in zip(texts, spans)]] if with_text else [out]
+        return [out, [sanitised(*x) for x in zip(texts, spans, terms)]] if with_text else [out]
 
     if few is not None:
-        chosen = {r.term: r.removed for r in few}
-        return per_text(rows, lambda: lambda texts: result(texts, [spans_of(t, chosen) for t in texts]), schema)
+        chosen = {r.term: r.replacement for r in few}
+        return per_text(rows, lambda: lambda texts: result(texts, [spans_of(t, chosen) for t in texts], [chosen] * len(texts)), schema)
     # too many for every task: words meet the terms by a shuffle, what is found goes back to its document
     key = F.xxhash64("doc_id", F.xxhash64("text"))
-    words = per_text(rows.select(key.alias("doc_id"), "text"), lambda: _distinct_terms, "terms array<string>").select(F.col("doc_id").alias("doc"), F.explode("terms").alias("term"))
-    side = words.distinct().join(terms, "term").groupBy("doc").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
+    words = per_text(rows.select(key.alias("doc_id"), "text"), lambda: lambda texts: [[sorted(_keys_of(t)) for t in texts]], "terms array<string>").select(F.col("doc_id").alias("doc"), F.explode("terms").alias("term"))
+    side = words.distinct().join(terms, "term").groupBy("doc").agg(F.collect_list(F.struct("term", "replacement")).alias("terms"))
     joined = rows.join(side, key == F.col("doc"), "left")
 
     def run(pairs: list) -> list:
-        return result([p["text"] for p in pairs], [spans_of(p["text"], {t["term"]: t["removed"] for t in p["terms"] or []}) for p in pairs])
+        texts, own = [p["text"] for p in pairs], [{t["term"]: t["replacement"] for t in p["terms"] or []} for p in pairs]
+        return result(texts, [spans_of(*x) for x in zip(texts, own)], own)
 
     return per_text(joined.select("doc_id", F.struct("text", "terms").alias("text")), lambda: run, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = find_personal_data(table(spark, sf_dir, "documents"))
+    """``n_spans`` counts all spans, those of the method too; ``sanitised_sha256`` is of the sanitised text (null for a null text)."""
+    rows = find_personal_data(table(spark, sf_dir, "documents"), with_text=True)
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     listed: Callable = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select(
+        "doc_id", *counts, sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), sha(F.col("sanitised")).alias("sanitised_sha256")
+    )
