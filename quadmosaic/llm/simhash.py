@@ -24,6 +24,8 @@ from quadmosaic.llm.common import per_text, settled, table
 BITS, MAX_BITS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of one bucket that one task takes; a larger bucket is dealt out as pairs of blocks of that size.
 BLOCK_ROWS = 8192
+#: Links up to which each node's least neighbour goes to every task.
+BROADCAST_LINKS = 1 << 18
 #: Members of a node on each level of the index.
 FANOUT = 8
 
@@ -204,27 +206,39 @@ def close_links(nodes: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BL
     return dealt.repartition(parts, *by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long")
 
 
+def _beside_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+    """``links`` joined to ``least`` (one row for each ``u``, with the number ``n`` of its links).
+
+    Up to ``BROADCAST_LINKS`` links, ``least`` goes to every task. Beyond, only nodes with a thousandth of all links or more, of which there are a thousand at most, do; the others are joined by a shuffle.
+    """
+    if n_links <= BROADCAST_LINKS:
+        return links.join(F.broadcast(least), "u")
+    least = settled(least)
+    hot = F.col("n") * 1000 >= n_links
+    many = links.join(F.broadcast(least.where(hot)), "u")
+    return many.unionByName(links.join(F.broadcast(least.where(hot).select("u")), "u", "left_anti").join(least.where(~hot), "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (``a, b``, of any type that can be ordered): rows ``node, root`` with the smallest node of each, by alternating stars.
 
-    Each round works on links alone, by grouping with partial minima; it ends when no link changes. What is joined back to a node's links is one row, so a
-    node of very many links is a skewed side that adaptive execution splits.
+    Each round works on links alone, by grouping with partial minima; it ends when no link changes. A node's links are never brought together in one task.
     """
     edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark, n_links = None, edges.count()
     while True:
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside_least(both, low, 2 * n_links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours move to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside_least(large, low, 2 * n_links).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         edges = settled(small.where("u <> v").distinct())
         seen = edges.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
         if seen == mark:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        mark = seen
+        mark, n_links = seen, seen.n
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:

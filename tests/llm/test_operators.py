@@ -726,8 +726,9 @@ def test_near_duplicates_against_brute_force(spark, small, rows):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-@pytest.mark.parametrize("block_rows", [8192, 40])
-def test_close_links_of_chains_and_balls(spark, block_rows):
+@pytest.mark.parametrize("block_rows,sent", [(8192, 1 << 18), (40, 0)])
+def test_close_links_of_chains_and_balls(spark, monkeypatch, block_rows, sent):
+    monkeypatch.setattr(simhash, "BROADCAST_LINKS", sent)
     rng = random.Random(10)
     fps = set()
     for _ in range(12):
