@@ -174,10 +174,19 @@ def _few(terms: DataFrame) -> list | None:
     return terms.collect() if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
 
 
-def _keys_of(text: str | None, lengths: tuple[int, ...] = ()) -> set[str]:
-    """The distinct words of a text, or their proper beginnings of some lengths."""
+#: Letters by which words are told apart first when their beginnings are looked up; no word is shorter.
+ROOT = 3
+
+
+def _keys_of(text: str | None, lengths: tuple[int, ...] = (), roots: frozenset[str] = frozenset()) -> set[str]:
+    """The distinct words of a text, or their proper beginnings of some lengths: all of fewer letters than ``ROOT``, longer ones of words that begin as ``roots``."""
     words = set(terms_of(text or ""))
-    return {w[:k] for w in words for k in lengths if k < len(w)} if lengths else words
+    if not lengths:
+        return words
+    short, longer = [k for k in lengths if k < ROOT], [k for k in lengths if k >= ROOT]
+    keys = {w[:k] for k in short for w in words}
+    keys.update(w[:k] for w in words if w[:ROOT] in roots for k in longer if k < len(w))
+    return keys
 
 
 def _document_counts(rows: DataFrame, wanted: DataFrame, beginnings: bool = False) -> DataFrame:
@@ -186,16 +195,18 @@ def _document_counts(rows: DataFrame, wanted: DataFrame, beginnings: bool = Fals
     few = _few(wanted)
     if few is not None:
         chosen = frozenset(r.term for r in few)
+        roots = frozenset(w[:ROOT] for w in chosen if len(w) >= ROOT)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[str] = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    seen.update(chosen.intersection(_keys_of(text, lengths)))
+                    seen.update(chosen.intersection(_keys_of(text, lengths, roots)))
             yield pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    words = per_text(rows, lambda: lambda texts: [[sorted(_keys_of(t, lengths)) for t in texts]], "terms array<string>").select(F.explode("terms").alias("term"))
+    every = frozenset(r.root for r in wanted.where(F.char_length("term") >= ROOT).select(F.substring("term", 1, ROOT).alias("root")).distinct().collect()) if beginnings else frozenset()
+    words = per_text(rows, lambda: lambda texts: [[sorted(_keys_of(t, lengths, every)) for t in texts]], "terms array<string>").select(F.explode("terms").alias("term"))
     return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
 
