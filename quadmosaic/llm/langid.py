@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -73,21 +72,33 @@ def count_grams(rows: DataFrame, max_gram: int = MAX_GRAM, most: int = 1 << 18)
     return rows.select("lang", "text").mapInArrow(run, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
 
 
+MODEL_COLUMNS = ("lang", "n", "gram", "times")
+
+
 class Model:
-    """Scores of words in each language, from ``(lang, n, gram, times)`` rows."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], max_gram: int = MAX_GRAM):
-        totals: Counter[tuple[str, int]] = Counter()
-        for lang, n, _, times in rows:
-            totals[lang, n] += times
-        self.langs = sorted({r[0] for r in rows}, key=lambda x: (-totals[x, 0], x))  # ties go to the language with more text
-        self.max_gram = max_gram
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, int]] = [{} for _ in range(max_gram + 1)]  # a gram's row in ``scores``
-        cells = [(self.tables[n].setdefault(gram, len(self.tables[n])), at[lang], n, log10(times / totals[lang, n])) for lang, n, gram, times in rows]
-        self.scores = [np.full((len(t), len(self.langs)), PENALTY, np.float32) for t in self.tables]
-        for row, column, n, score in cells:
-            self.scores[n][row, column] = score
+    """Scores of words in each language, from ``lang, n, gram, times``: tuples, or a table of Arrow, whose texts become Python's once for each gram."""
+
+    def __init__(self, rows: list[tuple[str, int, str, int]] | pa.Table, max_gram: int = MAX_GRAM):
+        if not isinstance(rows, pa.Table):
+            columns = zip(MODEL_COLUMNS, (pa.string(), pa.int32(), pa.string(), pa.int64()), zip(*rows) if rows else [()] * 4)
+            rows = pa.table({name: pa.array(values, kind) for name, kind, values in columns})
+        lang = rows["lang"].combine_chunks().dictionary_encode()
+        names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+        n, times = rows["n"].to_numpy(), rows["times"].to_numpy()
+        totals = np.zeros((len(names), max_gram + 1))
+        np.add.at(totals, (code, n), times)
+        order = sorted(range(len(names)), key=lambda i: (-totals[i, 0], names[i]))  # ties go to the language with more text
+        self.langs, self.max_gram = [names[i] for i in order], max_gram
+        column = np.empty(len(names), np.int64)
+        column[order] = np.arange(len(names))
+        self.tables: list[dict[str, int]] = []  # for each length, a gram's row in ``scores``
+        self.scores: list[np.ndarray] = []
+        for k in range(max_gram + 1):
+            own = np.flatnonzero(n == k)
+            gram = rows["gram"].take(pa.array(own)).combine_chunks().dictionary_encode()
+            self.tables.append({g: i for i, g in enumerate(gram.dictionary.to_pylist())})
+            self.scores.append(np.full((len(gram.dictionary), len(names)), PENALTY, np.float32))
+            self.scores[k][gram.indices.to_numpy(), column[code[own]]] = np.log10(times[own] / totals[code[own], k])
 
     def word(self, word: str) -> np.ndarray:
         """The word's score in each language: its own, or the mean of its n-grams of the greatest length of which any is known."""
@@ -133,7 +144,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_times: int = MIN_TIME
     ids = sample_ids(docs, "lang", train_docs)
     rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
     kept = count_grams(rows, max_gram).withColumn("all", F.sum("times").over(W.partitionBy("n", "gram"))).where(F.col("all") >= min_times)
-    return Model([tuple(r) for r in kept.select("lang", "n", "gram", "times").collect()], max_gram)
+    return Model(kept.select(*MODEL_COLUMNS).toArrow(), max_gram)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
