@@ -81,17 +81,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def sample_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """Distinct ``doc_id, <label>``: for each value of the label at most ``most`` ids, by the smallest hash of the id.
+def sample_ids(rows: DataFrame, label: str | None, most: int) -> DataFrame:
+    """Distinct ``doc_id, <label>``: for each value of the label at most ``most`` ids, by the smallest hash of the id. Without a label, all ids are one class.
 
     Ids are first thinned to about 1.3 times the bound, so the top-k merges a bounded number of rows for a value at any size.
     """
+    order, parts = F.xxhash64("doc_id", F.lit(17)), 1 << 20
+    if label is None:
+        ids = rows.where("doc_id is not null").select("doc_id").distinct()
+        below = int(min(1.0, 1.3 * most / max(ids.count(), 1)) * parts) + 1
+        return ids.where(F.pmod(order, F.lit(parts)) < below).orderBy(order, "doc_id").limit(most)
     rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).distinct()
     rate = F.least(F.lit(1.0), F.lit(1.3 * most) / F.count("*"))
-    rates = settled(rows.groupBy(label).agg((F.floor(rate * (1 << 20)) + 1).alias("__below")))
+    rates = settled(rows.groupBy(label).agg((F.floor(rate * parts) + 1).alias("__below")))
     side = F.broadcast(rates) if rates.count() <= 10_000 else rates
-    order = F.xxhash64("doc_id", F.lit(17))
-    thinned = rows.join(side, label).where(F.pmod(order, F.lit(1 << 20)) < F.col("__below"))
+    thinned = rows.join(side, label).where(F.pmod(order, F.lit(parts)) < F.col("__below"))
     rank = F.row_number().over(W.partitionBy(label).orderBy(order, "doc_id"))
     return thinned.withColumn("__rank", rank).where(F.col("__rank") <= most).select("doc_id", label)
 

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, positives: DataFrame, most_positive: int = POSITIVES, m
     """A model from ``docs`` (``doc_id, text``, all unlabelled) and ``positives`` (``doc_id``). Both samples are bounded by the parameters, of repeated ids one row counts; only features reach the driver."""
 
     def sampled(rows: DataFrame, most: int) -> np.ndarray:
-        ids = sample_ids(rows.select("doc_id", F.lit("x").alias("kind")), "kind", most)
+        ids = sample_ids(rows, None, most)
         texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
         rows = per_text(texts, lambda: lambda t: [[features(x) for x in t]], "x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
         return np.array([r.x for r in rows]).reshape(-1, N_FEATURES)

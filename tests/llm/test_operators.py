@@ -299,7 +299,10 @@ def test_more_than_64_languages_are_sampled(spark):
     docs = spark.range(710).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.least(F.col("id"), F.col("id") % 70).cast("string")).alias("lang"))
     got = Counter(r.lang for r in sample_ids(docs, "lang", 20).collect())
     assert len(got) == 70 and set(got.values()) <= {10, 11}
-    assert sample_ids(docs.withColumn("lang", F.lit("x")), "lang", 20).count() == 20
+    one = sample_ids(docs.withColumn("lang", F.lit("x")), "lang", 20)
+    assert one.count() == 20
+    assert sorted(r.doc_id for r in one.collect()) == sorted(r.doc_id for r in sample_ids(docs.unionAll(docs), None, 20).collect())
+    assert sample_ids(docs.limit(0), None, 20).count() == 0 and sample_ids(docs, None, 1000).count() == 710
 
 
 # 5
