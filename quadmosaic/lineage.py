@@ -1,8 +1,9 @@
-"""Cutting lineage."""
+"""Cutting lineage, and folders for what is written on the way."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +19,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation."""
+    """``df`` computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation. Spark deletes it once nothing uses it where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file of any file system that Spark reaches; one that isn't there is no error."""
+    fs, place = _path(spark, path)
+    fs.delete(place, True)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; its new parent is made if needed."""
+    fs, place = _path(spark, source)
+    _, to = _path(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(place, to):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _path(spark, path)
+    return fs.exists(place)
