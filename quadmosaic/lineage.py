@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +55,35 @@ def moved(spark: SparkSession, source: str, target: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, place = _path(spark, path)
     return fs.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    fs, place = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def claimed(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether this call has created the file ``path`` with ``text``; False if it was there."""
+    fs, place = _path(spark, path)
+    try:
+        out = fs.create(place, False)
+    except Py4JJavaError:
+        if fs.exists(place):
+            return False
+        raise
+    try:
+        out.writeBytes(text)
+    finally:
+        out.close()
+    return True
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """The first line of a small file."""
+    fs, place = _path(spark, path)
+    source = fs.open(place)
+    try:
+        return source.readLine() or ""
+    finally:
+        source.close()

@@ -209,7 +209,7 @@ def topmost(tiles: DataFrame, box: tuple[float, float, float, float], px: float,
 
 
 def topmost_blobs(meta: DataFrame, rasters: DataFrame, box: tuple[float, float, float, float], px: float, py: float, size: int = 512, kind: str = "PNG", transparent: int = TRANSPARENT_NONE, background: int = BACKGROUND_DEFAULT) -> DataFrame:
-    """The next top-most level as tiles with ``raster``: all sources' tiles of a level painted at their own size into cells, which are then halved."""
+    """The next top-most level as tiles with ``raster`` and ``error``: all sources' tiles of a level painted at their own size into cells, which are then halved. A cell whose tiles can't be decoded has its error."""
     cells = topmost_layout(meta.sparkSession, box, px, py, size)
     level = meta.where((F.col("px") == px) & (F.col("py") == py))
     dx, dy = _at("cell_min_x", "cell_max_y")
@@ -217,7 +217,7 @@ def topmost_blobs(meta: DataFrame, rasters: DataFrame, box: tuple[float, float,
         "row", "col", F.col("width").alias("canvas_w"), F.col("height").alias("canvas_h"), F.col("thumb_w").alias("out_w"), F.col("thumb_h").alias("out_h"), F.col("id").alias("order"),
         dx.alias("at_x"), dy.alias("at_y"), F.col("tile_w").cast("long").alias("new_w"), F.col("tile_h").cast("long").alias("new_h"), F.lit(False).alias("boxed"), "raster",
     )
-    blobs = paint_blobs(rows, ("row", "col"), kind, transparent, background).where("raster is not null").select("row", "col", "raster", "error")
+    blobs = paint_blobs(rows, ("row", "col"), kind, transparent, background).where("raster is not null or error is not null").select("row", "col", "raster", "error")
     sections = topmost_grid(box, px, py, size)["sections"]
     return cells.join(blobs, ["row", "col"]).select(
         F.lit(TOPMOST).alias("source_name"), (F.col("row").cast("long") * sections + F.col("col")).cast("int").alias("tile_id"), F.col("thumb_w").alias("width"), F.col("thumb_h").alias("height"), F.lit(2.0 * px).alias("px"), F.lit(2.0 * py).alias("py"),

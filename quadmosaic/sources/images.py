@@ -98,7 +98,7 @@ def encode_tiles(pixels: DataFrame, sizes: DataFrame | tuple[int, int], kind: st
     return rows.repartition("id").sortWithinPartitions("id", "ty").mapInPandas(run, "id long, raster binary")
 
 
-INGESTED = "source_name string, tile_id int, width int, height int, px double, py double, min_x double, min_y double, max_x double, max_y double, srid int, raster binary"
+INGESTED = "source_name string, path string, tile_id int, width int, height int, px double, py double, min_x double, min_y double, max_x double, max_y double, srid int, raster binary"
 _KINDS = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "binary": BinaryType()}
 _TILES = StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in f"{INGESTED}, error string".split(", "))])
 
@@ -109,8 +109,10 @@ def _cells(width: int, height: int, size: int) -> tuple[int, list[tuple[int, int
     return sections, [(r, c * tw, r * th, min(tw, width - c * tw), min(th, height - r * th)) for r in range(sections) for c in range(sections) if c * tw < width and r * th < height]
 
 
-def _cut(name: str, read, size: int, container: str, band: int | None = None) -> Iterator[dict]:
+def _cut(path: str, read, size: int, container: str, band: int | None = None) -> Iterator[dict]:
     """The tiles of one GeoTIFF, or of one row of its cells. A file that isn't one gives an error row."""
+    path = _plain(path)
+    own = {"source_name": _stem(path), "path": path}
     try:
         tiff = codecs.Tiff(read)
         h = tiff.header()
@@ -120,23 +122,28 @@ def _cut(name: str, read, size: int, container: str, band: int | None = None) ->
                 at = lambda i, j: (h["left"] + i * h["px"], h["top"] - j * h["py"])  # noqa: E731  equal edges of neighbours are equal numbers
                 (a, t), (z, b) = at(x, y), at(x + w, y + rows)
                 blob = codecs.encode(tiff.part(x, y, w, rows), container, tiff.space)
-                yield {"source_name": name, "tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"], "raster": blob}
+                yield own | {"tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"], "raster": blob}
     except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
-        yield {"source_name": name, "error": f"{type(e).__name__}: {e}"}
+        yield own | {"error": f"{type(e).__name__}: {e}"}
 
 
 def _stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
+def _plain(path: str) -> str:
+    """A path of the local file system without its scheme, which not every reader puts before it."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "error")
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "path", "error")
 
 
 def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "PNG") -> tuple[DataFrame, DataFrame]:
     """Tiles cut from GeoTIFF files (``path, content``, as Spark's ``binaryFile`` gives them), and the files that can't be read.
 
-    The first is ``source_name, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row. Tiles are stored
+    The first is ``source_name, path, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row, and is told from others of its name by its path. Tiles are stored
     gray, by palette or as RGB like their file. ``size`` is 512 by default and kept within 128 and 8192. For large files see :func:`geotiff_tiles`.
     """
     size, fields = tile_size(size), to_arrow_schema(_TILES)
@@ -144,7 +151,7 @@ def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for tile in _cut(_stem(row["path"]), codecs.reader_of(row["content"]), size, container):
+                for tile in _cut(row["path"], codecs.reader_of(row["content"]), size, container):
                     yield pa.RecordBatch.from_pylist([tile], schema=fields)
 
     return split_errors(files.select("path", "content").mapInArrow(run, _TILES))
@@ -186,7 +193,7 @@ class _BandReader(DataSourceReader):
 
     def read(self, partition: _Band) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            for tile in _cut(_stem(partition.path), self._read(f), self.size, self.container, partition.band):
+            for tile in _cut(partition.path, self._read(f), self.size, self.container, partition.band):
                 yield tuple(tile.get(n) for n in _TILES.names)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadmosaic.lineage import settled
-from quadmosaic.sources.catalog import append_tiles, read_table
+from quadmosaic.sources.catalog import append_tiles
 from quadmosaic.sources.images import ingest_geotiff
 
 
@@ -16,12 +16,12 @@ def geotiff_files(spark: SparkSession, path: str, per_trigger: int = 64) -> Data
 
 
 def ingest_batch(files: DataFrame, path: str, prefix: str, size: int | None = None, container: str = "PNG") -> None:
-    """Cuts files into tiles and appends them to the data source; files that can't be read go to ``<prefix>_rejected``. Sources that it has already are not taken twice, so a batch may be repeated."""
+    """Cuts files into tiles and adds these to the data source; files that can't be read go to ``<prefix>_rejected``.
+
+    A file is known by its path: one that the data source has already is left out, so a batch may be repeated, and files of one name in several folders are several sources.
+    """
     tiles, rejected = ingest_geotiff(files, size, container)
-    old = read_table(files.sparkSession, f"{path}/{prefix}_metadata")
-    if old is not None:
-        tiles = tiles.join(old.select("source_name").distinct(), "source_name", "left_anti")
-    append_tiles(tiles, path, prefix)
+    append_tiles(tiles, path, prefix, skip_known=True)
     rejected = settled(rejected)
     if not rejected.isEmpty():
         rejected.write.mode("append").parquet(f"{path}/{prefix}_rejected")
