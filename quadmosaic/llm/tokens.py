@@ -9,8 +9,10 @@ the other pages where they are. A table of shards, one row for each, turns place
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,15 @@ CACHE_PIECES, CACHED_LENGTH = 1 << 18, 40
 #: Ids that a task gathers before it sends them on.
 BATCH_IDS = 1 << 20
 
+#: What a folded text of Latin characters (the first 256, without most controls) falls into before its parts are split further; a part's ids don't depend on what stands around it.
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\x0b\x0c\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+_NOT_LATIN = re.compile(r"[^\t-\r -~\x85\xa0-\xff]").search
+#: Characters at which any text may be cut.
+_BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
+#: Tells whether texts may be encoded in pieces.
+_PROBE = "It's  Über-naïve\tcafé́ ̈x 12 a.b\n3,4 'll 're ... 你好 don't\r\nab ABC, (Word); \"Quoted\" end' x's'. re-Do 'S we'VE"
+_LATIN_PROBE = "Été, l'ÎLE: «Größe» 3½×2÷1 ª\xa0naïve's ß µm¿Qué? x\xad\xadY d'IL LL'LL 'Re'"
+
 SCHEMA = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
 #: What holds for each column of the files: ascending numbers are told by their differences, ids by a dictionary.
 FILE_OPTIONS = {
@@ -53,41 +64,66 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: its own if that can be seen, else one of those from 256 on, in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
+class _Kept(dict):
+    """Ids by text, made when first asked for; short texts stay, until there are too many."""
+
+    def __init__(self, make: Callable[[str], list[int]], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> list[int]:
+        ids = self.make(text)
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 def encoder(tokenizer: str, cache_pieces: int = CACHE_PIECES) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its ids by a tokenizer file of the tokenizers library, without special tokens added.
 
-    The text is cut at ASCII blanks, its pieces are encoded by the library, and their ids are kept for the next time. That gives the ids of the whole text only if the
-    tokenizer drops blanks and never joins over one; a tokenizer that doesn't is told by a probe and gets whole texts.
+    Words and signs of Latin texts are encoded one by one, words by the library's model directly; other texts in pieces between blanks. Ids are kept for the next time. That gives the ids of the whole text only if the tokenizer lower-cases, drops blanks, never joins over one and parts
+    letters from signs; one that doesn't is told by a probe and gets whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
-    blanks = str.maketrans("\t\n\x0b\x0c\r", "     ")
     whole = lambda text: library.encode(text, add_special_tokens=False).ids
-    probe = "It's  Über-naïve\tcafé́ ̈x 12 a.b\n3,4 'll 're ... 你好 <|endoftext|> don't\r\nab "
-    pieces = probe.translate(blanks).split(" ")
-    if whole(probe) != [i for p in pieces for i in whole(p)]:
-        return lambda text: np.array(whole(text or ""), np.int32)
-    known: dict[str, list[int]] = {"": []}
-
-    def one(piece: str) -> list[int]:
-        ids = whole(piece)
-        if len(piece) <= CACHED_LENGTH:
-            if len(known) >= cache_pieces:
-                known.clear()
-                known[""] = []
-            known[piece] = ids
-        return ids
+    model, special = library.model, [t.content for t in library.get_added_tokens_decoder().values()]
+    signs = _byte_signs()
+
+    def part(text: str) -> list[int]:
+        """Of one part of a folded Latin text: letters go to the model, as the signs of their bytes."""
+        return [t.id for t in model.tokenize(text if text.isascii() else "".join(map(signs.__getitem__, text.encode())))] if text.isalpha() else whole(text)
+
+    parts, pieces = _Kept(part, cache_pieces), _Kept(whole, cache_pieces)
 
     def encode(text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        if any(s in text for s in special):
+            return np.array(whole(text), np.int32)
+        if not _NOT_LATIN(text):
+            return np.fromiter(chain.from_iterable(map(parts.__getitem__, _PARTS(text.lower()))), np.int32)
         out: list[int] = []
-        get = known.get
-        for piece in (text or "").translate(blanks).split(" ") if text else ():
-            ids = get(piece)
-            out += one(piece) if ids is None else ids
+        for piece in _BLANKS.split(text):
+            if piece:
+                if _NOT_LATIN(piece):
+                    out += pieces[piece]
+                else:
+                    out += chain.from_iterable(map(parts.__getitem__, _PARTS(piece.lower())))
         return np.array(out, np.int32)
 
+    if encode(_PROBE).tolist() + encode(_LATIN_PROBE).tolist() != whole(_PROBE) + whole(_LATIN_PROBE):
+        return lambda text: np.array(whole(text or ""), np.int32)
     return encode
 
 
