@@ -3,8 +3,8 @@
 Identifiers (e-mail, IP, card and phone numbers) are the protected entities. For each, the words near it are counted over the whole
 corpus. A word discloses an entity by the pointwise mutual information of the two, as a share of the entity's
 own information content: 1 means that the word stands only where the entity does. Words at or above ``remove`` are
-removed. Words at or above ``generalise`` are cut to the longest beginning that, as a class of all words that begin so, discloses less than that; where none does, they are removed,
-too. This is done in every document where they stand, whether it states the entity or not. A pair
+removed. Words at or above ``generalise`` are cut to the longest beginning, of :data:`LONGEST_START` letters at most, that, as a class of all words that begin so, discloses less than that; where none does, they are
+removed, too. This is done in every document where they stand, whether it states the entity or not. A pair
 counts only if it was seen in ``support`` different contexts, so copies of one passage are no evidence.
 """
 
@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("general", "removed")
 #: Words on each side of an entity that are its context.
 AROUND, SUPPORT, GENERALISE, REMOVE = 5, 2, 0.75, 0.9
+#: Letters of the longest beginning that a word is generalised to: more would say too much of it, and work grows with the square of it.
+LONGEST_START = 32
 #: Rows and bytes of the words that are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 
@@ -152,12 +154,12 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     at_least = F.greatest(F.coalesce("n_term", F.lit(0)), F.col("n_both"))
     chosen = settled(together.join(times, "term", "left").withColumn("share", share(at_least)).where(F.col("share") >= generalise).select(*pair, "n_entity", "share"))
     words = settled(chosen.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
-    wide = words.where("not removed and char_length(term) > 1").select("term", F.explode(F.sequence(F.lit(1), F.char_length("term") - 1)).alias("k")).select("term", F.substring("term", F.lit(1), F.col("k")).alias("start"))
+    wide = words.where("not removed and char_length(term) > 1").select("term", F.explode(F.sequence(F.lit(1), F.least(F.char_length("term") - 1, F.lit(LONGEST_START)))).alias("k")).select("term", F.substring("term", F.lit(1), F.col("k")).alias("start"))
     starts = settled(wide.select("start").distinct())
     if starts.isEmpty():
         return words.select("term", F.lit("").alias("replacement"))
     # each beginning, as a class of words, against every entity that its word discloses
-    lengths = F.sequence(F.lit(1), F.greatest(F.char_length("term") - 1, F.lit(1)))
+    lengths = F.sequence(F.lit(1), F.least(F.greatest(F.char_length("term") - 1, F.lit(1)), F.lit(LONGEST_START)))
     entities_of = chosen.select("entity").distinct()
     classes = near.join(entities_of, "entity", "left_semi").select("entity", "doc", "term").distinct().select("entity", "doc", F.explode(F.transform(lengths, lambda k: F.substring(F.col("term"), F.lit(1), k))).alias("start"))
     class_both = classes.join(starts, "start", "left_semi").distinct().groupBy("entity", "start").agg(F.count("*").alias("n_both"))

@@ -242,10 +242,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows ``doc_id``, the columns of ``keep``, ``fp`` and ``component_id``: one for each row of ``docs``, the smallest id reachable over close fingerprints.
+    """Rows ``doc_id``, the columns of ``keep``, ``fp``, ``component_id`` and ``component_fp``: one for each row of ``docs``, the smallest id reachable over close fingerprints, and a fingerprint that stands for its group.
 
     Null and empty texts have fingerprint 0 and link to each other as any; very long texts are read whole, and an empty table gives no rows. Rows with a null id keep it and take part; ``component_id`` is
-    the smallest id that is not null, or null where there is none. Repeated rows give repeated rows. No other column is read.
+    the smallest id that is not null, or null where there is none; where texts differ under one id, groups may share it, but not ``component_fp``. Repeated rows give repeated rows. No other column is read.
     """
     rows = settled(fingerprints(docs, id_col, text_col, shingle, keep))
     n = rows.count()
@@ -254,11 +254,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = lambda side: F.struct(F.col(f"{side}.least").isNull().alias("unnamed"), F.col(f"{side}.least").alias("least"), F.col(f"{side}.fp").alias("fp"))
     links = close_links(nodes.select("fp"), max_bits, block_rows)
     ends = links.join(nodes.alias("x"), F.col("a") == F.col("x.fp")).join(nodes.alias("y"), F.col("b") == F.col("y.fp")).select(name("x").alias("a"), name("y").alias("b"))
-    roots = components(ends).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("found"), F.lit(True).alias("linked"))
-    named = settled(nodes.join(roots, "fp", "left").select("fp", "n_rows", F.when(F.col("linked"), F.col("found")).otherwise(F.col("least")).alias("component_id")))
+    roots = components(ends).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("found"), F.col("root.fp").alias("found_fp"), F.lit(True).alias("linked"))
+    named = settled(nodes.join(roots, "fp", "left").select("fp", "n_rows", F.when(F.col("linked"), F.col("found")).otherwise(F.col("least")).alias("component_id"), F.coalesce("found_fp", "fp").alias("component_fp")))
     # fingerprints of a thousandth of all rows or more, a thousand at most, go to their rows; the others are joined by a shuffle
     hot = F.col("n_rows") * 1000 >= n
-    out = ["doc_id", *keep, "fp", "component_id"]
+    out = ["doc_id", *keep, "fp", "component_id", "component_fp"]
     many = rows.join(F.broadcast(named.where(hot)), "fp").select(*out)
     few = rows.join(F.broadcast(named.where(hot).select("fp")), "fp", "left_anti").join(named.where(~hot), "fp").select(*out)
     return many.unionAll(few)

@@ -818,7 +818,7 @@ def test_stages_on_awkward_and_empty_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         got = [(r.doc_id, getattr(r, "text", None)) for r in stage(spark, odd, small).collect()]
         have = Counter((r.doc_id, r.text) for r in odd.collect())
-        if name == "near":  # one row of an id; of the empty texts the one of the smallest id; rows without an id stay
+        if name == "near":  # one row of an id and text; of the empty texts the one of the smallest id; rows without an id stay
             assert Counter(d for d, _ in got) == Counter([1, 4, 5, 7, 8, None, None, None])
         elif name == "benchmark":
             assert Counter(got) == have

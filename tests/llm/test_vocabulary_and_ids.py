@@ -150,7 +150,7 @@ def test_token_query(spark, small, rows):
 def test_pieces_give_the_ids_of_the_whole(rows, odd, name):
     library = Tokenizer.from_file(tokens.public_tokenizer(name))
     rnd = random.Random(9)
-    signs = ["a", "É", "é", "́", " ", "\n", "\r", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "'s", "'", "<|endoftext|>", "1", "½", "你", "🙂", "İ", "ΑΣ", "ﬁ", "가", "가", ".", "--", "\x00"]
+    signs = ["a", "the", "Word", "S", "VE", "(", "\"", "<|", "É", "é", "́", " ", "\n", "\r", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "'s", "'", "<|endoftext|>", "1", "½", "你", "🙂", "İ", "ΑΣ", "ﬁ", "가", "가", ".", "--", "\x00"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [r[1] for r in rows] + [r.text for r in odd.collect()]
     encode = tokens.encoder(tokens.public_tokenizer(name), cache_pieces=500)
     for text in texts:
