@@ -7,12 +7,10 @@ judged alike; very long texts are read whole; columns besides those of documents
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmosaic.lineage import shared_folder
+from quadmosaic.lineage import removed, scratch
 from quadmosaic.llm.common import settled, table
 from quadmosaic.llm.decontam import with_contamination
 from quadmosaic.llm.line_dedup import apply_bitmaps, keep_bitmaps
@@ -38,13 +36,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id, and one row of each id. Rows without an id stay."""
-    groups = settled(near_duplicates(docs.select("doc_id", "text")))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """Keeps one document of each group of near duplicates, the one with the smallest id, and one row of each document. Rows without an id stay.
+
+    A document is an id and a text: where texts differ under one id each is judged by itself, and of those in one group the one of the smallest hash stays.
+    """
+    own = ["doc_id", "text_hash"]
+    groups = settled(near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep=("text_hash",))).where("doc_id is not null")
+    first = groups.groupBy("component_fp").agg(F.min(F.struct(*own)).alias("first")).select("first.*")
+    gone = groups.select(*own).distinct().join(first, own, "left_anti").withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti").select(*COLUMNS)
+    if groups.groupBy(*own).count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again. A stage's files go once the next one's are written."""
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
