@@ -14,9 +14,9 @@ from quadmosaic.functions.colors import RAW_FORMATS, ColorSpace
 
 # Magic numbers, samples of PNG colour types, element codes of TIFF field types.
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
-TIFF_MAGICS = (b"II*\0", b"MM\0*")
+TIFF_MAGICS = (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+")
 PNG_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
+TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 GEO_UNDEFINED = 32767
 
 
@@ -141,39 +141,71 @@ def tiff_encode(image: np.ndarray, space: int = ColorSpace.RGB, geo: tuple[float
     tags += [(256, 4, [w]), (257, 4, [h]), (258, 3, [8] * n), (259, 3, [1]), (262, 3, [photometric]), (273, 4, [8 + a for a in offsets]), (277, 3, [n]), (278, 4, [rows]), (279, 4, sizes)]
     tags += [(282, 5, [300, 1]), (283, 5, [300, 1]), (284, 3, [1])]
     if geo:
-        left, top, px, py, epsg = geo
-        geographic = 4000 <= epsg < 5000
-        tags += [(33550, 12, [px, py, 0.0]), (33922, 12, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg])]
+        tags += _geo_tags(geo)
     after = 8 + len(data) + len(data) % 2
-    extra_at, extra, entries = after + 2 + 12 * len(tags) + 4, b"", b""
+    return b"II*\0" + struct.pack("<I", after) + data + b"\0" * (len(data) % 2) + _directory(tags, after)
+
+
+def _geo_tags(geo: tuple[float, float, float, float, int]) -> list[tuple[int, int, list]]:
+    left, top, px, py, epsg = geo
+    geographic = 4000 <= epsg < 5000
+    return [(33550, 12, [px, py, 0.0]), (33922, 12, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg])]
+
+
+def _directory(tags: list[tuple[int, int, list]], at: int, big: bool = False) -> bytes:
+    """The directory of (tag, kind, values) that stands at an offset of the file, with what doesn't fit into its entries behind it. A big one has offsets of eight bytes."""
+    count, entry, room = ("<Q", "<HHQ", 8) if big else ("<H", "<HHI", 4)
+    offset = "<Q" if big else "<I"
+    extra_at = at + struct.calcsize(count) + (struct.calcsize(entry) + room) * len(tags) + room
+    extra, entries = b"", b""
     for tag, kind, values in sorted(tags):
-        body = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 5: 'I', 12: 'd'}[kind] }", *values)
-        count = len(values) // 2 if kind == 5 else len(values)
-        if len(body) > 4:
-            entries += struct.pack("<HHII", tag, kind, count, extra_at + len(extra))
+        body = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 5: 'I', 12: 'd', 16: 'Q'}[kind] }", *values)
+        entries += struct.pack(entry, tag, kind, len(values) // 2 if kind == 5 else len(values))
+        if len(body) > room:
+            entries += struct.pack(offset, extra_at + len(extra))
             extra += body
         else:
-            entries += struct.pack("<HHI", tag, kind, count) + body.ljust(4, b"\0")
-    return b"II*\0" + struct.pack("<I", after) + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
+            entries += body.ljust(room, b"\0")
+    return struct.pack(count, len(tags)) + entries + struct.pack(offset, 0) + extra
+
+
+def tiled_head(width: int, height: int, tile: int, space: int, colors: np.ndarray | None, offsets: list[int], sizes: list[int], geo: tuple | None, big: bool) -> bytes:
+    """What stands before the data of a TIFF of deflated tiles: its length depends on their number, not on ``offsets`` and ``sizes``. A big one may be of any size."""
+    samples, photometric = (3, 2) if space == ColorSpace.RGB else (1, 3 if space == ColorSpace.PALETTE else 1)
+    place = 16 if big else 4
+    tags: list[tuple[int, int, list]] = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8] * samples), (259, 3, [8]), (262, 3, [photometric]), (277, 3, [samples]), (284, 3, [1])]
+    tags += [(322, 4, [tile]), (323, 4, [tile]), (324, place, offsets), (325, place, sizes)]
+    if photometric == 3:
+        table = np.zeros((256, 3), np.int64)
+        table[: len(colors)] = colors
+        tags.append((320, 3, (table.T * 256).ravel().tolist()))
+    if geo:
+        tags += _geo_tags(geo)
+    start = b"II+\0" + struct.pack("<HHQ", 8, 0, 16) if big else b"II*\0" + struct.pack("<I", 8)
+    return start + _directory(tags, len(start), big)
 
 
 def tiff_tags(read) -> dict[int, tuple]:
     """The tags of a TIFF's first image; ``read`` gives the bytes at an offset: (offset, size)."""
-    start = read(0, 8)
+    start = read(0, 16)
     if start[:4] not in TIFF_MAGICS:
         raise ValueError("no TIFF")
     end = "<" if start[:2] == b"II" else ">"
-    at = struct.unpack(f"{end}I", start[4:8])[0]
-    count = struct.unpack(f"{end}H", read(at, 2))[0]
-    table, out = read(at + 2, 12 * count), {}
+    big = 43 in start[2:4]
+    room, word = (8, "Q") if big else (4, "I")
+    at = struct.unpack(f"{end}{word}", start[8:16] if big else start[4:8])[0]
+    first = 8 if big else 2
+    count = struct.unpack(f"{end}{'Q' if big else 'H'}", read(at, first))[0]
+    entry_size = 4 + 2 * room
+    table, out = read(at + first, entry_size * count), {}
     for i in range(count):
-        entry = table[12 * i : 12 * i + 12]
-        tag, kind, n = struct.unpack(f"{end}HHI", entry[:8])
+        entry = table[entry_size * i : entry_size * (i + 1)]
+        tag, kind, n = struct.unpack(f"{end}HH{word}", entry[: 4 + room])
         code = TIFF_TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize(f"{end}{n}{code}")
-        body = entry[8 : 8 + size] if size <= 4 else read(struct.unpack(f"{end}I", entry[8:])[0], size)
+        body = entry[4 + room : 4 + room + size] if size <= room else read(struct.unpack(f"{end}{word}", entry[4 + room :])[0], size)
         out[tag] = struct.unpack(f"{end}{n}{code}", body)
     return out
 

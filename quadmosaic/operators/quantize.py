@@ -37,6 +37,27 @@ def median_cut(bins: np.ndarray, counts: np.ndarray, colors: int = 256) -> np.nd
     return np.array(out)
 
 
+def nearest(bins: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """For each histogram bin the index of the palette's nearest colour by weighted distance, the first one on ties."""
+    parts = np.array_split(bins, len(bins) // 4096 + 1)
+    return np.concatenate([(((2 * part + 1)[:, None, :] - palette[None]) * WEIGHTS).__pow__(2).sum(axis=2).argmin(axis=1) for part in parts])
+
+
+def bin_of(image: np.ndarray) -> np.ndarray:
+    """The histogram bin of each pixel as one number: seven bits of each channel."""
+    half = image.astype(np.int64) >> 1
+    return half[..., 0] << 14 | half[..., 1] << 7 | half[..., 2]
+
+
+def inverse_table(bins: np.ndarray, counts: np.ndarray, colors: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The palette of a histogram (numbers of :func:`bin_of`, ascending, and counts), and for each of all bins the palette's index, 0 for those that don't occur."""
+    channels = np.stack([bins >> 14, bins >> 7 & 127, bins & 127], axis=1)
+    palette = median_cut(channels, counts, colors)
+    table = np.zeros(1 << 21, np.uint8)
+    table[bins] = nearest(channels, palette)
+    return palette, table
+
+
 def quantize(pixels: DataFrame, colors: int = 256) -> DataFrame:
     """``pixels`` with ``palette_index`` and ``rgb`` of the palette. Each image is reduced to its histogram first; the cut works on these bins, and pixels join them by bin."""
 
@@ -44,7 +65,7 @@ def quantize(pixels: DataFrame, colors: int = 256) -> DataFrame:
         bins, counts = pdf[["r_bin", "g_bin", "b_bin"]].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         order = np.lexsort(bins.T[::-1])
         palette = median_cut(bins[order], counts[order], colors)
-        index = np.concatenate([(((2 * part + 1)[:, None, :] - palette[None]) * WEIGHTS).__pow__(2).sum(axis=2).argmin(axis=1) for part in np.array_split(bins, len(bins) // 4096 + 1)])
+        index = nearest(bins, palette)
         r, g, b = palette[index].T
         return pdf[["tile", "r_bin", "g_bin", "b_bin"]].assign(palette_index=index.astype(np.int32), pr=r.astype(np.int32), pg=g.astype(np.int32), pb=b.astype(np.int32))
 

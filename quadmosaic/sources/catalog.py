@@ -21,6 +21,7 @@ from quadmosaic.functions.geometry import BLOCK_PX, Window, level_name, storage_
 from quadmosaic.lineage import claimed, exists, moved, names_in, removed, settled, text_of
 from quadmosaic.operators import levels as lv
 from quadmosaic.operators import pyramid as pyr
+from quadmosaic.operators.sink import Written, write_window
 from quadmosaic.operators.window import Access, best_access, paint, read_window, window_blocks, window_image
 from quadmosaic.sources.images import blob_errors, decoded_pixels
 
@@ -300,8 +301,10 @@ class RasterSource:
         """The window as one blob of ``kind`` PNG, TIFF, GEOTIFF, or a raw format (RGB, RGBA, ARGB, BGR, BGRA)."""
         return window_image(settled(self.tiles(window, strategy)), window, kind, self.transparent, self.background, self.srid)
 
-    def write_image(self, window: Window, file: str, kind: str = "PNG", strategy: str = "auto") -> None:
-        """Writes :meth:`image` to one file on the driver's file system."""
+    def write_image(self, window: Window, file: str, kind: str = "PNG", strategy: str = "auto", quantized: bool = False) -> Written | None:
+        """Writes the window to one file on a shared mount: TIFF, GeoTIFF and raw formats by many tasks, see :func:`write_window`; a PNG is one stream and is put together by one task."""
+        if kind != "PNG":
+            return write_window(self.tiles(window, strategy), window, file, kind, self.transparent, self.background, self.srid, quantized=quantized)
         blob = self.image(window, kind, strategy).first().raster
         with open(file, "wb") as f:
             f.write(blob)
