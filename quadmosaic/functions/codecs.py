@@ -147,7 +147,8 @@ def tiff_encode(image: np.ndarray, space: int = ColorSpace.RGB, geo: tuple[float
 
 
 def _geo_tags(geo: tuple[float, float, float, float, int]) -> list[tuple[int, int, list]]:
-    left, top, px, py, epsg = geo
+    left, top, px, py, srid = geo
+    epsg = srid if 0 < srid < GEO_UNDEFINED else GEO_UNDEFINED
     geographic = 4000 <= epsg < 5000
     return [(33550, 12, [px, py, 0.0]), (33922, 12, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg])]
 

@@ -61,13 +61,18 @@ def rect_center(a: Column, b: Column) -> Column:
 def placement(w: Window) -> dict[str, Column]:
     """Where a tile (``width, height, px, py, min_x, max_y``) goes on the canvas of ``w``: size, corner, and whether it is drawn as a box."""
     min_x, min_y, _, _ = w.bounds
-    nw = half_up(F.col("width") * F.col("px") / w.px) + 1
-    nh = half_up(F.col("height") * F.col("py") / w.py) + 1
+    return placement_on(F.lit(min_x), F.lit(min_y), F.lit(float(w.px)), F.lit(float(w.py)), F.lit(float(w.height)))
+
+
+def placement_on(min_x: Column, min_y: Column, px: Column, py: Column, height: Column) -> dict[str, Column]:
+    """:func:`placement` on a canvas whose lower left corner, pixel size and height are columns."""
+    nw = half_up(F.col("width") * F.col("px") / px) + 1
+    nh = half_up(F.col("height") * F.col("py") / py) + 1
     return {
         "new_w": nw,
         "new_h": nh,
-        "at_x": half_up((F.col("min_x") - min_x) / w.px),
-        "at_y": half_up(F.lit(float(w.height)) - (F.col("max_y") - min_y) / w.py),
+        "at_x": half_up((F.col("min_x") - min_x) / px),
+        "at_y": half_up(height - (F.col("max_y") - min_y) / py),
         "boxed": (nw > MAX_ZOOM * F.col("width")) | (nh > MAX_ZOOM * F.col("height")),
     }
 

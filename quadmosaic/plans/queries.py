@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadmosaic.functions import colors as col
 from quadmosaic.functions import geometry as geo
-from quadmosaic.lineage import settled
+from quadmosaic.lineage import scratch, settled
 from quadmosaic.operators import levels as lv
 from quadmosaic.operators import pixels as px
 from quadmosaic.operators import pyramid as pyr
 from quadmosaic.operators import terrain
 from quadmosaic.operators.quantize import quantize
+from quadmosaic.operators.sink import shared_path, write_window
 from quadmosaic.operators.window import Access, window_tiles
+from quadmosaic.operators.windows import windows_tiles
 from quadmosaic.sources import fixtures as fx
 from quadmosaic.sources.catalog import srid_info as reference_of
-from quadmosaic.sources.images import blob_errors, blob_spaces, decoded_pixels, encode_tiles
+from quadmosaic.sources.images import blob_errors, blob_spaces, decoded_pixels, encode_tiles, geotiff_tiles
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,6 +275,45 @@ def window_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.composite(p, placed, 256, 200, TRANSPARENT, BACKGROUND)
 
 
+@query(ORACLE_SQL["window_composite"])
+def window_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window as a GeoTIFF that tasks write tile by tile, read back."""
+    p, placed = _placed(spark, sf_dir)
+    hits = placed.withColumn("id", F.col("tile").cast("long")).join(encode_tiles(p, (64, 50)), "id")
+    file = f"{shared_path(scratch(spark, 'window'))}.tif"
+    os.makedirs(os.path.dirname(file), exist_ok=True)
+    try:
+        write_window(hits, geo.Window(128.0, 100.0, 1.0, 1.0, 256, 200), file, "GEOTIFF", TRANSPARENT, BACKGROUND, tile=64)
+        tiles = geotiff_tiles(spark, file, 128)[0].select(F.col("tile_id").cast("long").alias("id"), F.col("min_x").cast("int").alias("left"), (200 - F.col("max_y")).cast("int").alias("top"), "raster")
+        rows = decoded_pixels(tiles).join(tiles.select(F.col("id").alias("tile"), "left", "top"), "tile")
+        return settled(rows.select((F.col("ty") + F.col("top")).cast("long").alias("cy"), (F.col("x") + F.col("left")).cast("long").alias("cx"), col.pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb")))
+    finally:
+        if os.path.exists(file):
+            os.remove(file)
+
+
+_REQ = "-180.0 + c_custkey * 37 % 2560", "90.0 - c_custkey * 53 % 3200"
+_REQ_SQL = f"select c_custkey request_id, ({_REQ[0]})::double cx, ({_REQ[1]})::double cy, 0.2 + c_custkey % 7 * 0.0625 px, 0.25 + c_custkey % 5 * 0.125 py, (64 + c_custkey % 4 * 100)::int width, (64 + c_custkey % 3 * 90)::int height from customer"
+
+
+@query(f"""with {fx.TILES_SQL}, two as (
+  select id, width, height, px, py, min_x, min_y, max_x, max_y from tiles union all select id + 1000000, 128, 128, 0.5, 0.5, min_x, min_y, max_x, max_y from tiles
+), n as (select count(*) > 500 strict from tiles),
+r as (select *, case when abs(px - 0.25) < abs(px - 0.5) then 0.25 else 0.5 end level, cx - width * px / 2 x1, cx + width * px / 2 x2, cy - height * py / 2 y1, cy + height * py / 2 y2 from ({_REQ_SQL}))
+select request_id, t.id, {half_up_sql("t.width * t.px / r.px")} + 1 new_w, {half_up_sql("t.height * t.py / r.py")} + 1 new_h, {half_up_sql("(min_x - x1) / r.px")} at_x, {half_up_sql("r.height::double - (max_y - y1) / r.py")} at_y
+from r join two t on t.px = r.level and t.min_x <= r.x2 and t.max_x >= r.x1 and t.min_y <= r.y2 and t.max_y >= r.y1, n
+where not strict or (t.min_x < r.x2 and t.max_x > r.x1 and t.min_y < r.y2 and t.max_y > r.y1)""".replace(", n\nwhere", " join n on true\nwhere"))
+def many_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tiles of two levels a table of windows meets, and where they go."""
+    k = F.col("c_custkey")
+    one = fx.tiles(spark, sf_dir).select("id", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y")
+    two = one.unionByName(one.withColumns({"id": F.col("id") + 1000000, "width": F.lit(128), "height": F.lit(128), "px": F.lit(0.5), "py": F.lit(0.5)}))
+    requests = fx.table(spark, sf_dir, "customer").select(
+        k.alias("request_id"), F.expr(f"double({_REQ[0]})").alias("cx"), F.expr(f"double({_REQ[1]})").alias("cy"), (F.lit(0.2) + k % 7 * 0.0625).alias("px"), (F.lit(0.25) + k % 5 * 0.125).alias("py"), (64 + k % 4 * 100).cast("int").alias("width"), (64 + k % 3 * 90).cast("int").alias("height"),
+    )
+    return windows_tiles(two, lv.levels(two), requests).select("request_id", "id", "new_w", "new_h", "at_x", "at_y")
+
+
 @query("""with h as (select p_partkey % 97 grp, p_partkey id, case when p_partkey % 97 % 3 = 0 then 1 when p_partkey % 97 % 3 = 1 then (p_partkey // 97) % 2 * (p_partkey % 97 % 2 + 1) + 1 else p_size % 4 + 1 end cs from part),
 f as (select grp, min(id) filter (cs <> 1) first from h group by 1),
 k as (select h.grp, f.first, count(distinct cs) filter (id >= f.first) n, min(cs) filter (id >= f.first) c from h join f using (grp) group by 1, 2)

@@ -23,6 +23,7 @@ from quadmosaic.operators import levels as lv
 from quadmosaic.operators import pyramid as pyr
 from quadmosaic.operators.sink import Written, write_window
 from quadmosaic.operators.window import Access, best_access, paint, read_window, window_blocks, window_image
+from quadmosaic.operators.windows import read_windows
 from quadmosaic.sources.images import blob_errors, decoded_pixels
 
 META_COLUMNS = ("id", "source_name", "tile_id", "width", "height", "px", "py", "min_x", "min_y", "max_x", "max_y", "srid")
@@ -297,6 +298,11 @@ class RasterSource:
         """The window as blobs of blocks, see :func:`window_blocks`."""
         return window_blocks(self.tiles(window, strategy), window, kind, self.transparent, self.background)
 
+    def windows(self, requests: DataFrame, kind: str = "PNG", strategy: str = "auto") -> DataFrame:
+        """Many windows at once (``request_id, cx, cy, px, py, width, height``) as blobs of blocks, see :func:`windows_blocks`."""
+        levels = self.spark.createDataFrame(self.levels, "px double, py double, tile_count long")
+        return read_windows(self.meta, self.rasters, levels, requests, kind, self.transparent, self.background, strategy)
+
     def image(self, window: Window, kind: str = "PNG", strategy: str = "auto") -> DataFrame:
         """The window as one blob of ``kind`` PNG, TIFF, GEOTIFF, or a raw format (RGB, RGBA, ARGB, BGR, BGRA)."""
         return window_image(settled(self.tiles(window, strategy)), window, kind, self.transparent, self.background, self.srid)
