@@ -494,27 +494,24 @@ def topmost_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kind_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of 64 by 50, the last of each four cut to 40 by 30."""
-    cut = F.col("tile") % 4 == 3
-    return fx.pixels(spark, sf_dir).select("tile").distinct().select("tile", F.when(cut, 40).otherwise(64).alias("width"), F.when(cut, 30).otherwise(50).alias("height"))
+    """Tiles of 64 by 50, the last of each four with room for 70 by 60, which is black beside its pixels."""
+    wide = F.col("tile") % 4 == 3
+    return fx.pixels(spark, sf_dir).select("tile").distinct().select("tile", F.when(wide, 70).otherwise(64).alias("width"), F.when(wide, 60).otherwise(50).alias("height"))
 
 
-def _cut_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kinds(spark, sf_dir).where("tile % 4 <> 3 or (x < 40 and ty < 30)")
+_ROOMY_SQL = f"""with {_KINDS_SQL}, w as (select distinct tile from kinds where tile % 4 = 3), room as (select tile, ty, unnest(range(70)) x from (select tile, unnest(range(60)) ty from w))
+select tile::bigint tile, ty::int ty, x::int x, r::int r, g::int g, b::int b from kinds union all select tile, ty, x, 0, 0, 0 from room where ty >= 50 or x >= 64"""
 
 
-_CUT_SQL = f"with {_KINDS_SQL} select tile::bigint tile, ty, x, r, g, b from kinds where tile % 4 <> 3 or (x < 40 and ty < 30)"
-
-
-@query(_CUT_SQL)
+@query(_ROOMY_SQL)
 def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gray, palette and RGB blobs, as the pixels of each tile allow, of tiles of two sizes."""
-    return decoded_pixels(encode_tiles(_cut_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "PNG", fit=True))
+    return decoded_pixels(encode_tiles(_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "PNG", fit=True))
 
 
-@query(_CUT_SQL)
+@query(_ROOMY_SQL)
 def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded_pixels(encode_tiles(_cut_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "TIFF", fit=True))
+    return decoded_pixels(encode_tiles(_kinds(spark, sf_dir), _kind_sizes(spark, sf_dir), "TIFF", fit=True))
 
 
 @query(f"with {_KINDS_SQL}, c as (select tile, bool_and((r = 0 and g = 0 and b = 0) or (r = 255 and g = 255 and b = 255)) is_mono, bool_and(r = g and g = b) is_gray, count(distinct (r << 16) + (g << 8) + b) n from kinds group by 1) select tile::bigint id, (case when is_gray then 3 when n <= 256 then 2 else 4 end)::int color_space, null::varchar error from c union all select -1, null, 'unknown kind of blob'")
@@ -526,17 +523,18 @@ def blob_color_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_spaces(every).join(blob_errors(every), "id", "left").select("id", "color_space", "error")
 
 
-# One square of four tiles of 64 by 50 makes the next level: 64 by 50 again, the plain mean of 2 by 2 pixels.
-@query(f"""with {fx.PIXELS_SQL}, m as (select tile // 4 sq, (tile % 4 // 2) * 50 + ty y, tile % 2 * 64 + x x, r, g, b from pixels where tile < (select (max(tile) + 1) // 4 * 4 from pixels))
-select 'sq' || sq::varchar source_name, y // 2 ty, x // 2 x, (sum(r) // 4)::int r, (sum(g) // 4)::int g, (sum(b) // 4)::int b from m group by 1, 2, 3""")
+# Four tiles of 64 by 50 make a square and its half: 64 by 50 again, the plain mean of 2 by 2 pixels. The last square may have one tile or two; of three, which make no rectangle, the last is a square of its own.
+@query(f"""with {fx.PIXELS_SQL}, n as (select max(tile) last from pixels), t as (select *, tile = last and tile % 4 = 2 lone from pixels, n),
+m as (select tile // 4 + lone::int sq, (case when lone then 0 else tile % 4 // 2 end) * 50 + ty y, tile % 2 * 64 + x x, r, g, b from t)
+select 'sq' || sq::varchar source_name, y // 2 ty, x // 2 x, (sum(r) // 4)::int r, (sum(g) // 4)::int g, (sum(b) // 4)::int b from m group by 1, 2, 3""".replace("from pixels, n)", "from pixels join n on true)"))
 def pyramid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next level's blobs of four-tile sources, decoded."""
+    """The next level's blobs, decoded."""
     p = fx.pixels(spark, sf_dir)
-    whole = p.agg(F.expr("(max(tile) + 1) div 4 * 4")).first()[0]
-    p = p.where(F.col("tile") < whole)
-    x, y = F.col("tile") % 2 * 64.0, -F.expr("tile % 4 div 2") * 50.0
+    last = p.agg(F.max("tile")).first()[0]
+    lone = (F.col("tile") == last) & (F.col("tile") % 4 == 2)
+    x, y = F.col("tile") % 2 * 64.0, F.when(lone, 0.0).otherwise(-F.expr("tile % 4 div 2") * 50.0)
     meta = p.select("tile").distinct().select(
-        F.col("tile").cast("long").alias("id"), F.concat(F.lit("sq"), F.expr("tile div 4").cast("string")).alias("source_name"), F.lit(64).alias("width"), F.lit(50).alias("height"), F.lit(1.0).alias("px"), F.lit(1.0).alias("py"),
+        F.col("tile").cast("long").alias("id"), F.concat(F.lit("sq"), (F.expr("tile div 4") + lone.cast("int")).cast("string")).alias("source_name"), F.lit(64).alias("width"), F.lit(50).alias("height"), F.lit(1.0).alias("px"), F.lit(1.0).alias("py"),
         x.alias("min_x"), (y - 50).alias("min_y"), (x + 64).alias("max_x"), y.alias("max_y"),
     )
     level = settled(pyr.next_blobs(pyr.grid_index(meta), encode_tiles(p, (64, 50))).withColumn("id", F.expr("bigint(substr(source_name, 3))")))

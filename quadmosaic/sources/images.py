@@ -109,8 +109,8 @@ def _cells(width: int, height: int, size: int) -> tuple[int, list[tuple[int, int
     return sections, [(r, c * tw, r * th, min(tw, width - c * tw), min(th, height - r * th)) for r in range(sections) for c in range(sections) if c * tw < width and r * th < height]
 
 
-def _cut(path: str, read, size: int, container: str, band: int | None = None) -> Iterator[dict]:
-    """The tiles of one GeoTIFF, or of one row of its cells. A file that isn't one gives an error row."""
+def _cut(path: str, read, size: int, container: str, part: tuple[int, int] = (0, 1)) -> Iterator[dict]:
+    """The tiles of one GeoTIFF, or of one part of its rows of cells (number, of how many). A file that isn't one gives an error row, once."""
     path = _plain(path)
     own = {"source_name": _stem(path), "path": path}
     try:
@@ -118,13 +118,14 @@ def _cut(path: str, read, size: int, container: str, band: int | None = None) ->
         h = tiff.header()
         cells = _cells(tiff.width, tiff.height, size)[1]
         for k, (row, x, y, w, rows) in enumerate(cells):
-            if band is None or band == row:
+            if row % part[1] == part[0]:
                 at = lambda i, j: (h["left"] + i * h["px"], h["top"] - j * h["py"])  # noqa: E731  equal edges of neighbours are equal numbers
                 (a, t), (z, b) = at(x, y), at(x + w, y + rows)
                 blob = codecs.encode(tiff.part(x, y, w, rows), container, tiff.space)
                 yield own | {"tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"], "raster": blob}
     except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
-        yield own | {"error": f"{type(e).__name__}: {e}"}
+        if part[0] == 0:
+            yield own | {"error": f"{type(e).__name__}: {e}"}
 
 
 def _stem(path: str) -> str:
@@ -157,48 +158,63 @@ def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "
     return split_errors(files.select("path", "content").mapInArrow(run, _TILES))
 
 
-class _Band(InputPartition):
-    """One row of cells of one file."""
+#: Bytes of files that make one partition: larger files are read by several, small ones together.
+PARTITION_BYTES = 64 << 20
 
-    def __init__(self, path: str, band: int):
-        super().__init__((path, band))
-        self.path, self.band = path, band
 
+class _Files(InputPartition):
+    """Small files, or every ``n``-th row of cells of one file."""
 
-class _BandReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = sorted(glob.glob(options["path"].removeprefix("file://").removeprefix("file:")))
-        self.paths = [os.path.join(p, f) for p in self.paths if os.path.isdir(p) for f in sorted(os.listdir(p))] + [p for p in self.paths if not os.path.isdir(p)]
-        self.size, self.container = tile_size(int(options.get("size", 512))), options.get("container", "PNG")
-
-    @staticmethod
-    def _read(file):
-        def read(at: int, size: int) -> bytes:
-            file.seek(at)
-            return file.read(size)
+    def __init__(self, paths: list[str], at: int = 0, n: int = 1):
+        super().__init__((tuple(paths), at, n))
+        self.paths, self.at, self.n = paths, at, n
 
-        return read
 
-    def partitions(self) -> list[_Band]:
-        out = []
-        for path in self.paths:
-            try:
-                with open(path, "rb") as f:
-                    tiff = codecs.Tiff(self._read(f))
-                    bands = sorted({c[0] for c in _cells(tiff.width, tiff.height, self.size)[1]})
-            except Exception:  # noqa: BLE001  reading it reports the error
-                bands = [0]
-            out += [_Band(path, b) for b in bands]
-        return out
+class _BandReader(DataSourceReader):
+    """Planning lists folders and asks for sizes; files are opened by the tasks alone."""
 
-    def read(self, partition: _Band) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for tile in _cut(partition.path, self._read(f), self.size, self.container, partition.band):
-                yield tuple(tile.get(n) for n in _TILES.names)
+    def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
+        self.pattern = _plain(options["path"])
+        self.size, self.container = tile_size(int(options.get("size", 512))), options.get("container", "PNG")
+        self.room = max(1, int(options.get("partitionbytes", PARTITION_BYTES)))
+
+    def _sizes(self) -> Iterator[tuple[str, int]]:
+        for path in sorted(glob.glob(self.pattern)):
+            if os.path.isdir(path):
+                with os.scandir(path) as entries:
+                    yield from sorted((e.path, e.stat().st_size) for e in entries if e.is_file())
+            else:
+                yield path, os.path.getsize(path)
+
+    def partitions(self) -> list[_Files]:
+        out, small, held = [], [], 0
+        for path, size in self._sizes():
+            if size > self.room:
+                n = -(-size // self.room)
+                out += [_Files([path], k, n) for k in range(n)]
+                continue
+            if small and held + size > self.room:
+                out.append(_Files(small))
+                small, held = [], 0
+            small.append(path)
+            held += size
+        return [*out, _Files(small)] if small or not out else out
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with open(path, "rb") as f:
+
+                def read(at: int, size: int, f=f) -> bytes:
+                    f.seek(at)
+                    return f.read(size)
+
+                for tile in _cut(path, read, self.size, self.container, (partition.at, partition.n)):
+                    yield tuple(tile.get(n) for n in _TILES.names)
 
 
 class GeoTiffSource(DataSource):
-    """``geotiff_tiles``: tiles of the GeoTIFF files of a folder or pattern on a shared mount; each row of tiles is one partition and reads only its own strips or tiles."""
+    """``geotiff_tiles``: tiles of the GeoTIFF files of a folder or pattern on a shared mount. A large file makes several partitions, each of which reads only the strips or tiles of its own rows; small files share one."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,10 +227,10 @@ class GeoTiffSource(DataSource):
         return _BandReader(dict(self.options))
 
 
-def geotiff_tiles(spark: SparkSession, path: str, size: int | None = None, container: str = "PNG") -> tuple[DataFrame, DataFrame]:
-    """:func:`ingest_geotiff` for files of any size on a shared mount: no task reads a whole file."""
+def geotiff_tiles(spark: SparkSession, path: str, size: int | None = None, container: str = "PNG", partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame]:
+    """:func:`ingest_geotiff` for files of any size on a shared mount: no task reads a whole large file, and the driver opens none."""
     spark.dataSource.register(GeoTiffSource)
-    return split_errors(spark.read.format("geotiff_tiles").option("size", str(tile_size(size))).option("container", container).load(path))
+    return split_errors(spark.read.format("geotiff_tiles").option("size", str(tile_size(size))).option("container", container).option("partitionBytes", str(partition_bytes)).load(path))
 
 
 def geotiff_headers(files: DataFrame) -> DataFrame:

@@ -175,3 +175,27 @@ def test_blobs_by_id_come_from_their_folders(spark, db):
     assert "PushedFilters: [In(id" in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert source.blobs([]).count() == 0
     assert source.summary.where(F.col("made") == PYRAMID).count() == 3
+
+
+def test_small_files_are_planned_together_and_not_opened(spark, tmp_path):
+    """Thousands of files make few partitions; planning doesn't open them. Files of one name in folders that a pattern names stay apart."""
+    blob = sheet(5, 0.0, size=(4, 4))
+    for k in range(3000):
+        put(tmp_path, f"in/{k % 3}/f{k}.tif", blob)
+    put(tmp_path, "in/0/broken.tif", b"II*\0nothing")
+    reader = images._BandReader({"path": str(tmp_path / "in/*"), "size": "128", "partitionBytes": str(1000 * len(blob))})
+    real, images.codecs.Tiff = images.codecs.Tiff, None
+    try:
+        parts = reader.partitions()
+    finally:
+        images.codecs.Tiff = real
+    assert len(parts) == 4 and sum(len(p.paths) for p in parts) == 3001
+    tiles, rejected = images.geotiff_tiles(spark, str(tmp_path / "in/*"), 128)
+    assert tiles.count() == 3000 and [r.source_name for r in rejected.collect()] == ["broken"]
+    put(tmp_path, "big/x/sheet.tif", sheet(9, 0.0, size=(300, 400)))
+    put(tmp_path, "big/y/sheet.tif", sheet(8, 900.0, size=(300, 400)))
+    tiles, _ = images.geotiff_tiles(spark, str(tmp_path / "big/*"), 128, partition_bytes=50_000)
+    assert tiles.rdd.getNumPartitions() == 2 * -(-len(sheet(9, 0.0, size=(300, 400))) // 50_000)
+    assert append_tiles(tiles, str(tmp_path / "db"), "t") == 2 * 16
+    source = RasterSource(spark, str(tmp_path / "db"), "t")
+    assert len(set(ids_of(source))) == 32 and {r.tile_count for r in source.sources().collect()} == {16}

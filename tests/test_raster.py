@@ -425,7 +425,7 @@ def test_streamed_ingest(spark, tmp_path, geotiffs):
 def test_files_of_any_size_are_read_in_bands(spark, tmp_path, geotiffs):
     folder, _ = geotiffs
     whole = images.ingest_geotiff(spark.read.format("binaryFile").load(str(folder)), 128)
-    bands = images.geotiff_tiles(spark, str(folder), 128)
+    bands = images.geotiff_tiles(spark, str(folder), 128, partition_bytes=100_000)
     for a, b in zip(whole, bands):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert bands[0].rdd.getNumPartitions() == 3 + 1
