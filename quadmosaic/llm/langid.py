@@ -7,11 +7,13 @@ its character n-grams, the longest length of which any is known. The mean over t
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +29,17 @@ CACHE_WORDS = 1 << 18
 
 #: Runs of letters, and of numbers that aren't digits, which are cut out.
 _RUNS = re.compile(r"[^\W\d_]+")
+#: Marks (vowel signs, accents of their own) belong to the letter before them.
+_MARK, _MARKED_RUNS = regex.compile(r"\p{M}"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_in(text: str) -> list[str]:
-    """The words of a text: runs of Unicode letters, lower-cased."""
+    """The words of a text: runs of Unicode letters with their marks, lower-cased and composed."""
+    text = text.lower()
+    if not text.isascii() and _MARK.search(text):
+        return _MARKED_RUNS.findall(unicodedata.normalize("NFC", text))
     out = []
-    for run in _RUNS.findall(text.lower()):
+    for run in _RUNS.findall(text):
         if run.isalpha():
             out.append(run)
         else:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadmosaic.lineage import names_in
-from quadmosaic.llm import pii, simhash
+from quadmosaic.llm import langid, pii, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,3 +70,18 @@ def test_a_run_keeps_the_last_stage_only(spark, small):
     out = corpus_pipeline.run(spark, small)
     (new,) = {x for x in names_in(spark, folder) if x.startswith("pipeline-")} - before
     assert names_in(spark, f"{folder}/{new}") == ["4-packing"] and out.count() > 0
+
+
+def test_marks_stay_in_their_words():
+    assert langid.words_in("हिन्दी भाषा, ภาษาไทย!") == ["हिन्दी", "भाषा", "ภาษาไทย"]
+    assert langid.words_in("Cafe\u0301 NAI\u0308VE 3x") == ["café", "naïve", "x"] == langid.words_in("Café NAÏVE 3x")
+    assert langid.words_in("\u0301\u0301 42 ½") == []
+
+
+def test_hindi_and_decomposed_words_are_scored_as_words(spark):
+    data = [(i, t, lang) for i in range(20) for t, lang in ((f"यह हिन्दी में लिखा हुआ वाक्य है {i}", "hi"), (f"यो नेपालीमा लेखिएको वाक्य हो {i}", "ne"), (f"voilà une phrase écrite en français {i}", "fr"))]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert "हिन्दी" in model.tables[0] and "écrite" in model.tables[0]
+    texts = ["हिन्दी में लिखा", "नेपालीमा लेखिएको", "une phrase e\u0301crite", "\u0301"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["hi", "ne", "fr", "und"]
