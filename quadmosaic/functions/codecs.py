@@ -38,14 +38,45 @@ def palette_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rgb, rank[back].reshape(image.shape[:2])
 
 
+def png_chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_head(width: int, height: int, space: int, colors: np.ndarray | None) -> bytes:
+    """What stands before the data of a PNG of 8 bits whose lines come as parts of one deflate stream."""
+    color = 2 if space == ColorSpace.RGB else 3 if space == ColorSpace.PALETTE else 0
+    plte = png_chunk(b"PLTE", np.asarray(colors).astype(np.uint8).tobytes()) if color == 3 else b""
+    return PNG_MAGIC + png_chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)) + plte + png_chunk(b"IDAT", b"\x78\x9c")
+
+
+def png_part(samples: np.ndarray, last: bool) -> tuple[bytes, int, int]:
+    """Some whole lines (height, width[, channels]) as a chunk, with the checksum and number of the bytes in it; the parts of an image, in order, are one stream."""
+    h = len(samples)
+    channels = samples.shape[2] if samples.ndim == 3 else 1
+    lines = samples.reshape(h, -1)
+    body = np.ones((h, lines.shape[1] + 1), np.uint8)  # each line has the difference to the pixel on the left
+    body[:, 1 : 1 + channels] = lines[:, :channels]
+    body[:, 1 + channels :] = lines[:, channels:] - lines[:, :-channels]
+    data, deflate = body.tobytes(), zlib.compressobj(6, zlib.DEFLATED, -15)
+    return png_chunk(b"IDAT", deflate.compress(data) + deflate.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)), zlib.adler32(data), len(data)
+
+
+def png_tail(parts: list[tuple[int, int]]) -> bytes:
+    """What stands behind the parts: the checksum of all, from that and the length of each."""
+    low, high = 1, 0
+    for adler, size in parts:
+        a, b = adler & 0xFFFF, adler >> 16
+        low, high = (low + a - 1) % 65521, (high + b + size * (low - 1)) % 65521
+    return png_chunk(b"IDAT", struct.pack(">I", high << 16 | low)) + png_chunk(b"IEND", b"")
+
+
 def png_encode(image: np.ndarray, space: int = ColorSpace.RGB) -> bytes:
     """A PNG: RGB, gray (8 bits, of the blue channel) or palette (1, 2, 4 or 8 bits by the number of colours)."""
     h, w = image.shape[:2]
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     depth, color, extra = 8, 2, b""
     if space == ColorSpace.PALETTE:
         colors, index = palette_of(image)
-        color, extra = 3, chunk(b"PLTE", colors.tobytes())
+        color, extra = 3, png_chunk(b"PLTE", colors.tobytes())
         depth = next(d for d in (1, 2, 4, 8) if len(colors) <= 1 << d)
         bits = np.unpackbits(index[:, :, None], axis=2)[:, :, 8 - depth :]
         body = np.packbits(bits.reshape(h, w * depth), axis=1)
@@ -54,7 +85,7 @@ def png_encode(image: np.ndarray, space: int = ColorSpace.RGB) -> bytes:
     else:
         body = image.reshape(h, w * 3)
     lines = np.concatenate([np.zeros((h, 1), np.uint8), body], axis=1)
-    return PNG_MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return PNG_MAGIC + png_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, 0)) + extra + png_chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + png_chunk(b"IEND", b"")
 
 
 def unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:

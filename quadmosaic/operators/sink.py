@@ -1,7 +1,7 @@
 """A window as one file, written by many tasks.
 
-The window is painted in blocks, each by one task. Blocks are encoded as tiles of a TIFF; a running total of their sizes says where each goes, tasks write their own
-tiles there, and a small head comes last. The file is put into its place when it is whole. Raw formats have their places known
+The window is painted in blocks, each by one task. Blocks are encoded as tiles of a TIFF, rows of blocks as parts of a PNG's stream; a running total of their sizes says
+where each goes, tasks write their own there, and a small head comes last. The file is put into its place when it is whole. Raw formats have their places known
 beforehand. Files are on a mount that driver and executors share, as those that are read strip by strip.
 """
 
@@ -85,30 +85,59 @@ def block_histogram(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["bin"].to_numpy(), rows["n"].to_numpy()
 
 
-def _encoded(blocks: DataFrame, space: int, tile: int, across: int, colors: np.ndarray | None, table: np.ndarray | None) -> DataFrame:
+def _samples(image: np.ndarray, space: int, colors: np.ndarray | None, table: np.ndarray | None) -> np.ndarray:
+    """What a file stores of pixels: all channels, one, or the palette's indexes."""
+    if space == ColorSpace.RGB:
+        return image
+    if space == ColorSpace.PALETTE:
+        return table[bin_of(image)] if table is not None else np.searchsorted(colors, codecs.packed(image).astype(np.int64)).astype(np.uint8)
+    return image[:, :, 0]
+
+
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    for batch in batches:
+        for brow, bcol, w, h, raw in zip(*batch.columns):
+            yield brow.as_py(), bcol.as_py(), np.frombuffer(raw.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3)
+
+
+def _tiles(blocks: DataFrame, space: int, tile: int, across: int, colors: np.ndarray | None, table: np.ndarray | None) -> DataFrame:
     """Rows ``k, size, data``: each block as the deflated tile number ``k``, filled up at the right and below."""
-    sc = blocks.sparkSession.sparkContext
-    shared = sc.broadcast((colors, table))
+    shared = blocks.sparkSession.sparkContext.broadcast((colors, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        colors, table = shared.value
-        for batch in batches:
-            for brow, bcol, w, h, raw in zip(*batch.columns):
-                image = np.frombuffer(raw.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3)
-                if space == ColorSpace.RGB:
-                    samples = image
-                elif space == ColorSpace.PALETTE:
-                    samples = table[bin_of(image)] if table is not None else np.searchsorted(colors, codecs.packed(image).astype(np.int64)).astype(np.uint8)
-                else:
-                    samples = image[:, :, 0]
-                whole = np.zeros((tile, tile, *samples.shape[2:]), np.uint8)
-                whole[: h.as_py(), : w.as_py()] = samples
-                data = zlib.compress(whole.tobytes(), 6)
-                yield pa.RecordBatch.from_arrays([pa.array([brow.as_py() * across + bcol.as_py()]), pa.array([len(data)]), pa.array([data])], names=["k", "size", "data"])
+        for brow, bcol, image in _painted(batches):
+            samples = _samples(image, space, *shared.value)
+            whole = np.zeros((tile, tile, *samples.shape[2:]), np.uint8)
+            whole[: len(image), : image.shape[1]] = samples
+            data = zlib.compress(whole.tobytes(), 6)
+            yield pa.RecordBatch.from_arrays([pa.array([brow * across + bcol]), pa.array([len(data)]), pa.array([data])], names=["k", "size", "data"])
 
     return blocks.select("brow", "bcol", "width", "height", "raster").mapInArrow(run, "k long, size long, data binary")
 
 
+def _strips(blocks: DataFrame, space: int, tile: int, window: Window, colors: np.ndarray | None, table: np.ndarray | None) -> DataFrame:
+    """Rows ``k, size, adler, n, data``: each row of blocks as the part number ``k`` of a PNG. A task holds one row of blocks."""
+    shared, last = blocks.sparkSession.sparkContext.broadcast((colors, table)), (window.height - 1) // tile
+
+    def finish(k: int, strip: np.ndarray) -> pa.RecordBatch:
+        data, adler, n = codecs.png_part(_samples(strip, space, *shared.value), k == last)
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(data)]), pa.array([adler]), pa.array([n]), pa.array([data])], names=["k", "size", "adler", "n", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, strip = None, None
+        for brow, bcol, image in _painted(batches):
+            if brow != now:
+                if strip is not None:
+                    yield finish(now, strip)
+                now, strip = brow, np.zeros((len(image), window.width, 3), np.uint8)
+            strip[:, bcol * tile : bcol * tile + image.shape[1]] = image
+        if strip is not None:
+            yield finish(now, strip)
+
+    rows = blocks.select("brow", "bcol", "width", "height", "raster").repartition("brow").sortWithinPartitions("brow", "bcol")
+    return rows.mapInArrow(run, "k long, size long, adler long, n long, data binary")
+
+
 def _put(pieces: DataFrame, path: str) -> int:
     """Writes pieces ``at, data`` to their places in a file that is there, and says how many bytes these were. A task that is run again writes the same."""
 
@@ -129,14 +158,14 @@ def _put(pieces: DataFrame, path: str) -> int:
 def write_window(
     hits: DataFrame, window: Window, file: str, kind: str = "GEOTIFF", transparent: int = TRANSPARENT_NONE, background: int = BACKGROUND_DEFAULT, srid: int = -1, tile: int = TILE, quantized: bool = False, big: bool | None = None
 ) -> Written:
-    """Writes the window of ``hits`` (tiles with their places and blobs) to one file of ``kind`` GEOTIFF, TIFF or a raw format; an old one is replaced once the new one is whole.
+    """Writes the window of ``hits`` (tiles with their places and blobs) to one file of ``kind`` GEOTIFF, TIFF, PNG or a raw format; an old one is replaced once the new one is whole.
 
-    A TIFF is stored gray, by palette or as RGB like its tiles; a palette of more than 256 colours becomes RGB, or with ``quantized`` any RGB window is reduced to 256 colours by
-    median cut. It has offsets of eight bytes where its tiles need them. No task holds more than a block, and nothing but the sizes of tiles comes to the driver.
+    An image is stored gray, by palette or as RGB like its tiles; a palette of more than 256 colours becomes RGB, or with ``quantized`` any RGB window is reduced to 256 colours by
+    median cut. A TIFF has offsets of eight bytes where its tiles need them. No task holds more than a block, for a PNG a row of blocks, and nothing but their sizes comes to the driver.
     """
     if tile % 16 or tile <= 0:
         raise ValueError("a tile's side must be a multiple of 16")
-    if kind not in ("GEOTIFF", "TIFF", *RAW_FORMATS):
+    if kind not in ("GEOTIFF", "TIFF", "PNG", *RAW_FORMATS):
         raise ValueError(f"no parallel writer for {kind}")
     path = shared_path(file)
     aside = os.path.join(os.path.dirname(path) or ".", f".{os.path.basename(path)}.{uuid.uuid4().hex}")
@@ -153,35 +182,41 @@ def write_window(
             space = spaces[0] if spaces else int(ColorSpace.MONOCHROME)
             # each block is raw RGB of bounded size; encoding waits for what all of them need
             blocks = settled(window_blocks(hits, window, "RGB", transparent, background, tile))
-            colors = table = None
+            colors = table = palette = None
             if space in (ColorSpace.GRAYSCALE, ColorSpace.MONOCHROME) and len({background >> 16 & 255, background >> 8 & 255, background & 255}) > 1:
                 space = int(ColorSpace.PALETTE)  # gray tiles before a coloured background
             if space == ColorSpace.PALETTE or (quantized and space == ColorSpace.RGB):
-                colors = distinct_colors(blocks)
-                space = int(ColorSpace.PALETTE)
+                colors, space = distinct_colors(blocks), int(ColorSpace.PALETTE)
                 if len(colors) > COLORS and quantized:
                     palette, table = inverse_table(*block_histogram(blocks))
                 elif len(colors) > COLORS:
                     space, colors = int(ColorSpace.RGB), None
                 else:
                     palette = np.stack([colors >> 16, colors >> 8 & 255, colors & 255], axis=1)
-            tiles = settled(_encoded(blocks, space, tile, across, colors, table))
-            sizes = [r["size"] for r in tiles.select("k", "size").orderBy("k").collect()]
-            if len(sizes) != n_tiles:
-                raise RuntimeError(f"{len(sizes)} of {n_tiles} tiles")
-            large = sum(sizes) >= BIG if big is None else big
+            png = kind == "PNG"
+            parts = settled(_strips(blocks, space, tile, window, colors, table) if png else _tiles(blocks, space, tile, across, colors, table))
+            found = parts.drop("data").orderBy("k").collect()
+            sizes = [r["size"] for r in found]
+            if len(sizes) != (-(-window.height // tile) if png else n_tiles):
+                raise RuntimeError(f"{len(sizes)} parts of {n_tiles} blocks")
+            large = not png and (sum(sizes) >= BIG if big is None else big)
             geo = (window.bounds[0], window.bounds[3], window.px, window.py, srid) if kind == "GEOTIFF" else None
-            head = lambda offsets: codecs.tiled_head(window.width, window.height, tile, space, palette if space == ColorSpace.PALETTE else None, offsets, sizes, geo, large)
+
+            def head(offsets: list[int]) -> bytes:
+                return codecs.png_head(window.width, window.height, space, palette) if png else codecs.tiled_head(window.width, window.height, tile, space, palette, offsets, sizes, geo, large)
+
+            tail = codecs.png_tail([(r.adler, r.n) for r in found]) if png else b""
             first = len(head([0] * n_tiles))
-            offsets = list(accumulate(sizes, initial=first))
-            _create(aside, offsets.pop())
-            places = hits.sparkSession.sparkContext.broadcast(np.array(offsets, np.int64))
-            _put(_placed(tiles, places), aside)
+            *offsets, end = accumulate(sizes, initial=first)
+            _create(aside, end + len(tail))
+            _put(_placed(parts, hits.sparkSession.sparkContext.broadcast(np.array(offsets, np.int64))), aside)
             with open(aside, "r+b") as f:
                 f.write(head(offsets))
+                f.seek(end)
+                f.write(tail)
                 f.flush()
                 os.fsync(f.fileno())
-            done = Written(space, n_tiles, first + sum(sizes), large)
+            done = Written(space, n_tiles, end + len(tail), large)
         os.replace(aside, path)
     finally:
         if os.path.exists(aside):

@@ -307,13 +307,9 @@ class RasterSource:
         """The window as one blob of ``kind`` PNG, TIFF, GEOTIFF, or a raw format (RGB, RGBA, ARGB, BGR, BGRA)."""
         return window_image(settled(self.tiles(window, strategy)), window, kind, self.transparent, self.background, self.srid)
 
-    def write_image(self, window: Window, file: str, kind: str = "PNG", strategy: str = "auto", quantized: bool = False) -> Written | None:
-        """Writes the window to one file on a shared mount: TIFF, GeoTIFF and raw formats by many tasks, see :func:`write_window`; a PNG is one stream and is put together by one task."""
-        if kind != "PNG":
-            return write_window(self.tiles(window, strategy), window, file, kind, self.transparent, self.background, self.srid, quantized=quantized)
-        blob = self.image(window, kind, strategy).first().raster
-        with open(file, "wb") as f:
-            f.write(blob)
+    def write_image(self, window: Window, file: str, kind: str = "PNG", strategy: str = "auto", quantized: bool = False) -> Written:
+        """Writes the window to one file of ``kind`` PNG, TIFF, GEOTIFF or a raw format on a shared mount, by many tasks: see :func:`write_window`."""
+        return write_window(self.tiles(window, strategy), window, file, kind, self.transparent, self.background, self.srid, quantized=quantized)
 
     def sources(self) -> DataFrame:
         if self.summary is None:

@@ -86,6 +86,8 @@ def test_gray_and_palette_tiles_keep_their_kind(spark, tmp_path):
         for b in window_blocks(hits, window, "RGB", block=128).collect():
             expected[b.brow * 128 : b.brow * 128 + b.height, b.bcol * 128 : b.bcol * 128 + b.width] = codecs.packed(codecs.from_raw(b.raster, "RGB", b.width, b.height))
         assert (codecs.packed(read) == expected).all()
+        assert write_window(hits, window, file, "PNG", tile=128).space == want
+        assert (codecs.packed(codecs.png_decode(open(file, "rb").read())) == expected).all()
 
 
 def test_a_quantized_window_is_the_median_cut_of_all_its_pixels(spark, tmp_path):
@@ -119,7 +121,7 @@ def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
     with pytest.raises(Exception, match="no such luck"):
         write_window(hits.withColumn("raster", F.raise_error(F.lit("no such luck")).cast("binary")), window, str(tmp_path / "w.tif"))
     assert (tmp_path / "w.tif").read_bytes() == b"old" and sorted(os.listdir(tmp_path)) == ["db", "w.tif"]
-    for wrong in ({"kind": "PNG"}, {"tile": 100}, {"file": "hdfs://x/w.tif"}):
+    for wrong in ({"kind": "GIF"}, {"tile": 100}, {"file": "hdfs://x/w.tif"}):
         with pytest.raises(ValueError):
             write_window(**({"hits": hits, "window": window, "file": str(tmp_path / "w.tif")} | wrong))
     assert shared_path("file:///a/b") == "/a/b" == shared_path("/a/b")
@@ -139,3 +141,25 @@ def test_a_window_without_tiles(spark, tmp_path):
     db.background = 0x334455
     db.write_image(window, str(tmp_path / "e.tif"), "GEOTIFF")
     assert (codecs.packed(codecs.tiff_decode((tmp_path / "e.tif").read_bytes())) == 0x334455).all()
+
+
+def test_a_png_of_many_tasks_is_one_stream(spark, tmp_path):
+    """Parts of a deflate stream and their checksum, read by another reader too."""
+    import io
+    import zlib
+
+    from quadmosaic.functions.codecs import png_part, png_tail
+
+    rng = np.random.default_rng(2)
+    parts = [png_part(rng.integers(0, 256, (h, 31, 3), dtype=np.uint8), h == 9) for h in (1, 300, 7, 9)]
+    stream = b"\x78\x9c" + b"".join(p[0][8:-4] for p in parts) + png_tail([p[1:] for p in parts])[8:12]
+    assert len(zlib.decompress(stream)) == sum(p[2] for p in parts)  # zlib compares the checksum
+    db = source(spark, tmp_path, noise)
+    window = Window(140.0, -120.0, 1.0, 1.0, 330, 250)
+    file = str(tmp_path / "w.png")
+    done = write_window(db.tiles(window), window, file, "PNG", tile=64)
+    blob = open(file, "rb").read()
+    assert done.size == len(blob) and (codecs.packed(codecs.png_decode(blob)) == shown(db, window)).all()
+    read = spark.read.format("image").load(file).select("image.width", "image.height", "image.data").first()
+    pixels = np.frombuffer(read.data, np.uint8).reshape(read.height, read.width, 3)[:, :, ::-1]
+    assert io.BytesIO(blob).read(8) == codecs.PNG_MAGIC and (codecs.packed(pixels) == shown(db, window)).all()
