@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ END_ID = 1
 #: Bytes of a row group and of a page, and rows of a page, that the writer aims at.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 2000
 #: Pieces of text whose ids a task keeps, and their greatest length.
-CACHE_PIECES, CACHED_LENGTH = 1 << 18, 40
-#: Ids that a task gathers before it sends them on.
-BATCH_IDS = 1 << 20
+CACHE_PIECES, CACHED_LENGTH = 1 << 19, 40
+#: Ids and documents that a task gathers before it sends them on.
+BATCH_IDS, BATCH_DOCS = 1 << 17, 512
 
 #: What a folded text of Latin characters (the first 256, without most controls) falls into before its parts are split further; a part's ids don't depend on what stands around it.
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\x0b\x0c\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
@@ -53,7 +53,7 @@ FILE_OPTIONS = {
     "parquet.page.size": str(PAGE_BYTES),
     "parquet.page.row.count.limit": str(PAGE_ROWS),
     "parquet.page.write-checksum.enabled": "true",
-    "compression": "zstd",
+    "compression": "lz4_raw",
 }
 
 
@@ -72,15 +72,18 @@ def _byte_signs() -> list[str]:
 
 
 class _Kept(dict):
-    """Ids by text, made when first asked for; short texts stay, until there are too many."""
+    """Ids by text as bytes, made when first asked for. Short texts stay while they are among the last ones that were asked for."""
 
     def __init__(self, make: Callable[[str], list[int]], most: int):
-        self.make, self.most = make, most
+        self.make, self.half, self.before = make, most // 2, {}
 
-    def __missing__(self, text: str) -> list[int]:
-        ids = self.make(text)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.before.get(text)
+        if ids is None:
+            ids = array("i", self.make(text)).tobytes()
         if len(text) <= CACHED_LENGTH:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.before = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -112,15 +115,14 @@ def encoder(tokenizer: str, cache_pieces: int = CACHE_PIECES) -> Callable[[str |
         if any(s in text for s in special):
             return np.array(whole(text), np.int32)
         if not _NOT_LATIN(text):
-            return np.fromiter(chain.from_iterable(map(parts.__getitem__, _PARTS(text.lower()))), np.int32)
-        out: list[int] = []
+            return np.frombuffer(b"".join(map(parts.__getitem__, _PARTS(text.lower()))), np.int32)
+        out: list[bytes] = []
         for piece in _BLANKS.split(text):
-            if piece:
-                if _NOT_LATIN(piece):
-                    out += pieces[piece]
-                else:
-                    out += chain.from_iterable(map(parts.__getitem__, _PARTS(piece.lower())))
-        return np.array(out, np.int32)
+            if _NOT_LATIN(piece):
+                out.append(pieces[piece])
+            else:
+                out += map(parts.__getitem__, _PARTS(piece.lower()))
+        return np.frombuffer(b"".join(out), np.int32)
 
     if encode(_PROBE).tolist() + encode(_LATIN_PROBE).tolist() != whole(_PROBE) + whole(_LATIN_PROBE):
         return lambda text: np.array(whole(text or ""), np.int32)
@@ -130,28 +132,35 @@ def encoder(tokenizer: str, cache_pieces: int = CACHE_PIECES) -> Callable[[str |
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, shard, place, n_tokens, ids`` of ``docs`` in ascending order of id; ``place`` counts the ids before it in its shard, which is a range of documents."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # rows of one id go by their text, equal ones by where they were read, so that very many of one id still make several shards
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    # rows of one id go by where they were read, so that very many of one id still make several shards
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "tie", "row"]
+    order = ["doc_id", "row"]
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
+    # a worker process has its copy of a broadcast value for all its tasks, and there the encoder with what it has kept
+    kept = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        if "encode" not in kept.value:
+            kept.value["encode"] = encoder(tokenizer)
+        encode, end = kept.value["encode"], np.array([end_id], np.int32)
         place = 0
         for batch in batches:
             doc_id, shard, texts = batch.columns
-            start, arrays = 0, []
+            start, arrays, sizes, held = 0, [], [], 0
             for i in range(len(texts)):
-                arrays.append(np.append(encode(texts[i].as_py()), np.int32(end_id)))
-                if i + 1 == len(texts) or sum(map(len, arrays[-64:])) >= BATCH_IDS // 8 or len(arrays) >= 512:
-                    n = np.array([len(a) for a in arrays], np.int64)
+                own = encode(texts[i].as_py())
+                arrays += own, end
+                sizes.append(len(own) + 1)
+                held += len(own) + 1
+                if i + 1 == len(texts) or held >= BATCH_IDS or len(sizes) >= BATCH_DOCS:
+                    n = np.array(sizes, np.int64)
                     ends = np.cumsum(n)
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(arrays)))
                     columns = [doc_id[start : i + 1], shard[start : i + 1], pa.array(place + ends - n), pa.array(n), ids]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "place", "n_tokens", "ids"])
-                    place += int(ends[-1])
-                    start, arrays = i + 1, []
+                    place += held
+                    start, arrays, sizes, held = i + 1, [], [], 0
 
     return placed.select("doc_id", "shard", "text").mapInArrow(run, SCHEMA)
 
@@ -159,7 +168,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of ``docs`` to ``<folder>/ids`` and the table of shards to ``<folder>/shards``.
 
-    A null text is an empty one and has the end id alone. Null ids come first; rows of one id go by a hash of their texts, repeated rows stand once each. Texts are
+    A null text is an empty one and has the end id alone. Null ids come first; rows of one id stay as they were read, repeated rows stand once each. Texts are
     encoded whole, however long. An empty table gives files without rows. Other columns are not read. A lost task is run again; files are
     committed together.
     """
