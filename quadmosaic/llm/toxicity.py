@@ -20,7 +20,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Bounds of training: documents with and without the label, bytes of their texts, words of the vocabulary. Character n-grams share hashed rows.
 TOXIC, CLEAN, SAMPLE_BYTES, MAX_WORDS, GRAM_ROWS = 1500, 3000, 32 << 20, 20000, 1 << 16
 #: HIDE is the share of words that a training step sees by their characters alone.
-EPOCHS, BATCH, RATE, VECTOR_RATE, HIDE, SEED = 10, 128, 0.01, 0.001, 0.9, 5
+EPOCHS, BATCH, RATE, VECTOR_RATE, HIDE, SEED = 10, 128, 0.01, 0.01, 0.5, 5
 CACHE_WORDS = 1 << 17
 PAD = 0
 
