@@ -143,9 +143,18 @@ def next_images(pixels: DataFrame, indexed: DataFrame) -> DataFrame:
     return halved.withColumnsRenamed({"out_y": "ty", "out_x": "x"}).drop("mosaic_w", "mosaic_h", "nw", "nh")
 
 
-def next_blobs(indexed: DataFrame, rasters: DataFrame, kind: str = "PNG") -> DataFrame:
-    """The next level, indexed, with ``raster`` and ``error``: of each square the blobs (``id, raster``) are decoded, joined, halved and encoded in one task."""
-    squares = checked(assemble(indexed))
+def signed(indexed: DataFrame) -> DataFrame:
+    """The ``sign`` of each square: a digest of the signs of its tiles and of their places, so squares of one sign are made from the same originals in the same way."""
+    told = F.array_sort(F.collect_list(F.concat_ws(":", "place", "sign")))  # four at most
+    return squares_of(indexed).groupBy(*SQUARE).agg(F.sha2(F.concat_ws(",", told), 256).alias("sign"))
+
+
+def next_blobs(indexed: DataFrame, rasters: DataFrame, kind: str = "PNG", squares: DataFrame | None = None) -> DataFrame:
+    """The next level, indexed, with ``raster`` and ``error``: of each square the blobs (``id, raster``) are decoded, joined, halved and encoded in one task.
+
+    ``squares`` are those to be made, with their ``sign`` where they have one; all of them by default.
+    """
+    squares = checked(assemble(indexed)) if squares is None else squares
     placed = squares_of(indexed).select("id", "place", *SQUARE, F.col("width").alias("new_w"), F.col("height").alias("new_h")).join(squares.select(*SQUARE, "left_w", "top_h", "mosaic_w", "mosaic_h", "width", "height"), [*SQUARE])
     right, low = F.col("place") % 2 == 1, F.col("place") >= 2
     rows = placed.join(rasters.select("id", "raster"), "id").select(
@@ -154,7 +163,8 @@ def next_blobs(indexed: DataFrame, rasters: DataFrame, kind: str = "PNG") -> Dat
         F.col("new_w").cast("long").alias("new_w"), F.col("new_h").cast("long").alias("new_h"), F.lit(False).alias("boxed"), "raster",
     )
     blobs = paint_blobs(rows, SQUARE, kind).select(*SQUARE, "raster", "error")
-    return squares.withColumns({"px": F.col("px") * 2, "py": F.col("py") * 2}).select(*PLACED).join(blobs, [*SQUARE])
+    own = [*PLACED, "sign"] if "sign" in squares.columns else PLACED
+    return squares.withColumns({"px": F.col("px") * 2, "py": F.col("py") * 2}).select(*own).join(blobs, [*SQUARE])
 
 
 def topmost_grid(box: tuple[float, float, float, float], px: float, py: float, size: int = 512) -> dict:

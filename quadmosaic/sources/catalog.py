@@ -3,6 +3,9 @@
 Tiles are written in batches, each in a folder of its own in both tables. A batch is part of the data source once the log says so: a commit is one folder of
 the log, renamed into place, so a write that ends early leaves nothing to be seen. The log has one row for each source and level of a batch, with its tiles'
 number, extent and range of ids. Opening folds the log and reads no tile metadata.
+
+A tile of a pyramid has a sign, which tells the originals it was made from. A batch that makes a source's levels again takes over the tiles whose signs stay: it has their
+metadata, their blobs stay where they are, and the log says which batches it holds blobs of.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -33,7 +36,8 @@ SRS_COLUMNS = ("srid", "auth_name", "auth_srid", "ref_sys_name", "proj4text")
 BASE, PYRAMID, TOP = "base", "pyramid", "topmost"
 LOG = (
     "op string, batch string, made string, origin string, path string, source_name string, px double, py double, n long, first_id long, last_id long, first_tile int, last_tile int, "
-    "min_x double, min_y double, max_x double, max_y double, srid int, other_srid int"
+    "min_x double, min_y double, max_x double, max_y double, srid int, other_srid int, "
+    "held string, fresh long"
 )
 _LOG_COLUMNS = tuple(c.split()[0] for c in LOG.split(", "))
 
@@ -60,6 +64,15 @@ def _lay_out(tiles: DataFrame) -> DataFrame:
     return keyed.repartition("level", "band", "block").sortWithinPartitions("level", "band", "block", "id")
 
 
+def _stored_at(tiles: DataFrame) -> Column:
+    """Where blobs of ``tiles`` are stored: of each level the bands (folders) and blocks (row groups) from the first to the last."""
+    ends = tiles.withColumns(storage_keys()).groupBy("level").agg(*[f(c).alias(f"{n}_{c}") for c in ("band", "block") for n, f in (("first", F.min), ("last", F.max))])
+    inside = F.lit(False)
+    for e in ends.orderBy("level").collect():
+        inside = inside | ((F.col("level") == e.level) & F.col("band").between(e.first_band, e.last_band) & F.col("block").between(e.first_block, e.last_block))
+    return inside
+
+
 class TileStore:
     """The tables ``<prefix>_metadata`` and ``<prefix>_rasters`` of a folder with their log ``<prefix>_log``, on any file system that Spark reaches."""
 
@@ -88,6 +101,22 @@ class TileStore:
         left = settled(here.join(self.summary().select("batch").distinct(), "batch", "left_semi").distinct())
         return None if left.isEmpty() else left
 
+    def holds(self) -> DataFrame:
+        """Rows ``batch, source_name, px, py, held, first_id, last_id``: the batches that have blobs of tiles of other batches."""
+        log = self.spark.read.schema(LOG).option("recursiveFileLookup", True).parquet(self.place("log"))
+        return log.where("op = 'hold'").join(log.where("op = 'drop'").select("batch", "source_name"), ["batch", "source_name"], "left_anti")
+
+    def held(self, batches: list[str] | None = None) -> list[str]:
+        """The batches that have blobs of tiles of ``batches``, or of any."""
+        if not exists(self.spark, self.place("log")):
+            return []
+        rows = self.holds() if batches is None else self.holds().where(F.col("batch").isin(batches))
+        return [r.held for r in rows.select("held").distinct().orderBy("held").collect()]
+
+    def blobs_of(self, batches: list[str]) -> DataFrame | None:
+        """The blobs of the tiles of some batches, wherever they are; tiles that were made again since may have theirs among them, under ids that no tile has."""
+        return self.read("rasters", sorted({*batches, *self.held(batches)}))
+
     def read(self, name: str, batches: list[str] | None = None) -> DataFrame | None:
         """The table ``name`` as far as the log has it, or some batches of it; one without a log is read whole."""
         if batches is None and not exists(self.spark, self.place("log")):
@@ -106,14 +135,19 @@ class TileStore:
     def stage(self, tiles: DataFrame, made: str, origin: DataFrame | None = None) -> tuple[str | None, DataFrame | None]:
         """Writes tiles (metadata without ``id``, ``path`` or null, and ``raster``) as a batch that nobody sees yet: its name, and its rows for the log. None without tiles.
 
+        Tiles with signs (``sign, id, home``) are either new, ``id`` and ``home`` being null, or have their blob in the batch ``home`` under that ``id``, where it stays.
+
         Ids are reserved, in the order of level, source and ``tile_id``. Only levels and sources are ranked: a tile's own number follows from its ``tile_id``. A ``tile_id``
         that stands twice in a level of a source is an error.
         """
         if "path" not in tiles.columns:
             tiles = tiles.withColumn("path", F.lit(None).cast("string"))
-        rows = settled(tiles.select(*META_COLUMNS[1:], "path", "raster"))
+        signs = "sign" in tiles.columns
+        if not signs:
+            tiles = tiles.withColumns({"sign": F.lit(None).cast("string"), "id": F.lit(None).cast("long"), "home": F.lit(None).cast("string")})
+        rows = settled(tiles.select(*META_COLUMNS[1:], "path", "raster", "sign", "id", "home"))
         group = ["px", "py", "source_name"]
-        sizes = settled(rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile")))
+        sizes = settled(rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"), F.count_if(F.col("home").isNull()).alias("fresh")))
         n, ids = sizes.agg(F.sum("n"), F.sum(F.col("last_tile").cast("long") + 1)).first()
         if not n:
             return None, None
@@ -122,15 +156,19 @@ class TileStore:
             raise RasterError(f"source {twice.source_name}: tile_id {twice.tile_id} stands {twice['count']} times at {twice.px} x {twice.py}")
         before = F.coalesce(F.sum(F.col("last_tile").cast("long") + 1).over(W.partitionBy(F.lit(0)).orderBy(*group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         first = settled(sizes.withColumn("first", before + self.reserve(ids)))
-        placed = rows.join(first.select(*group, "first"), group).withColumn("id", F.col("first") + F.col("tile_id"))
+        placed = rows.join(first.select(*group, "first"), group).withColumn("id", F.coalesce("id", F.col("first") + F.col("tile_id")))
         batch = f"b{uuid.uuid4().hex}"
-        _lay_out(placed).select("level", "band", "block", "id", "raster").write.partitionBy("level", "band").parquet(f"{self.place('rasters')}/batch={batch}")
+        _lay_out(placed.where("home is null")).select("level", "band", "block", "id", "raster").write.partitionBy("level", "band").parquet(f"{self.place('rasters')}/batch={batch}")
         _lay_out(placed.select(*META_COLUMNS, "path")).write.partitionBy("level", "band").parquet(f"{self.place('metadata')}/batch={batch}")
+        if signs:
+            placed.select("id", "source_name", "px", "py", "sign", F.coalesce("home", F.lit(batch)).alias("home")).write.parquet(f"{self.place('signs')}/batch={batch}")
         box = [f(c).alias(c) for c, f in (("min_x", F.min), ("min_y", F.min), ("max_x", F.max), ("max_y", F.max))]
         own = rows.groupBy(*group).agg(*box, F.min("path").alias("path"), F.min("srid").alias("srid"), F.max("srid").alias("other_srid")).join(first, group)
         own = own.withColumns({"op": F.lit("add"), "batch": F.lit(batch), "made": F.lit(made), "first_id": F.col("first") + F.col("first_tile"), "last_id": F.col("first") + F.col("last_tile")})
         own = own.join(origin, "source_name", "left") if origin is not None else own.withColumn("origin", F.lit(None).cast("string"))
-        return batch, settled(own.select(*_LOG_COLUMNS))
+        held = placed.where("home is not null").groupBy(*group, F.col("home").alias("held")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+        held = held.withColumns({"op": F.lit("hold"), "batch": F.lit(batch), "made": F.lit(made)})
+        return batch, settled(own.withColumn("held", F.lit(None).cast("string")).select(*_LOG_COLUMNS).unionByName(held, allowMissingColumns=True))
 
     def commit(self, added: list[DataFrame], dropped: DataFrame | None = None) -> None:
         """Makes staged batches part of the data source and takes others out (rows ``batch, source_name``), in one step."""
@@ -147,15 +185,17 @@ class TileStore:
         moved(self.spark, aside, f"{self.place('log')}/{name}")
 
     def discard(self, batches: list[str]) -> None:
-        """Deletes the files of batches that the log doesn't have, metadata first."""
+        """Deletes the files of batches that the log doesn't have, metadata first, but for blobs that others hold."""
+        held = set(self.held())
         for batch in batches:
-            for name in ("metadata", "rasters"):
+            for name in ("metadata", "signs", *(() if batch in held else ("rasters",))):
                 removed(self.spark, f"{self.place(name)}/batch={batch}")
 
     def swept(self) -> list[str]:
         """Deletes batches that no commit has, left by writes that ended early, and returns their names. Not to be called while somebody writes."""
-        have = {x.removeprefix("batch=") for name in ("metadata", "rasters") for x in names_in(self.spark, self.place(name)) if x.startswith("batch=")}
-        rest = sorted(have - set(self.batches()))
+        there, held = set(self.batches()), set(self.held())
+        have = {name: {x.removeprefix("batch=") for x in names_in(self.spark, self.place(name)) if x.startswith("batch=")} for name in ("metadata", "signs", "rasters")}
+        rest = sorted((have["metadata"] | have["signs"]) - there | have["rasters"] - there - held)
         self.discard(rest)
         return rest
 
@@ -224,7 +264,7 @@ class RasterSource:
         meta = lv.real_tiles(self._table("metadata", META_COLUMNS, batches))
         stale = None if self.summary is None else self.store.stale()
         self.meta = meta if stale is None else meta.join(F.broadcast(stale) if stale.count() <= BROADCAST_STALE else stale, ["batch", "source_name"], "left_anti")
-        self.rasters = self._table("rasters", RASTER_COLUMNS, batches)
+        self.rasters = self._table("rasters", RASTER_COLUMNS, None if batches is None else sorted({*batches, *self.store.held()}))
         self.reference_system = self._reference_system()
         if not self.levels:
             raise RasterError(f"{prefix}: no levels")
@@ -326,12 +366,20 @@ class RasterSource:
         wanted = F.col("id").isin([int(i) for i in ids])
         if self.summary is None:
             return self.rasters.where(wanted).select("id", "raster")
-        held = F.exists(F.array(*map(F.lit, map(int, ids))).cast("array<bigint>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
-        places = self.summary.where(held).select("batch", level_name(F.col("px"), F.col("py")).alias("level")).distinct().collect()
+        within = F.exists(F.array(*map(F.lit, map(int, ids))).cast("array<bigint>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
+        level = level_name(F.col("px"), F.col("py")).alias("level")
+        places = self.summary.where(within).select("batch", level).distinct().collect()
         inside = F.lit(False)
         for batch in sorted({p.batch for p in places}):
             inside = inside | ((F.col("batch") == batch) & F.col("level").isin(sorted(p.level for p in places if p.batch == batch)))
-        return self.rasters.where(inside & wanted).select("id", "raster")
+        found = self.rasters.where(inside & wanted).select("id", "raster")
+        # a batch that is held has blobs of tiles that are no more: signs tell which are still there
+        kept = self.store.holds().where(within).select("batch", "held", level).distinct().collect()
+        if not kept:
+            return found
+        signs = self.store.read("signs", sorted({k.batch for k in kept})).where(wanted).select("id", F.col("home").alias("batch"))
+        blobs = self.rasters.where(F.col("batch").isin(sorted({k.held for k in kept})) & F.col("level").isin(sorted({k.level for k in kept})) & wanted)
+        return found.unionByName(blobs.join(signs, ["id", "batch"], "left_semi").select("id", "raster")).distinct()
 
     def reopened(self) -> RasterSource:
         return RasterSource(self.spark, self.path, self.prefix, self.transparent, self.background)
@@ -343,16 +391,25 @@ class RasterSource:
 
     def _replace(self, added: list[tuple[str, DataFrame]], old: DataFrame) -> RasterSource:
         """Commits new batches and takes old rows out of the log; then nothing that the log still has is in the way of deleting batches that are left whole."""
-        before = set(self.store.batches())
+        before = {*self.store.batches(), *self.store.held()}
         self.store.commit([rows for _, rows in added], old.select("batch", "source_name").distinct())
         self.store.discard(sorted(before - set(self.store.batches())))
         return self.reopened()
 
+    def _signs(self, made: DataFrame) -> DataFrame:
+        """The tiles of the batches and sources ``made``: ``source_name, up_px, up_py, sign, id, home``."""
+        batches = [r.batch for r in made.select("batch").distinct().collect()]
+        signs = self.store.read("signs", [b for b in batches if exists(self.spark, f"{self.store.place('signs')}/batch={b}")])
+        if signs is None:
+            return self.spark.createDataFrame([], "source_name string, up_px double, up_py double, sign string, id long, home string")
+        own = signs.join(made.select("batch", "source_name").distinct(), ["batch", "source_name"], "left_semi")
+        return own.select("source_name", F.col("px").alias("up_px"), F.col("py").alias("up_py"), "sign", "id", "home")
+
     def build_pyramid(self, kind: str = "PNG") -> RasterSource:
         """Makes the levels over each source's finest tiles; returns the data source as it is then.
 
-        Only sources whose originals have changed since their levels were made, or whose levels are of another ``kind``, are made anew; all others, and all originals of any size,
-        stay as they are, and so does everything if a source's tiles don't make squares or can't be decoded: that is an error before the commit. Top-most
+        Only sources whose originals have changed since their levels were made, or whose levels are of another ``kind``, are looked at; of these only squares over new originals, or
+        whose tiles now meet in other ways, are made anew. All other tiles, and all originals of any size, stay as they are, and so does everything if a source's tiles don't make squares or can't be decoded: that is an error before the commit. Top-most
         levels go: :meth:`build_topmost` makes them again. Levels are made one after the other, each from the one before.
         """
         log = self._log()
@@ -370,22 +427,30 @@ class RasterSource:
         names = [r.batch for r in keep.collect()]
         meta = self.store.read("metadata", names).join(finest, ["source_name", "px", "py"], "left_semi")
         rasters = self.store.read("rasters", names)
-        indexed = settled(pyr.grid_index(meta))
+        indexed = settled(pyr.grid_index(meta)).withColumn("sign", F.sha2(F.concat_ws(":", F.lit(kind), "id"), 256))
+        known = self._signs(made.join(todo.select("source_name"), "source_name", "left_semi"))
         srids = base.groupBy("source_name").agg(F.min("srid").alias("srid"))
         top = indexed.agg(F.max("n_levels")).first()[0] or 0
         staged: list[tuple[str, DataFrame]] = []
         try:
             for k in range(1, top + 1):
-                level = settled(pyr.next_blobs(indexed.where(F.col("n_levels") >= k), rasters, kind))
-                if wrong := level.where("error is not null").select("source_name", "error").first():
+                current = indexed.where(F.col("n_levels") >= k)
+                squares = pyr.checked(pyr.assemble(current).join(pyr.signed(current), [*pyr.SQUARE]).withColumns({"up_px": F.col("px") * 2, "up_py": F.col("py") * 2}))
+                found = settled(squares.join(known, ["source_name", "up_px", "up_py", "sign"], "left"))
+                fresh = found.where("id is null")
+                children = pyr.squares_of(current).join(fresh.select(*pyr.SQUARE), [*pyr.SQUARE], "left_semi")
+                made_now = settled(pyr.next_blobs(current, rasters.where(_stored_at(children)), kind, fresh))
+                if wrong := made_now.where("error is not null").select("source_name", "error").first():
                     raise pyr.PyramidError(f"source {wrong.source_name}: {wrong.error}")
+                kept = found.where("id is not null").withColumns({"px": F.col("up_px"), "py": F.col("up_py")}).select(*pyr.PLACED, "sign", "id", "home")
+                level = settled(made_now.drop("error").unionByName(kept, allowMissingColumns=True))
                 numbers = pyr.numbered(level).join(srids, "source_name")
                 batch, rows = self.store.stage(numbers.withColumn("tile_id", F.col("tile_id").cast("int")), PYRAMID, origin.select("source_name", "origin"))
                 staged.append((batch, rows))
                 # the next level takes the ids that the tiles now have
                 ids = self.store.read("metadata", [batch]).select("id", "source_name", "min_x", "max_y")
-                rasters = self.store.read("rasters", [batch])
-                indexed = settled(level.drop("raster", "error").join(ids, ["source_name", "min_x", "max_y"]))
+                rasters = self.store.read("rasters", [batch, *(r.held for r in rows.where("op = 'hold'").select("held").distinct().collect())])
+                indexed = settled(level.drop("raster", "id", "home").join(ids, ["source_name", "min_x", "max_y"]))
         except Exception:
             self.store.discard([b for b, _ in staged])
             raise
@@ -403,7 +468,7 @@ class RasterSource:
         batches = [r.batch for r in coarsest.select("batch").distinct().collect()]
         # the log may have dropped a source out of a batch
         meta = self.store.read("metadata", batches).join(coarsest.select("batch", "source_name"), ["batch", "source_name"], "left_semi")
-        rasters, box = self.store.read("rasters", batches), tuple(lv.extent(coarsest).first())
+        rasters, box = self.store.blobs_of(batches), tuple(lv.extent(coarsest).first())
         staged: list[tuple[str, DataFrame]] = []
         try:
             while cells > 1:
