@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import glob
+import operator
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -19,6 +22,7 @@ from quadmosaic.functions import codecs
 from quadmosaic.functions.codecs import png_decode, png_encode, tiff_decode, tiff_encode  # noqa: F401
 from quadmosaic.functions.colors import ColorSpace, tile_size
 from quadmosaic.functions.geometry import tile_grid
+from quadmosaic.lineage import settled
 
 
 def decoded_lines(rasters: DataFrame) -> DataFrame:
@@ -109,22 +113,44 @@ def _cells(width: int, height: int, size: int) -> tuple[int, list[tuple[int, int
     return sections, [(r, c * tw, r * th, min(tw, width - c * tw), min(th, height - r * th)) for r in range(sections) for c in range(sections) if c * tw < width and r * th < height]
 
 
-def _cut(path: str, read, size: int, container: str, part: tuple[int, int] = (0, 1)) -> Iterator[dict]:
-    """The tiles of one GeoTIFF, or of one part of its rows of cells (number, of how many). A file that isn't one gives an error row, once."""
+#: Comparisons with a constant that readers of files understand.
+_COMPARISONS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda a, b: a in b}
+
+
+def _tests(filters: Iterable[Filter]) -> list[tuple]:
+    """The comparisons (column, operation, constant) among ``filters``, which are conjoined; all others are left to Spark, as are NaN and null, which it orders in its own way."""
+    known = [f for f in filters if type(f) in _COMPARISONS and len(f.attribute) == 1 and f.attribute[0] not in ("raster", "error")]
+    plain = lambda v: v is not None and v == v
+    return [(f.attribute[0], _COMPARISONS[type(f)], f.value) for f in known if (all(map(plain, f.value)) if type(f) is In else plain(f.value))]
+
+
+def _may_pass(row: dict, tests: list[tuple]) -> bool:
+    """Whether no test rules the row out, as far as it has the columns."""
+    return all(row.get(c) is None or row[c] != row[c] or op(row[c], v) for c, op, v in tests)
+
+
+def _cut(path: str, read, size: int, container: str, part: tuple[int, int] = (0, 1), tests: list[tuple] = ()) -> Iterator[dict]:
+    """The tiles of one GeoTIFF, or of one part of its rows of cells (number, of how many). Cells that ``tests`` rule out are not read.
+
+    A file that isn't one gives an error row, once; a part whose cells can't be read gives one where it ends.
+    """
     path = _plain(path)
     own = {"source_name": _stem(path), "path": path}
+    opened = False
     try:
         tiff = codecs.Tiff(read)
         h = tiff.header()
         cells = _cells(tiff.width, tiff.height, size)[1]
+        opened = True
         for k, (row, x, y, w, rows) in enumerate(cells):
             if row % part[1] == part[0]:
                 at = lambda i, j: (h["left"] + i * h["px"], h["top"] - j * h["py"])  # noqa: E731  equal edges of neighbours are equal numbers
                 (a, t), (z, b) = at(x, y), at(x + w, y + rows)
-                blob = codecs.encode(tiff.part(x, y, w, rows), container, tiff.space)
-                yield own | {"tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"], "raster": blob}
+                tile = own | {"tile_id": k, "width": w, "height": rows, "px": h["px"], "py": h["py"], "min_x": a, "min_y": b, "max_x": z, "max_y": t, "srid": h["srid"]}
+                if _may_pass(tile, tests):
+                    yield tile | {"raster": codecs.encode(tiff.part(x, y, w, rows), container, tiff.space)}
     except Exception as e:  # noqa: BLE001  a file that isn't a GeoTIFF is reported, not fatal
-        if part[0] == 0:
+        if opened or part[0] == 0:
             yield own | {"error": f"{type(e).__name__}: {e}"}
 
 
@@ -141,12 +167,24 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("source_name", "path", "error")
 
 
+def whole_files(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the files of which every tile could be read, and the errors of the others. ``rows`` (tiles, and rows with ``error``) are made once."""
+    rows = settled(rows)
+    tiles, rejected = split_errors(rows)
+    return tiles.join(rejected.select("path").distinct(), "path", "left_anti"), rejected
+
+
 def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "PNG") -> tuple[DataFrame, DataFrame]:
     """Tiles cut from GeoTIFF files (``path, content``, as Spark's ``binaryFile`` gives them), and the files that can't be read.
 
     The first is ``source_name, path, tile_id, width, height, px, py``, footprint, ``srid, raster``: one file makes one source, cut row by row, and is told from others of its name by its path. Tiles are stored
     gray, by palette or as RGB like their file. ``size`` is 512 by default and kept within 128 and 8192. For large files see :func:`geotiff_tiles`.
     """
+    return split_errors(geotiff_rows(files, size, container))
+
+
+def geotiff_rows(files: DataFrame, size: int | None = None, container: str = "PNG") -> DataFrame:
+    """The tiles of :func:`ingest_geotiff`, and rows with ``error``, as one table."""
     size, fields = tile_size(size), to_arrow_schema(_TILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +193,51 @@ def ingest_geotiff(files: DataFrame, size: int | None = None, container: str = "
                 for tile in _cut(row["path"], codecs.reader_of(row["content"]), size, container):
                     yield pa.RecordBatch.from_pylist([tile], schema=fields)
 
-    return split_errors(files.select("path", "content").mapInArrow(run, _TILES))
+    return files.select("path", "content").mapInArrow(run, _TILES)
 
 
 #: Bytes of files that make one partition: larger files are read by several, small ones together.
 PARTITION_BYTES = 64 << 20
 
 
+def _opened(path: str) -> pa.NativeFile:
+    """A file of a mount or, by its URI, of another file system that Arrow knows, to be read at any place."""
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(_plain(path))
+    scheme, place = path.split("://", 1)
+    system, name = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{quote(place, safe='/:@?=&')}")
+    return system.open_input_file(name)
+
+
+def _reader(f: pa.NativeFile):
+    return lambda at, size: f.read_at(size, at)
+
+
+def geotiff_parts(files: DataFrame, size: int | None = None, container: str = "PNG", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """:func:`geotiff_rows` for files of any size that are given by name and size (``path, length``, as ``binaryFile`` lists them).
+
+    Files are opened by tasks alone, each of which reads the strips or tiles of its own rows of cells; a file of ``n`` times ``partition_bytes`` is read by ``n`` tasks.
+    """
+    size, fields = tile_size(size), to_arrow_schema(_TILES)
+    n = F.greatest(F.ceil(F.col("length") / partition_bytes), F.lit(1)).cast("int")
+    parts = settled(files.select("path", n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))))
+    tasks = files.agg(F.ceil(F.sum("length") / partition_bytes)).first()[0] or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    with _opened(row["path"]) as f:
+                        for tile in _cut(row["path"], _reader(f), size, container, (row["part"], row["n"])):
+                            yield pa.RecordBatch.from_pylist([tile], schema=fields)
+                except OSError as e:
+                    path = _plain(row["path"])
+                    yield pa.RecordBatch.from_pylist([{"source_name": _stem(path), "path": path, "error": f"{type(e).__name__}: {e}"}], schema=fields)
+
+    # as many tasks as the bytes ask for, at least those that there are; a given number isn't made smaller afterwards
+    return parts.repartition(max(int(tasks), files.sparkSession.sparkContext.defaultParallelism), "path", "part").mapInArrow(run, _TILES)
+
+
 class _Files(InputPartition):
     """Small files, or every ``n``-th row of cells of one file."""
 
@@ -178,6 +254,12 @@ class _BandReader(DataSourceReader):
         self.pattern = _plain(options["path"])
         self.size, self.container = tile_size(int(options.get("size", 512))), options.get("container", "PNG")
         self.room = max(1, int(options.get("partitionbytes", PARTITION_BYTES)))
+        self.tests: list[tuple] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Comparisons leave out files by name, and cells by place and size, before they are read; Spark looks at the rest once more."""
+        self.tests = _tests(filters)
+        return filters
 
     def _sizes(self) -> Iterator[tuple[str, int]]:
         for path in sorted(glob.glob(self.pattern)):
@@ -190,6 +272,8 @@ class _BandReader(DataSourceReader):
     def partitions(self) -> list[_Files]:
         out, small, held = [], [], 0
         for path, size in self._sizes():
+            if not _may_pass({"path": path, "source_name": _stem(path)}, self.tests):
+                continue
             if size > self.room:
                 n = -(-size // self.room)
                 out += [_Files([path], k, n) for k in range(n)]
@@ -209,12 +293,15 @@ class _BandReader(DataSourceReader):
                     f.seek(at)
                     return f.read(size)
 
-                for tile in _cut(path, read, self.size, self.container, (partition.at, partition.n)):
+                for tile in _cut(path, read, self.size, self.container, (partition.at, partition.n), self.tests):
                     yield tuple(tile.get(n) for n in _TILES.names)
 
 
 class GeoTiffSource(DataSource):
-    """``geotiff_tiles``: tiles of the GeoTIFF files of a folder or pattern on a shared mount. A large file makes several partitions, each of which reads only the strips or tiles of its own rows; small files share one."""
+    """``geotiff_tiles``: tiles of the GeoTIFF files of a folder or pattern on a shared mount. A large file makes several partitions, each of which reads only the strips or tiles of its own rows; small files share one.
+
+    Comparisons of a column with a constant reach the reader (:func:`register`): a box on a file of any size reads the cells in the box alone.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -227,9 +314,15 @@ class GeoTiffSource(DataSource):
         return _BandReader(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format ``geotiff_tiles`` known to a session, and lets filters reach data sources that are written in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GeoTiffSource)
+
+
 def geotiff_tiles(spark: SparkSession, path: str, size: int | None = None, container: str = "PNG", partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame]:
     """:func:`ingest_geotiff` for files of any size on a shared mount: no task reads a whole large file, and the driver opens none."""
-    spark.dataSource.register(GeoTiffSource)
+    register(spark)
     return split_errors(spark.read.format("geotiff_tiles").option("size", str(tile_size(size))).option("container", container).option("partitionBytes", str(partition_bytes)).load(path))
 
 
