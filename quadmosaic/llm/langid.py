@@ -24,8 +24,10 @@ from quadmosaic.llm.common import in_fold, per_text, sample_ids, table
 TRAIN_DOCS, MIN_TIMES, MAX_GRAM = 2000, 2, 5
 #: Log10 frequency of what a language doesn't have while another does.
 PENALTY = -7.0
-#: Words whose scores a task keeps at once.
-CACHE_WORDS = 1 << 18
+#: Words whose scores a task keeps at once, and the bytes that they may take: of very many languages a task keeps fewer words.
+CACHE_WORDS, CACHE_BYTES = 1 << 18, 64 << 20
+#: N-grams of one word that are looked at together.
+GRAM_BLOCK = 1 << 12
 
 #: Runs of letters, and of numbers that aren't digits, which are cut out.
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -83,7 +85,10 @@ MODEL_COLUMNS = ("lang", "n", "gram", "times")
 
 
 class Model:
-    """Scores of words in each language, from ``lang, n, gram, times``: tuples, or a table of Arrow, whose texts become Python's once for each gram."""
+    """Scores of words in each language, from ``lang, n, gram, times``: tuples, or a table of Arrow, whose texts become Python's once for each gram.
+
+    Of a word or n-gram only the languages that have it are kept, so the model is as large as its rows, however many languages there are.
+    """
 
     def __init__(self, rows: list[tuple[str, int, str, int]] | pa.Table, max_gram: int = MAX_GRAM):
         if not isinstance(rows, pa.Table):
@@ -98,28 +103,47 @@ class Model:
         self.langs, self.max_gram = [names[i] for i in order], max_gram
         column = np.empty(len(names), np.int64)
         column[order] = np.arange(len(names))
-        self.tables: list[dict[str, int]] = []  # for each length, a gram's row in ``scores``
-        self.scores: list[np.ndarray] = []
+        self.tables: list[dict[str, int]] = []  # for each length, a gram's number
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # for each length: where a gram's languages start, the languages, and its scores in them
+        small = np.min_scalar_type(max(len(names), 1))
         for k in range(max_gram + 1):
             own = np.flatnonzero(n == k)
             gram = rows["gram"].take(pa.array(own)).combine_chunks().dictionary_encode()
             self.tables.append({g: i for i, g in enumerate(gram.dictionary.to_pylist())})
-            self.scores.append(np.full((len(gram.dictionary), len(names)), PENALTY, np.float32))
-            self.scores[k][gram.indices.to_numpy(), column[code[own]]] = np.log10(times[own] / totals[code[own], k])
+            number = gram.indices.to_numpy()
+            starts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(gram.dictionary)))])
+            own = own[np.argsort(number, kind="stable")]
+            self.rows.append((starts, column[code[own]].astype(small), np.log10(times[own] / totals[code[own], k]).astype(np.float32)))
+
+    @property
+    def nbytes(self) -> int:
+        """The bytes of the scores, without the texts of words and n-grams."""
+        return sum(a.nbytes for arrays in self.rows for a in arrays)
+
+    def _dense(self, n: int, numbers: list[int]) -> np.ndarray:
+        """The scores of some n-grams in all languages, a row for each."""
+        starts, langs, scores = self.rows[n]
+        out = np.full((len(numbers), len(self.langs)), PENALTY, np.float32)
+        for row, i in zip(out, numbers):
+            own = slice(starts[i], starts[i + 1])
+            row[langs[own]] = scores[own]
+        return out
 
     def word(self, word: str) -> np.ndarray:
         """The word's score in each language: its own, or the mean of its n-grams of the greatest length of which any is known."""
         known = self.tables[0].get(word)
         if known is not None:
-            return self.scores[0][known]
+            return self._dense(0, [known])[0]
         for n in range(self.max_gram, 0, -1):
             found = [i for g in grams(word, n) if (i := self.tables[n].get(g)) is not None]
             if found:
-                return self.scores[n][found].mean(axis=0, dtype=np.float64)
+                blocks = (self._dense(n, found[at : at + GRAM_BLOCK]).sum(axis=0, dtype=np.float64) for at in range(0, len(found), GRAM_BLOCK))
+                return sum(blocks) / len(found)
         return np.full(len(self.langs), PENALTY)
 
     def scorer(self, cache_words: int = CACHE_WORDS):
-        """A function from texts to [languages, scores]; it keeps the scores of words it has seen."""
+        """A function from texts to [languages, scores]; it keeps the scores of words it has seen, up to ``cache_words`` and ``CACHE_BYTES``."""
+        cache_words = max(2, min(cache_words, CACHE_BYTES // (8 * max(len(self.langs), 1))))
         places: dict[str, int] = {}
         scores = np.empty((cache_words, max(len(self.langs), 1)))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -85,3 +86,43 @@ def test_hindi_and_decomposed_words_are_scored_as_words(spark):
     texts = ["हिन्दी में लिखा", "नेपालीमा लेखिएको", "une phrase e\u0301crite", "\u0301"]
     got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["hi", "ne", "fr", "und"]
+
+
+def test_a_model_of_many_languages_is_as_large_as_its_rows(monkeypatch):
+    """200 languages with words of their own: the scores kept are those that were seen, and the answers those of a full table, also with a cache that holds few words."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrst"
+    made = lambda: "".join(rng.choice(list(letters), rng.integers(3, 9)))
+    seen = {}
+    for k in range(200):
+        for w in {made() for _ in range(40)} | {"the", "la"}:
+            for n in range(langid.MAX_GRAM + 1):
+                for g in [w] if n == 0 else langid.grams(w, n):
+                    seen[f"l{k:03d}", n, g] = seen.get((f"l{k:03d}", n, g), 0) + int(rng.integers(1, 5))
+    model = langid.Model([(*key, times) for key, times in seen.items()])
+    kinds = {key[1:] for key in seen}
+    assert len(model.langs) == 200 and model.nbytes <= 6 * len(seen) + 8 * (len(kinds) + 6) < len(kinds) * 200 * 4 / 10
+    totals = {}
+    for (lang, n, _), times in seen.items():
+        totals[lang, n] = totals.get((lang, n), 0) + times
+
+    def plain(word):
+        for n in (0, *range(langid.MAX_GRAM, 0, -1)):
+            found = [g for g in ([word] if n == 0 else langid.grams(word, n)) if (n, g) in kinds]
+            if found:
+                score = lambda lang, g, n=n: np.log10(seen[lang, n, g] / totals[lang, n]) if (lang, n, g) in seen else langid.PENALTY
+                return np.array([np.mean([score(lang, g) for g in found]) for lang in model.langs])
+        return np.full(200, langid.PENALTY)
+
+    words = [g for _, n, g in list(seen)[:4000:97] if n == 0] + [made() for _ in range(60)] + ["the", "zzz", "x", "abc" * 3000]
+    for w in words:
+        np.testing.assert_allclose(model.word(w), plain(w), rtol=1e-5)
+    texts = [" ".join(rng.choice(words[:-1], 30)) for _ in range(20)] + ["", None, "42"]
+    wide = model.scorer()(texts)
+    monkeypatch.setattr(langid, "CACHE_BYTES", 8 * 200 * 16)
+    narrow = model.scorer()(texts)
+    assert wide[0] == narrow[0]
+    np.testing.assert_allclose(wide[1], narrow[1], rtol=1e-9)
+    for text, lang in zip(texts[:20], wide[0]):
+        mean = np.mean([plain(w) for w in langid.words_in(text)], axis=0)
+        assert mean[model.langs.index(lang)] >= mean.max() - 1e-5
