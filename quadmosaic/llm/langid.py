@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ TRAIN_DOCS, MIN_TIMES, MAX_GRAM = 2000, 2, 5
 PENALTY = -7.0
 #: Words whose scores a task keeps at once, and the bytes that they may take: of very many languages a task keeps fewer words.
 CACHE_WORDS, CACHE_BYTES = 1 << 18, 64 << 20
+#: Languages up to which scores are a table of all of them, which then is no larger than the texts of the n-grams.
+TABLE_LANGS = 16
 #: N-grams of one word that are looked at together.
 GRAM_BLOCK = 1 << 12
 
@@ -87,7 +89,7 @@ MODEL_COLUMNS = ("lang", "n", "gram", "times")
 class Model:
     """Scores of words in each language, from ``lang, n, gram, times``: tuples, or a table of Arrow, whose texts become Python's once for each gram.
 
-    Of a word or n-gram only the languages that have it are kept, so the model is as large as its rows, however many languages there are.
+    Beyond ``TABLE_LANGS`` languages only those that have a word or n-gram are kept with it, so the model is as large as its rows, however many languages there are.
     """
 
     def __init__(self, rows: list[tuple[str, int, str, int]] | pa.Table, max_gram: int = MAX_GRAM):
@@ -105,6 +107,7 @@ class Model:
         column[order] = np.arange(len(names))
         self.tables: list[dict[str, int]] = []  # for each length, a gram's number
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # for each length: where a gram's languages start, the languages, and its scores in them
+        self.full: list[np.ndarray] = []  # for each length the scores in all languages, where these are few
         small = np.min_scalar_type(max(len(names), 1))
         for k in range(max_gram + 1):
             own = np.flatnonzero(n == k)
@@ -114,14 +117,19 @@ class Model:
             starts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(gram.dictionary)))])
             own = own[np.argsort(number, kind="stable")]
             self.rows.append((starts, column[code[own]].astype(small), np.log10(times[own] / totals[code[own], k]).astype(np.float32)))
+        if len(names) <= TABLE_LANGS:
+            self.full = [self._dense(k, range(len(table))) for k, table in enumerate(self.tables)]
+            self.rows = []
 
     @property
     def nbytes(self) -> int:
         """The bytes of the scores, without the texts of words and n-grams."""
-        return sum(a.nbytes for arrays in self.rows for a in arrays)
+        return sum(a.nbytes for arrays in (*self.rows, self.full) for a in arrays)
 
-    def _dense(self, n: int, numbers: list[int]) -> np.ndarray:
+    def _dense(self, n: int, numbers: Sequence[int]) -> np.ndarray:
         """The scores of some n-grams in all languages, a row for each."""
+        if self.full:
+            return self.full[n][numbers]
         starts, langs, scores = self.rows[n]
         out = np.full((len(numbers), len(self.langs)), PENALTY, np.float32)
         for row, i in zip(out, numbers):
@@ -133,10 +141,12 @@ class Model:
         """The word's score in each language: its own, or the mean of its n-grams of the greatest length of which any is known."""
         known = self.tables[0].get(word)
         if known is not None:
-            return self._dense(0, [known])[0]
+            return self.full[0][known] if self.full else self._dense(0, [known])[0]
         for n in range(self.max_gram, 0, -1):
             found = [i for g in grams(word, n) if (i := self.tables[n].get(g)) is not None]
             if found:
+                if len(found) <= GRAM_BLOCK:
+                    return self._dense(n, found).mean(axis=0, dtype=np.float64)
                 blocks = (self._dense(n, found[at : at + GRAM_BLOCK]).sum(axis=0, dtype=np.float64) for at in range(0, len(found), GRAM_BLOCK))
                 return sum(blocks) / len(found)
         return np.full(len(self.langs), PENALTY)
