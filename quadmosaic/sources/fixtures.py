@@ -47,6 +47,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of :func:`pixels` by ``tile`` and ``ty``, with ``n``, their pixels. The last tile may have fewer lines than the others."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("tile"), F.expr("int(vec_id % 50)").alias("ty"), F.size("embedding").alias("n"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevations, 100 columns; -9999 is no data."""
     return table(spark, sf_dir, "orders").select(

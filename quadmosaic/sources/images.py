@@ -42,9 +42,14 @@ def decoded_lines(rasters: DataFrame) -> DataFrame:
 
 def decoded_pixels(rasters: DataFrame) -> DataFrame:
     """Rows ``tile, ty, x, r, g, b`` of the blobs (``id, raster``). Blobs that can't be read have none; :func:`blob_errors` names them."""
-    rows = decoded_lines(rasters).where("error is null").select("tile", "ty", F.posexplode("line").alias("x", "rgb"))
+    return line_pixels(decoded_lines(rasters).where("error is null"))
+
+
+def line_pixels(lines: DataFrame, *also: str) -> DataFrame:
+    """Rows ``tile, ty, x, r, g, b`` of image lines (``tile, ty, line``), with the lines' columns ``also``."""
+    rows = lines.select("tile", "ty", *also, F.posexplode("line").alias("x", "rgb"))
     byte = lambda s: F.shiftright("rgb", s).bitwiseAND(F.lit(255))
-    return rows.select("tile", "ty", "x", byte(16).alias("r"), byte(8).alias("g"), byte(0).alias("b"))
+    return rows.select("tile", "ty", "x", byte(16).alias("r"), byte(8).alias("g"), byte(0).alias("b"), *also)
 
 
 def blob_errors(rasters: DataFrame) -> DataFrame:

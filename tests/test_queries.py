@@ -1,5 +1,6 @@
 """Every query against the SQL of the same name."""
 
+import duckdb
 import pytest
 
 from quadmosaic.plans.queries import ORACLE_SQL, QUERIES
@@ -19,3 +20,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 256 * 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("lines", [206, 156])  # the last tile of 50 lines has 6: a narrow one, and one with room beside it
+def test_last_tile_is_not_full(spark, small, tmp_path, same_rows, lines):
+    name = "png_roundtrip"
+    spark.read.parquet(f"{small}/embeddings.parquet").where(f"vec_id < {lines}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    same_rows(QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name]))
