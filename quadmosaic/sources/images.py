@@ -104,7 +104,8 @@ def encode_tiles(pixels: DataFrame, sizes: DataFrame | tuple[int, int], kind: st
         if head is not None:
             yield finish(head, image)
 
-    return rows.repartition("id").sortWithinPartitions("id", "ty").mapInPandas(run, "id long, raster binary")
+    # by a hash of its own: the join's shuffle by id would stand in for one by id, and Spark reads that by mapper once the join becomes a broadcast, which leaves a tile in many tasks
+    return rows.repartition(F.xxhash64("id")).sortWithinPartitions("id", "ty").mapInPandas(run, "id long, raster binary")
 
 
 INGESTED = "source_name string, path string, tile_id int, width int, height int, px double, py double, min_x double, min_y double, max_x double, max_y double, srid int, raster binary"
